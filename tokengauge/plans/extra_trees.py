@@ -1,0 +1,199 @@
+"""Extremely randomized regression trees, grown level by level with DataFrame operations.
+
+All trees of all (configuration, tokenizer, scope, fold) cells grow together. A
+level is two aggregations over the rows still in open nodes: the range of each
+feature per node, from which a threshold is drawn, and the sums left of each
+threshold, from which the best split is chosen. Nodes stay in tables: nothing
+that grows with the data reaches the driver. The small per-node tables are
+joined by broadcast when they are counted to be small and by shuffle otherwise.
+"""
+
+from __future__ import annotations
+
+import itertools
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tokengauge.functions.text import SELECTED_FEATURES
+from tokengauge.operators.rows import SCOPES
+from tokengauge.plans.forest import DEEPEST, SEED, TreeConfig
+from tokengauge.session import inline_small, materialize
+
+CELL = ["config_id", "tokenizer", "scope", "fold"]
+NODE = [*CELL, "tree", "node"]
+NO_FOLD = -1  # the fold of a fit on all rows
+
+
+def _uniform(feature: str, seed: int) -> Column:
+    """A number in [0, 1) drawn from the node's identity: the same in any run or partitioning."""
+    key = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in NODE], F.lit(feature))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
+
+
+def _cells(table: DataFrame, configs, targets, scopes, folds) -> DataFrame:
+    rows = [
+        (i, t, s, f, c.n_estimators, min(c.max_depth or DEEPEST, DEEPEST), c.min_samples_leaf)
+        for (i, c), t, s, f in itertools.product(enumerate(configs), targets, scopes, folds)
+    ]
+    return table.sparkSession.createDataFrame(
+        rows, "config_id int, tokenizer string, scope string, fold int, trees int, depth int, leaf int"
+    )
+
+
+def _open_rows(table: DataFrame, cells: DataFrame, features: list[str], targets: Sequence[str]) -> DataFrame:
+    """Training rows of every tree, at its root."""
+    data = table.withColumnRenamed("fold", "own_fold").unpivot(
+        [*features, "is_english", "own_fold"], list(targets), "tokenizer", "y"
+    ).where("y is not null")
+    return (
+        data.join(cells, "tokenizer")
+        .where((F.col("scope") == "all") | F.col("is_english"))
+        .where(F.col("fold") != F.col("own_fold"))
+        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
+        .select(*CELL, "tree", F.lit(1).cast("bigint").alias("node"), "depth", "leaf",
+                F.col("y").cast("double").alias("y"), *features)
+    )
+
+
+def _node_stats(rows: DataFrame, features: list[str]) -> DataFrame:
+    ranges = [F.min(f).alias(f"lo_{f}") for f in features] + [F.max(f).alias(f"hi_{f}") for f in features]
+    return rows.groupBy(*NODE, "depth", "leaf").agg(
+        F.count("*").alias("n"), F.sum("y").alias("sum_y"), F.avg("y").alias("value"),
+        F.var_pop("y").alias("var"), *ranges
+    )
+
+
+def _draw(stats: DataFrame, features: list[str], seed: int, level: int) -> DataFrame:
+    """Nodes that may split, with one random threshold per feature that varies."""
+    divisible = (F.col("n") >= 2 * F.col("leaf")) & (F.col("var") > 0) & (F.col("depth") > level)
+    cuts = [
+        F.when(
+            F.col(f"hi_{f}") > F.col(f"lo_{f}"),
+            F.col(f"lo_{f}") + _uniform(f, seed) * (F.col(f"hi_{f}") - F.col(f"lo_{f}")),
+        ).alias(f"cut_{f}")
+        for f in features
+    ]
+    return stats.where(divisible).select(*NODE, "n", "sum_y", "value", *cuts)
+
+
+def _choose(rows: DataFrame, drawn: DataFrame, features: list[str]) -> DataFrame:
+    """The split with the largest drop of squared error, if both sides hold a full leaf."""
+    joined = rows.join(drawn.select(*NODE, "value", *[f"cut_{f}" for f in features]), NODE)
+    centred = F.col("y") - F.col("value")
+    left = []
+    for f in features:
+        goes_left = F.col(f) <= F.col(f"cut_{f}")
+        left += [
+            F.sum(goes_left.cast("long")).alias(f"n_{f}"),
+            F.sum(F.when(goes_left, centred).otherwise(0.0)).alias(f"s_{f}"),
+        ]
+    sides = joined.groupBy(*NODE, "leaf").agg(F.count("*").alias("n"), F.sum(centred).alias("s"), *left)
+    options = []
+    for i, f in enumerate(features):
+        n_left, n_right = F.col(f"n_{f}"), F.col("n") - F.col(f"n_{f}")
+        s_left, s_right = F.col(f"s_{f}"), F.col("s") - F.col(f"s_{f}")
+        gain = s_left * s_left / n_left + s_right * s_right / n_right
+        fits = (n_left >= F.col("leaf")) & (n_right >= F.col("leaf"))
+        options.append(F.when(fits, F.struct(gain.alias("gain"), F.lit(-i).alias("at"))))
+    best = F.greatest(*options)
+    picked = sides.select(*NODE, best.alias("best")).where("best is not null")
+    feature = F.element_at(F.array(*[F.lit(f) for f in features]), 1 - F.col("best.at"))
+    cut = F.element_at(F.array(*[F.col(f"cut_{f}") for f in features]), 1 - F.col("best.at"))
+    return picked.join(drawn, NODE).select(*NODE, feature.alias("feature"), cut.alias("cut"))
+
+
+def _value_of(features: list[str]) -> Column:
+    """The row's value of the feature its node splits on."""
+    x = F.lit(None).cast("double")
+    for f in features:
+        x = F.when(F.col("feature") == f, F.col(f)).otherwise(x)
+    return x
+
+
+def _descend(rows: DataFrame, splits: DataFrame, features: list[str]) -> DataFrame:
+    child = F.col("node") * 2 + F.when(_value_of(features) <= F.col("cut"), 0).otherwise(1)
+    return rows.join(splits, NODE).withColumn("node", child).drop("feature", "cut")
+
+
+def fit(
+    table: DataFrame,
+    targets: Sequence[str],
+    configs: Sequence[TreeConfig],
+    features: Sequence[str] = tuple(SELECTED_FEATURES),
+    scopes: Sequence[str] = tuple(SCOPES),
+    folds: Sequence[int] = (NO_FOLD,),
+    seed: int = SEED,
+) -> DataFrame:
+    """Node table of all trees: ``NODE..., level, value, feature, cut`` (leaves have no feature).
+
+    Node numbers are those of a binary heap: the children of ``i`` are ``2i`` and ``2i + 1``.
+    """
+    features = list(features)
+    cells = _cells(table, configs, targets, scopes, folds)
+    rows = materialize(_open_rows(table, cells, features, targets), "et-rows")
+    levels = []
+    for level in range(max(min(c.max_depth or DEEPEST, DEEPEST) for c in configs) + 1):
+        stats = materialize(_node_stats(rows, features), "et-nodes")
+        if stats.isEmpty():
+            break
+        drawn = inline_small(_draw(stats, features, seed, level))
+        splits = inline_small(_choose(rows, drawn, features))
+        levels.append(
+            stats.join(splits, NODE, "left").select(
+                *NODE, F.lit(level).alias("level"), "n", "value", "feature", "cut"
+            )
+        )
+        if splits.isEmpty():
+            break
+        rows = materialize(_descend(rows, splits, features), "et-rows")
+    out = levels[0]
+    for nodes in levels[1:]:
+        out = out.unionByName(nodes)
+    return materialize(out, "et-trees")
+
+
+def predict(
+    table: DataFrame,
+    trees: DataFrame,
+    targets: Sequence[str],
+    features: Sequence[str] = tuple(SELECTED_FEATURES),
+    key: str = "doc_id",
+    held_out: bool = True,
+) -> DataFrame:
+    """``config_id, tokenizer, scope, fold, key, y, yhat``: the mean over the trees of a cell.
+
+    Rows walk down one level per join; a row whose node is a leaf stays there.
+    """
+    features = list(features)
+    data = table.withColumnRenamed("fold", "own_fold").unpivot(
+        [key, *features, "is_english", "own_fold"], list(targets), "tokenizer", "y"
+    ).where("y is not null")
+    roots = inline_small(trees.where("node = 1").select(*CELL, "tree"))
+    rows = data.join(roots, "tokenizer").where((F.col("scope") == "all") | F.col("is_english"))
+    if held_out:
+        rows = rows.where(F.col("fold") == F.col("own_fold"))
+    rows = rows.select(*CELL, "tree", F.lit(1).cast("bigint").alias("node"), key, F.col("y").cast("double").alias("y"), *features)
+    deepest = trees.agg(F.max("level")).collect()[0][0]
+    for level in range(deepest):
+        splits = inline_small(
+            trees.where((F.col("level") == level) & F.col("feature").isNotNull()).select(*NODE, "feature", "cut")
+        )
+        step = F.when(F.col("feature").isNull(), F.col("node")).otherwise(
+            F.col("node") * 2 + F.when(_value_of(features) <= F.col("cut"), 0).otherwise(1)
+        )
+        rows = rows.join(splits, NODE, "left").withColumn("node", step).drop("feature", "cut")
+        if level % 5 == 4:  # keep the chain of joins short
+            rows = materialize(rows, "et-walk")
+    values = inline_small(trees.where("feature is null").select(*NODE, "value"))
+    return (
+        rows.join(values, NODE)
+        .groupBy(*CELL, key)
+        .agg(F.first("y").alias("y"), F.avg("value").alias("yhat"))
+    )
+
+
+def schema_of(trees: DataFrame) -> T.StructType:
+    return trees.schema

@@ -1,0 +1,122 @@
+"""Random forests by Spark ML, and the grid search that drives them.
+
+Every (configuration, fold) is an independent distributed fit; a bounded pool of
+driver threads keeps the cluster busy while one fit waits for its last tasks.
+"""
+
+from __future__ import annotations
+
+import itertools
+from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tokengauge.functions.text import SELECTED_FEATURES
+from tokengauge.operators.rows import SCOPES
+
+SEED = 42
+# Spark ML trees are at most this deep; it stands for "unlimited".
+DEEPEST = 30
+MAX_BINS = 256
+POOL = 4
+
+
+@dataclass(frozen=True)
+class TreeConfig:
+    """Trees, depth (``None``: unlimited) and smallest leaf."""
+
+    n_estimators: int
+    max_depth: int | None
+    min_samples_leaf: int
+
+    @property
+    def name(self) -> str:
+        return f"n={self.n_estimators},depth={self.max_depth},leaf={self.min_samples_leaf}"
+
+
+def tree_grid(
+    n_estimators: Iterable[int] = (50, 100),
+    max_depth: Iterable[int | None] = (10, 20, None),
+    min_samples_leaf: Iterable[int] = (5, 10),
+) -> list[TreeConfig]:
+    """The full grid by default (fixed values), in the order ties are decided."""
+    return [TreeConfig(n, d, l) for d, l, n in itertools.product(max_depth, min_samples_leaf, n_estimators)]
+
+
+def pipeline(config: TreeConfig, features: Sequence[str], label: str) -> Pipeline:
+    """Trees are blind to scale, so no scaler is needed."""
+    return Pipeline(
+        stages=[
+            VectorAssembler(inputCols=list(features), outputCol="__x"),
+            RandomForestRegressor(
+                featuresCol="__x", labelCol=label, predictionCol="yhat",
+                numTrees=config.n_estimators,
+                maxDepth=min(config.max_depth or DEEPEST, DEEPEST),
+                minInstancesPerNode=config.min_samples_leaf,
+                featureSubsetStrategy="all", maxBins=MAX_BINS, seed=SEED,
+            ),
+        ]
+    )
+
+
+def scope_rows(table: DataFrame, scope: str) -> DataFrame:
+    return table.where("is_english") if scope == "english" else table
+
+
+def grid_search(
+    table: DataFrame,
+    targets: Sequence[str],
+    configs: Sequence[TreeConfig],
+    features: Sequence[str] = tuple(SELECTED_FEATURES),
+    scopes: Sequence[str] = tuple(SCOPES),
+    folds: Sequence[int] | None = None,
+    model: str = "rf",
+) -> DataFrame:
+    """Held-out predictions ``model, config_id, config, tokenizer, scope, fold, y, yhat``."""
+    features = list(features)
+    if folds is None:
+        folds = sorted(r["fold"] for r in table.select("fold").distinct().collect())
+
+    def run(job: tuple) -> DataFrame | None:
+        (config_id, config), target, scope, fold = job
+        rows = scope_rows(table.where(F.col(target).isNotNull()), scope)
+        train = rows.where(F.col("fold") != fold)
+        if train.isEmpty():
+            return None
+        fitted = pipeline(config, features, target).fit(train)
+        return fitted.transform(rows.where(F.col("fold") == fold)).select(
+            F.lit(model).alias("model"), F.lit(config_id).alias("config_id"),
+            F.lit(config.name).alias("config"), F.lit(target).alias("tokenizer"),
+            F.lit(scope).alias("scope"), "fold",
+            F.col(target).cast("double").alias("y"), "yhat",
+        )
+
+    jobs = list(itertools.product(enumerate(configs), targets, scopes, folds))
+    with ThreadPoolExecutor(POOL) as pool:
+        done = [d for d in pool.map(run, jobs) if d is not None]
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def fit_final(
+    table: DataFrame, target: str, scope: str, config: TreeConfig, features: Sequence[str] = tuple(SELECTED_FEATURES)
+) -> PipelineModel:
+    rows = scope_rows(table.where(F.col(target).isNotNull()), scope)
+    return pipeline(config, features, target).fit(rows)
+
+
+def save(model: PipelineModel, path: str) -> str:
+    model.write().overwrite().save(path)
+    return path
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
