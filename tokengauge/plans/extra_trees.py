@@ -15,7 +15,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tokengauge.functions.text import SELECTED_FEATURES
 from tokengauge.operators.rows import SCOPES
@@ -194,6 +193,3 @@ def predict(
         .agg(F.first("y").alias("y"), F.avg("value").alias("yhat"))
     )
 
-
-def schema_of(trees: DataFrame) -> T.StructType:
-    return trees.schema

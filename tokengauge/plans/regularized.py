@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokengauge.functions.text import REGULARIZED_FEATURES
@@ -121,6 +122,7 @@ def cross_validate(
     features: Sequence[str] = tuple(REGULARIZED_FEATURES),
     penalties: Sequence[Penalty] = tuple(PENALTIES),
     scopes: Sequence[str] = tuple(SCOPES),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Predictions of held-out rows for the whole grid. ``table`` should be stored."""
     features = list(features)
@@ -129,7 +131,7 @@ def cross_validate(
     params = table.sparkSession.createDataFrame(
         fit_grid(parts, penalties, scopes), params_schema(table.schema["fold"].dataType)
     )
-    return predict_linear(long, params, features)
+    return predict_linear(long, params, features, keep=keep)
 
 
 def cv_metrics(predictions: DataFrame, wide: bool = False) -> DataFrame:
@@ -139,6 +141,17 @@ def cv_metrics(predictions: DataFrame, wide: bool = False) -> DataFrame:
     return out if wide else to_long(out, keys, METRICS)
 
 
+def univariate_search(table: DataFrame, target: str, candidates: Sequence[str], penalty: Penalty = OLS) -> DataFrame:
+    """Held-out predictions of one-feature fits; the feature is the configuration."""
+    out = None
+    for i, feature in enumerate(candidates):
+        p = cross_validate(table, [target], [feature], [penalty]).select(
+            F.lit(i).alias("config_id"), F.lit(feature).alias("config"), "*"
+        )
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
 def final_parameters(table: DataFrame, targets: Sequence[str], features: Sequence[str], penalty: Penalty) -> DataFrame:
     """Fit on all rows of each scope: one parameter row per tokenizer and scope."""
     parts = collect_fold_parts(long_targets(table, targets), [*features, "y"])

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tokengauge.functions.text import FEATURES, add_features, gap_word_count, pretoken_count
 from tokengauge.functions.tokens import Vocabulary, add_token_counts
 from tokengauge.operators.folds import FOLDS, SEED, kfold
-from tokengauge.operators.rows import ENGLISH, SCOPES, scopes_of
+from tokengauge.operators.rows import ENGLISH, scopes_of
 from tokengauge.session import materialize, spread
 from tokengauge.sources.corpus import documents
 
@@ -82,7 +82,11 @@ def params_schema(fold_type: T.DataType) -> T.StructType:
 
 
 def predict_linear(
-    long: DataFrame, params: DataFrame, features: Sequence[str], on_fold: bool = True
+    long: DataFrame,
+    params: DataFrame,
+    features: Sequence[str],
+    on_fold: bool = True,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """``model, tokenizer, scope, fold, y, yhat`` from a parameter table.
 
@@ -98,10 +102,7 @@ def predict_linear(
     for i, f in enumerate(features):
         yhat = yhat + F.col("coefs")[i] * F.col(f)
     return rows.join(params, keys).select(
-        "model", "tokenizer", "scope", "fold", F.col("y").cast("double").alias("y"), yhat.alias("yhat")
+        "model", "tokenizer", "scope", "fold", *keep,
+        F.col("y").cast("double").alias("y"), yhat.alias("yhat"),
     )
 
-
-def require_scope(scopes: Sequence[str]) -> None:
-    if not set(scopes) <= set(SCOPES):
-        raise ValueError(f"scopes must be among {SCOPES}")
