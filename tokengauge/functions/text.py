@@ -105,7 +105,8 @@ def _layers() -> list[dict[str, str]]:
             "__a1": hits_if("contains(__t, '@')", "__t", p.MENTION),
         },
         {
-            "__spec": strip("__rest", p.WS + "+"),
+            # what is not white space is in a word
+            "whitespace_count": "char_count - aggregate(__lens, 0L, (sum, n) -> sum + n)",
             "__c1": blank_out("__t", p.FENCED_CODE, "__h1"),
             "__m1": blank_out("__t", p.MENTION, "__a1"),
             "__sw": f"filter(split({strip('__low', punctuation + '+')}, {literal(p.WS + '+')}), w -> w <> '')",
@@ -126,7 +127,6 @@ def _layers() -> list[dict[str, str]]:
         {"__h4": hits_if("contains(__c3, '](')", "__c3", p.MARKDOWN_LINK)},
         {"__c4": blank_out("__c3", p.MARKDOWN_LINK, "__h4")},
         {
-            "whitespace_count": "cast(length(__rest) - length(__spec) as bigint)",
             "__chars": f"char_count + {EPS}",
             "__alnum": "length(__t) - length(__rest)",
             "max_word_length": "cast(coalesce(array_max(__lens), 0) as bigint)",
@@ -145,10 +145,10 @@ def _layers() -> list[dict[str, str]]:
         {
             "avg_word_length": f"char_count / (word_count + {EPS})",
             "whitespace_ratio": "whitespace_count / __chars",
-            "alnum_special_ratio": f"__alnum / (__alnum + length(__spec) + {EPS})",
+            "alnum_special_ratio": f"__alnum / (char_count - whitespace_count + {EPS})",
             "digit_proportion": f"{count_matches('__t', p.DIGIT)} / __chars",
             "uppercase_proportion": f"{count_matches('__t', '[A-Z]')} / __chars",
-            "punctuation_proportion": f"{count_matches('__spec', punctuation)} / __chars",
+            "punctuation_proportion": f"{count_matches('__rest', punctuation)} / __chars",
             "stopword_proportion": "if(size(__sw) > 0, __stop / size(__sw), 0.0D)",
         },
     ]

@@ -3,9 +3,10 @@
 All trees of all (configuration, tokenizer, scope, fold) cells grow together. A
 level is two aggregations over the rows still in open nodes: the range of each
 feature per node, from which a threshold is drawn, and the sums left of each
-threshold, from which the best split is chosen. Nodes stay in tables: nothing
-that grows with the data reaches the driver. The small per-node tables are
-joined by broadcast when they are counted to be small and by shuffle otherwise.
+threshold, from which the best split is chosen. Only per-node sums are shuffled.
+Rows find their node by joining the splits so far; that path is stored every few
+levels. Node tables whose size is bounded or counted to be small are inlined, so
+their joins broadcast; larger ones are stored and joined by shuffle.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 from tokengauge.functions.text import SELECTED_FEATURES
 from tokengauge.operators.rows import SCOPES
 from tokengauge.plans.forest import DEEPEST, SEED, TreeConfig
-from tokengauge.session import inline_small, materialize
+from tokengauge.session import inline, inline_small, local_table, materialize, SMALL_TABLE_ROWS
 
 CELL = ["config_id", "tokenizer", "scope", "fold"]
 NODE = [*CELL, "tree", "node"]
 NO_FOLD = -1  # the fold of a fit on all rows
+STORE_EVERY = 6  # levels between stored copies of the rows' places
 
 
 def _uniform(feature: str, seed: int) -> Column:
@@ -37,7 +39,7 @@ def _cells(table: DataFrame, configs, targets, scopes, folds) -> DataFrame:
         (i, t, s, f, c.n_estimators, min(c.max_depth or DEEPEST, DEEPEST), c.min_samples_leaf)
         for (i, c), t, s, f in itertools.product(enumerate(configs), targets, scopes, folds)
     ]
-    return table.sparkSession.createDataFrame(
+    return local_table(table.sparkSession, 
         rows, "config_id int, tokenizer string, scope string, fold int, trees int, depth int, leaf int"
     )
 
@@ -104,6 +106,13 @@ def _choose(rows: DataFrame, drawn: DataFrame, features: list[str]) -> DataFrame
     return picked.join(drawn, NODE).select(*NODE, feature.alias("feature"), cut.alias("cut"))
 
 
+def _node_table(nodes: DataFrame, bound: int) -> DataFrame:
+    """Compute a per-node table once: inline when its bound or its count is small, else stored."""
+    if bound <= SMALL_TABLE_ROWS:
+        return inline(nodes)
+    return inline_small(materialize(nodes, "et-nodes"))
+
+
 def _value_of(features: list[str]) -> Column:
     """The row's value of the feature its node splits on."""
     x = F.lit(None).cast("double")
@@ -132,14 +141,16 @@ def fit(
     """
     features = list(features)
     cells = _cells(table, configs, targets, scopes, folds)
-    rows = materialize(_open_rows(table, cells, features, targets), "et-rows")
+    rows = _open_rows(table, cells, features, targets)
+    roots = sum(c.n_estimators for c in configs) * len(targets) * len(scopes) * len(folds)
     levels = []
     for level in range(max(min(c.max_depth or DEEPEST, DEEPEST) for c in configs) + 1):
-        stats = materialize(_node_stats(rows, features), "et-nodes")
+        bound = roots << level
+        stats = _node_table(_node_stats(rows, features), bound)
         if stats.isEmpty():
             break
-        drawn = inline_small(_draw(stats, features, seed, level))
-        splits = inline_small(_choose(rows, drawn, features))
+        drawn = _draw(stats, features, seed, level)
+        splits = _node_table(_choose(rows, drawn, features), bound)
         levels.append(
             stats.join(splits, NODE, "left").select(
                 *NODE, F.lit(level).alias("level"), "n", "value", "feature", "cut"
@@ -147,7 +158,9 @@ def fit(
         )
         if splits.isEmpty():
             break
-        rows = materialize(_descend(rows, splits, features), "et-rows")
+        rows = _descend(rows, splits, features)
+        if level % STORE_EVERY == STORE_EVERY - 1:
+            rows = materialize(rows, "et-rows")
     out = levels[0]
     for nodes in levels[1:]:
         out = out.unionByName(nodes)
@@ -170,23 +183,24 @@ def predict(
     data = table.withColumnRenamed("fold", "own_fold").unpivot(
         [key, *features, "is_english", "own_fold"], list(targets), "tokenizer", "y"
     ).where("y is not null")
-    roots = inline_small(trees.where("node = 1").select(*CELL, "tree"))
+    trees = inline_small(trees)
+    roots = trees.where("node = 1").select(*CELL, "tree")
     rows = data.join(roots, "tokenizer").where((F.col("scope") == "all") | F.col("is_english"))
     if held_out:
         rows = rows.where(F.col("fold") == F.col("own_fold"))
     rows = rows.select(*CELL, "tree", F.lit(1).cast("bigint").alias("node"), key, F.col("y").cast("double").alias("y"), *features)
     deepest = trees.agg(F.max("level")).collect()[0][0]
     for level in range(deepest):
-        splits = inline_small(
-            trees.where((F.col("level") == level) & F.col("feature").isNotNull()).select(*NODE, "feature", "cut")
+        splits = trees.where((F.col("level") == level) & F.col("feature").isNotNull()).select(
+            *NODE, "feature", "cut"
         )
         step = F.when(F.col("feature").isNull(), F.col("node")).otherwise(
             F.col("node") * 2 + F.when(_value_of(features) <= F.col("cut"), 0).otherwise(1)
         )
         rows = rows.join(splits, NODE, "left").withColumn("node", step).drop("feature", "cut")
-        if level % 5 == 4:  # keep the chain of joins short
+        if level % STORE_EVERY == STORE_EVERY - 1:  # keep the chain of joins short
             rows = materialize(rows, "et-walk")
-    values = inline_small(trees.where("feature is null").select(*NODE, "value"))
+    values = trees.where("feature is null").select(*NODE, "value")
     return (
         rows.join(values, NODE)
         .groupBy(*CELL, key)

@@ -15,7 +15,7 @@ from tokengauge.operators.metrics import METRICS, regression_metrics, to_long
 from tokengauge.operators.moments import FoldParts, Moments, collect_fold_parts
 from tokengauge.operators.rows import SCOPES
 from tokengauge.plans.training import long_targets, params_schema, predict_linear
-from tokengauge.session import materialize
+from tokengauge.session import local_table, materialize
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,7 @@ def cross_validate(
     features = list(features)
     long = long_targets(table, targets)
     parts = collect_fold_parts(long, [*features, "y"])
-    params = table.sparkSession.createDataFrame(
+    params = local_table(table.sparkSession, 
         fit_grid(parts, penalties, scopes), params_schema(table.schema["fold"].dataType)
     )
     return predict_linear(long, params, features, keep=keep)
@@ -155,6 +155,6 @@ def univariate_search(table: DataFrame, target: str, candidates: Sequence[str],
 def final_parameters(table: DataFrame, targets: Sequence[str], features: Sequence[str], penalty: Penalty) -> DataFrame:
     """Fit on all rows of each scope: one parameter row per tokenizer and scope."""
     parts = collect_fold_parts(long_targets(table, targets), [*features, "y"])
-    return table.sparkSession.createDataFrame(
+    return local_table(table.sparkSession, 
         fit_grid(parts, [penalty], held_out=[None]), params_schema(T.IntegerType())
     )

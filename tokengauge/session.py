@@ -5,12 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A side is only inlined (and so broadcast) when it has been counted below this.
-SMALL_TABLE_ROWS = 200_000
+SMALL_TABLE_ROWS = 50_000
 # Inputs below this size are spread over all cores; larger ones keep their scan splits.
 SPREAD_BYTES = 1 << 30
 
@@ -28,6 +32,7 @@ def local_session(app: str = "tokengauge", cpus: str | int = "*") -> SparkSessio
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -65,6 +70,24 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
+    """A table of driver rows as a local relation, whose exact size the optimizer knows.
+
+    (From a list of rows Spark would make an RDD of unknown size, which is never broadcast.)
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    arrays = [pa.array(list(c), f.type) for c, f in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)
+
+
+def inline(df: DataFrame) -> DataFrame:
+    """Compute a table whose size is bounded by the model grid, as a local relation."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def inline_small(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
     """Turn a table that was checked to be small into a local relation.
 
@@ -72,8 +95,8 @@ def inline_small(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold``. A larger table is returned as it
     is, so the join stays a shuffle join.
     """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = df.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
         return df
     return df.sparkSession.createDataFrame(rows, df.schema)
 
