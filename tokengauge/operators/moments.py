@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokengauge.session import inline_small
+
 
 def scaler_fit(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """``(keys..., feature, n, mean, scale)``: population deviation, 1.0 where it is 0."""
@@ -35,13 +37,15 @@ def scaler_fit(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Da
 
 
 def scaler_transform(df: DataFrame, fitted: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Z-score ``columns`` with the statistics of the row's group."""
+    """Z-score ``columns`` with the statistics of the row's group (``keys`` may be empty)."""
+    if not keys:
+        found = {r["feature"]: (r["mean"], r["scale"]) for r in fitted.collect()}  # a row per column
+        return df.withColumns({c: (F.col(c) - F.lit(found[c][0])) / F.lit(found[c][1]) for c in columns})
     wide = fitted.groupBy(*keys).pivot("feature", list(columns)).agg(
         F.first("mean").alias("mean"), F.first("scale").alias("scale")
     )
-    joined = df.join(wide, list(keys)) if keys else df.join(F.broadcast(wide))
     scaled = {c: (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_scale") for c in columns}
-    return joined.withColumns(scaled).select(*df.columns)
+    return df.join(inline_small(wide), list(keys)).withColumns(scaled).select(*df.columns)
 
 
 def product_name(a: str, b: str) -> str:

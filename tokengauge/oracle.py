@@ -243,7 +243,7 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, 'pretoken' as tokenizer, {PRETOKENS}::bigint as target from documents
             union all select doc_id, 'gap_words', {GAP_WORDS}::bigint from documents""",
         "ratio_profile": f"""
-            with r as (select {LANGUAGE} as language, {ratio} as ratio, {PRETOKENS}::double / length(text)::double as per_char from documents)
+            with r as (select {LANGUAGE} as language, {ratio} as ratio, {PRETOKENS}::double / nullif(length(text), 0)::double as per_char from documents)
             select 'pretoken' as tokenizer, language, count(*) as n, round(avg(ratio), 6) as per_word, round(avg(per_char), 6) as per_char,
               round(quantile_cont(ratio, 0.25), 6) as p25, round(quantile_cont(ratio, 0.5), 6) as p50, round(quantile_cont(ratio, 0.75), 6) as p75
             from r group by language""",

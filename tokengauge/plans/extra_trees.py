@@ -14,96 +14,102 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokengauge.functions.text import SELECTED_FEATURES
 from tokengauge.operators.rows import SCOPES
 from tokengauge.plans.forest import DEEPEST, SEED, TreeConfig
-from tokengauge.session import inline, inline_small, local_table, materialize, SMALL_TABLE_ROWS
+from tokengauge.plans.training import long_targets
+from tokengauge.session import SMALL_TABLE_ROWS, inline, inline_small, local_table, materialize
 
 CELL = ["config_id", "tokenizer", "scope", "fold"]
 NODE = [*CELL, "tree", "node"]
 NO_FOLD = -1  # the fold of a fit on all rows
 STORE_EVERY = 6  # levels between stored copies of the rows' places
-
-
-def _uniform(feature: str, seed: int) -> Column:
-    """A number in [0, 1) drawn from the node's identity: the same in any run or partitioning."""
-    key = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in NODE], F.lit(feature))
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
-
-
-def _cells(table: DataFrame, configs, targets, scopes, folds) -> DataFrame:
-    rows = [
-        (i, t, s, f, c.n_estimators, min(c.max_depth or DEEPEST, DEEPEST), c.min_samples_leaf)
-        for (i, c), t, s, f in itertools.product(enumerate(configs), targets, scopes, folds)
-    ]
-    return local_table(table.sparkSession, 
-        rows, "config_id int, tokenizer string, scope string, fold int, trees int, depth int, leaf int"
+# A node of any tree is one number, its slot: tree_id * 2^32 + heap index. The
+# children of heap index i are 2i and 2i + 1. One long key keeps joins and
+# aggregations on their fast paths.
+TREE = 1 << 32
+
+
+def _roots(table: DataFrame, configs, targets, scopes, folds) -> DataFrame:
+    """One row per tree to grow: its cell, its limits and the slot of its root."""
+    rows = []
+    for (i, c), t, s, f in itertools.product(enumerate(configs), targets, scopes, folds):
+        for tree in range(c.n_estimators):
+            depth = min(c.max_depth or DEEPEST, DEEPEST)
+            rows.append((i, t, s, f, tree, depth, c.min_samples_leaf, len(rows) * TREE + 1))
+    return local_table(
+        table.sparkSession, rows,
+        "config_id int, tokenizer string, scope string, fold int, tree int, depth int, leaf int, slot bigint",
     )
 
 
-def _open_rows(table: DataFrame, cells: DataFrame, features: list[str], targets: Sequence[str]) -> DataFrame:
-    """Training rows of every tree, at its root."""
-    data = table.withColumnRenamed("fold", "own_fold").unpivot(
-        [*features, "is_english", "own_fold"], list(targets), "tokenizer", "y"
-    ).where("y is not null")
+def _training_rows(table: DataFrame, roots: DataFrame, features: list[str], targets: Sequence[str]) -> DataFrame:
+    """``slot, y, features...``: every row once per tree that trains on it."""
+    long = long_targets(table.withColumnRenamed("fold", "own_fold"), targets)
+    cells = roots.groupBy(*CELL).agg(F.collect_list("slot").alias("slots"))
     return (
-        data.join(cells, "tokenizer")
-        .where((F.col("scope") == "all") | F.col("is_english"))
-        .where(F.col("fold") != F.col("own_fold"))
-        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
-        .select(*CELL, "tree", F.lit(1).cast("bigint").alias("node"), "depth", "leaf",
-                F.col("y").cast("double").alias("y"), *features)
+        long.join(inline(cells), "tokenizer")
+        .where("(scope = 'all' or is_english) and fold <> own_fold")
+        .select(F.explode("slots").alias("slot"), F.col("y").cast("double").alias("y"), *features)
     )
 
 
 def _node_stats(rows: DataFrame, features: list[str]) -> DataFrame:
-    ranges = [F.min(f).alias(f"lo_{f}") for f in features] + [F.max(f).alias(f"hi_{f}") for f in features]
-    return rows.groupBy(*NODE, "depth", "leaf").agg(
-        F.count("*").alias("n"), F.sum("y").alias("sum_y"), F.avg("y").alias("value"),
-        F.var_pop("y").alias("var"), *ranges
-    )
+    ranges = [f"min({f}) as lo_{f}" for f in features] + [f"max({f}) as hi_{f}" for f in features]
+    sums = ["count(*) as n", "avg(y) as value", "var_pop(y) as var"]
+    return rows.groupBy("slot").agg(*[F.expr(e) for e in (*sums, *ranges)])
+
 
+def _draw(stats: DataFrame, roots: DataFrame, features: list[str], seed: int, level: int) -> DataFrame:
+    """Nodes that may split, with one random threshold per feature that varies.
 
-def _draw(stats: DataFrame, features: list[str], seed: int, level: int) -> DataFrame:
-    """Nodes that may split, with one random threshold per feature that varies."""
-    divisible = (F.col("n") >= 2 * F.col("leaf")) & (F.col("var") > 0) & (F.col("depth") > level)
+    The draw comes from the node's identity: the same in any partitioning.
+    """
+    limits = roots.selectExpr(f"slot div {TREE} as tree_id", "depth", "leaf")
     cuts = [
-        F.when(
-            F.col(f"hi_{f}") > F.col(f"lo_{f}"),
-            F.col(f"lo_{f}") + _uniform(f, seed) * (F.col(f"hi_{f}") - F.col(f"lo_{f}")),
-        ).alias(f"cut_{f}")
+        f"if(hi_{f} > lo_{f}, lo_{f} + (hi_{f} - lo_{f}) * "
+        f"conv(substring(md5(concat('{seed}:', slot, ':{f}')), 1, 12), 16, 10) / {float(16**12)}D, null) as cut_{f}"
         for f in features
     ]
-    return stats.where(divisible).select(*NODE, "n", "sum_y", "value", *cuts)
+    return (
+        stats.withColumn("tree_id", F.expr(f"slot div {TREE}"))
+        .join(limits, "tree_id")
+        .where(f"n >= 2 * leaf and var > 0 and depth > {level}")
+        .selectExpr("slot", "value", "leaf", *cuts)
+    )
 
 
 def _choose(rows: DataFrame, drawn: DataFrame, features: list[str]) -> DataFrame:
     """The split with the largest drop of squared error, if both sides hold a full leaf."""
-    joined = rows.join(drawn.select(*NODE, "value", *[f"cut_{f}" for f in features]), NODE)
-    centred = F.col("y") - F.col("value")
-    left = []
+    joined = rows.join(drawn, "slot").withColumn("d", F.expr("y - value"))
+    sums = ["count(*) as n", "sum(d) as s", "first(leaf) as leaf"]
     for f in features:
-        goes_left = F.col(f) <= F.col(f"cut_{f}")
-        left += [
-            F.sum(goes_left.cast("long")).alias(f"n_{f}"),
-            F.sum(F.when(goes_left, centred).otherwise(0.0)).alias(f"s_{f}"),
+        sums += [
+            f"count_if({f} <= cut_{f}) as n_{f}",
+            f"sum(if({f} <= cut_{f}, d, 0D)) as s_{f}",
+            f"first(cut_{f}) as cut_{f}",
         ]
-    sides = joined.groupBy(*NODE, "leaf").agg(F.count("*").alias("n"), F.sum(centred).alias("s"), *left)
-    options = []
-    for i, f in enumerate(features):
-        n_left, n_right = F.col(f"n_{f}"), F.col("n") - F.col(f"n_{f}")
-        s_left, s_right = F.col(f"s_{f}"), F.col("s") - F.col(f"s_{f}")
-        gain = s_left * s_left / n_left + s_right * s_right / n_right
-        fits = (n_left >= F.col("leaf")) & (n_right >= F.col("leaf"))
-        options.append(F.when(fits, F.struct(gain.alias("gain"), F.lit(-i).alias("at"))))
-    best = F.greatest(*options)
-    picked = sides.select(*NODE, best.alias("best")).where("best is not null")
-    feature = F.element_at(F.array(*[F.lit(f) for f in features]), 1 - F.col("best.at"))
-    cut = F.element_at(F.array(*[F.col(f"cut_{f}") for f in features]), 1 - F.col("best.at"))
-    return picked.join(drawn, NODE).select(*NODE, feature.alias("feature"), cut.alias("cut"))
+    options = [
+        f"if(n_{f} >= leaf and n - n_{f} >= leaf, named_struct('gain', "
+        f"s_{f} * s_{f} / n_{f} + (s - s_{f}) * (s - s_{f}) / (n - n_{f}), 'at', {-i}, 'cut', cut_{f}), null)"
+        for i, f in enumerate(features)
+    ]
+    best = f"greatest({', '.join(options)})" if len(options) > 1 else options[0]
+    return (
+        joined.groupBy("slot").agg(*[F.expr(e) for e in sums])
+        .selectExpr("slot", f"{best} as best")
+        .where("best is not null")
+        .selectExpr("slot", "-best.at as at", "best.cut as cut")
+    )
+
+
+def _child(features: list[str]) -> str:
+    """The slot a row moves to; without a split it stays."""
+    value = " ".join(f"when {i} then {f}" for i, f in enumerate(features))
+    return f"if(at is null, slot, slot + slot % {TREE} + if(case at {value} end <= cut, 0, 1))"
 
 
 def _node_table(nodes: DataFrame, bound: int) -> DataFrame:
@@ -113,19 +119,6 @@ def _node_table(nodes: DataFrame, bound: int) -> DataFrame:
     return inline_small(materialize(nodes, "et-nodes"))
 
 
-def _value_of(features: list[str]) -> Column:
-    """The row's value of the feature its node splits on."""
-    x = F.lit(None).cast("double")
-    for f in features:
-        x = F.when(F.col("feature") == f, F.col(f)).otherwise(x)
-    return x
-
-
-def _descend(rows: DataFrame, splits: DataFrame, features: list[str]) -> DataFrame:
-    child = F.col("node") * 2 + F.when(_value_of(features) <= F.col("cut"), 0).otherwise(1)
-    return rows.join(splits, NODE).withColumn("node", child).drop("feature", "cut")
-
-
 def fit(
     table: DataFrame,
     targets: Sequence[str],
@@ -135,36 +128,42 @@ def fit(
     folds: Sequence[int] = (NO_FOLD,),
     seed: int = SEED,
 ) -> DataFrame:
-    """Node table of all trees: ``NODE..., level, value, feature, cut`` (leaves have no feature).
+    """Node table of all trees: ``NODE..., slot, level, n, value, feature, at, cut``.
 
-    Node numbers are those of a binary heap: the children of ``i`` are ``2i`` and ``2i + 1``.
+    Leaves have no feature; ``at`` is the feature's place in ``features``.
     """
     features = list(features)
-    cells = _cells(table, configs, targets, scopes, folds)
-    rows = _open_rows(table, cells, features, targets)
-    roots = sum(c.n_estimators for c in configs) * len(targets) * len(scopes) * len(folds)
+    roots = _roots(table, configs, targets, scopes, folds)
+    trees = sum(c.n_estimators for c in configs) * len(targets) * len(scopes) * len(folds)
+    rows = _training_rows(table, roots, features, targets)
     levels = []
     for level in range(max(min(c.max_depth or DEEPEST, DEEPEST) for c in configs) + 1):
-        bound = roots << level
+        bound = trees << level
         stats = _node_table(_node_stats(rows, features), bound)
         if stats.isEmpty():
             break
-        drawn = _draw(stats, features, seed, level)
-        splits = _node_table(_choose(rows, drawn, features), bound)
+        splits = _node_table(_choose(rows, _draw(stats, roots, features, seed, level), features), bound)
         levels.append(
-            stats.join(splits, NODE, "left").select(
-                *NODE, F.lit(level).alias("level"), "n", "value", "feature", "cut"
-            )
+            stats.join(splits, "slot", "left").selectExpr("slot", f"{level} as level", "n", "value", "at", "cut")
         )
         if splits.isEmpty():
             break
-        rows = _descend(rows, splits, features)
+        rows = rows.join(splits, "slot").selectExpr(f"{_child(features)} as slot", "y", *features)
         if level % STORE_EVERY == STORE_EVERY - 1:
             rows = materialize(rows, "et-rows")
-    out = levels[0]
-    for nodes in levels[1:]:
-        out = out.unionByName(nodes)
-    return materialize(out, "et-trees")
+    nodes = levels[0]
+    for more in levels[1:]:
+        nodes = nodes.unionByName(more)
+    names = ", ".join(f"'{f}'" for f in features)
+    cells = roots.selectExpr(*CELL, "tree", f"slot div {TREE} as tree_id")
+    out = nodes.withColumn("tree_id", F.expr(f"slot div {TREE}")).join(cells, "tree_id")
+    return materialize(
+        out.selectExpr(
+            *CELL, "tree", f"slot % {TREE} as node", "slot", "level", "n", "value",
+            f"get(array({names}), at) as feature", "at", "cut",
+        ),
+        "et-trees",
+    )
 
 
 def predict(
@@ -180,30 +179,23 @@ def predict(
     Rows walk down one level per join; a row whose node is a leaf stays there.
     """
     features = list(features)
-    data = table.withColumnRenamed("fold", "own_fold").unpivot(
-        [key, *features, "is_english", "own_fold"], list(targets), "tokenizer", "y"
-    ).where("y is not null")
+    deepest = trees.agg(F.max("level")).collect()[0][0]
     trees = inline_small(trees)
-    roots = trees.where("node = 1").select(*CELL, "tree")
-    rows = data.join(roots, "tokenizer").where((F.col("scope") == "all") | F.col("is_english"))
+    roots = trees.where("node = 1").groupBy(*CELL).agg(F.collect_list("slot").alias("slots"))
+    rows = long_targets(table.withColumnRenamed("fold", "own_fold"), targets).join(inline_small(roots), "tokenizer")
+    rows = rows.where("scope = 'all' or is_english")
     if held_out:
-        rows = rows.where(F.col("fold") == F.col("own_fold"))
-    rows = rows.select(*CELL, "tree", F.lit(1).cast("bigint").alias("node"), key, F.col("y").cast("double").alias("y"), *features)
-    deepest = trees.agg(F.max("level")).collect()[0][0]
+        rows = rows.where("fold = own_fold")
+    rows = rows.select(*CELL, key, F.explode("slots").alias("slot"), F.col("y").cast("double").alias("y"), *features)
+    kept = [*CELL, key, "y", *features]
     for level in range(deepest):
-        splits = trees.where((F.col("level") == level) & F.col("feature").isNotNull()).select(
-            *NODE, "feature", "cut"
-        )
-        step = F.when(F.col("feature").isNull(), F.col("node")).otherwise(
-            F.col("node") * 2 + F.when(_value_of(features) <= F.col("cut"), 0).otherwise(1)
-        )
-        rows = rows.join(splits, NODE, "left").withColumn("node", step).drop("feature", "cut")
+        splits = trees.where(f"level = {level} and at is not null").select("slot", "at", "cut")
+        rows = rows.join(splits, "slot", "left").selectExpr(f"{_child(features)} as slot", *kept)
         if level % STORE_EVERY == STORE_EVERY - 1:  # keep the chain of joins short
             rows = materialize(rows, "et-walk")
-    values = trees.where("feature is null").select(*NODE, "value")
+    values = trees.where("at is null").select("slot", "value")
     return (
-        rows.join(values, NODE)
+        rows.join(values, "slot")
         .groupBy(*CELL, key)
         .agg(F.first("y").alias("y"), F.avg("value").alias("yhat"))
     )
-

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tokengauge.functions.text import SELECTED_FEATURES
 from tokengauge.operators.rows import SCOPES
+from tokengauge.session import shared_path
 
 SEED = 42
 # Spark ML trees are at most this deep; it stands for "unlimited".
@@ -59,7 +60,7 @@ def pipeline(config: TreeConfig, features: Sequence[str], label: str) -> Pipelin
                 numTrees=config.n_estimators,
                 maxDepth=min(config.max_depth or DEEPEST, DEEPEST),
                 minInstancesPerNode=config.min_samples_leaf,
-                featureSubsetStrategy="all", maxBins=MAX_BINS, seed=SEED,
+                featureSubsetStrategy="all", maxBins=MAX_BINS, maxMemoryInMB=1024, seed=SEED,
             ),
         ]
     )
@@ -78,32 +79,39 @@ def grid_search(
     folds: Sequence[int] | None = None,
     model: str = "rf",
 ) -> DataFrame:
-    """Held-out predictions ``model, config_id, config, tokenizer, scope, fold, y, yhat``."""
+    """Held-out predictions ``model, config_id, config, tokenizer, scope, fold, y, yhat``.
+
+    Each fit stores its predictions, so no model outlives its job and a lost
+    executor never makes a forest grow again.
+    """
+    spark = table.sparkSession
     features = list(features)
+    place = shared_path(spark, "forest-predictions")
     if folds is None:
         folds = sorted(r["fold"] for r in table.select("fold").distinct().collect())
 
-    def run(job: tuple) -> DataFrame | None:
-        (config_id, config), target, scope, fold = job
+    def run(job: tuple) -> str | None:
+        number, ((config_id, config), target, scope, fold) = job
         rows = scope_rows(table.where(F.col(target).isNotNull()), scope)
         train = rows.where(F.col("fold") != fold)
         if train.isEmpty():
             return None
         fitted = pipeline(config, features, target).fit(train)
-        return fitted.transform(rows.where(F.col("fold") == fold)).select(
+        scored = fitted.transform(rows.where(F.col("fold") == fold)).select(
             F.lit(model).alias("model"), F.lit(config_id).alias("config_id"),
             F.lit(config.name).alias("config"), F.lit(target).alias("tokenizer"),
             F.lit(scope).alias("scope"), "fold",
             F.col(target).cast("double").alias("y"), "yhat",
         )
+        scored.write.parquet(f"{place}/{number}")
+        return f"{place}/{number}"
 
-    jobs = list(itertools.product(enumerate(configs), targets, scopes, folds))
+    table.persist()
+    jobs = enumerate(itertools.product(enumerate(configs), targets, scopes, folds))
     with ThreadPoolExecutor(POOL) as pool:
-        done = [d for d in pool.map(run, jobs) if d is not None]
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        done = [path for path in pool.map(run, jobs) if path is not None]
+    table.unpersist()
+    return spark.read.parquet(*done)
 
 
 def fit_final(

@@ -133,7 +133,7 @@ def ratio_profile(spark, sf_dir):
     means = ratios.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.avg("ratio").alias("per_word"),
-        F.avg(F.col("pretoken") / F.col("char_count")).alias("per_char"),
+        F.avg(F.try_divide("pretoken", "char_count")).alias("per_char"),
     )
     cuts = exact_quantiles(ratios, keys, "ratio", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     return rounded(means.join(cuts, keys), 6)
