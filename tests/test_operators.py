@@ -36,6 +36,19 @@ def test_quantiles_stay_exact_when_the_sketch_misses(spark, monkeypatch):
         assert r["m"] == pytest.approx(np.median(v)) and r["t"] == pytest.approx(np.quantile(v, 0.9))
 
 
+def test_quantiles_of_large_groups_are_narrowed(spark, monkeypatch):
+    """With a small limit for one task, brackets are cut down again and the result stays exact."""
+    monkeypatch.setattr(quantiles, "ACCURACY", 20)
+    monkeypatch.setattr(quantiles, "MARGIN", 0.2)
+    monkeypatch.setattr(quantiles, "MAX_INSIDE", 40)
+    rng = random.Random(3)
+    data = [("smooth", rng.gauss(0, 1)) for _ in range(20001)] + [("hot", float(rng.choice([1, 1, 1, 2, 9]))) for _ in range(5000)]
+    df = spark.createDataFrame(data, "k string, v double").repartition(6)
+    for r in exact_quantiles(df, ["k"], "v", {"m": 0.5, "t": 0.75}).collect():
+        v = [x for k, x in data if k == r["k"]]
+        assert r["m"] == pytest.approx(np.median(v)) and r["t"] == pytest.approx(np.quantile(v, 0.75))
+
+
 def plain_metrics(y, p):
     y, p = np.array(y, float), np.array(p, float)
     e = np.abs(y - p)

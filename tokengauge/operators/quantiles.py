@@ -1,8 +1,9 @@
 """Exact quantiles of groups of any size.
 
 The built-in exact ``percentile`` gathers every distinct value of a group in one
-task. Here a mergeable sketch first brackets each wanted rank; only the rows
-inside the bracket (a few ten-thousandths of the group) are then ordered.
+task. Here a mergeable sketch brackets each wanted rank, rows outside the bracket
+are only counted, and the bracket is narrowed until few rows are left inside;
+only those are ordered.
 """
 
 from __future__ import annotations
@@ -17,6 +18,49 @@ from tokengauge.session import inline_small
 ACCURACY = 10_000
 # Ranks to either side of the wanted one, as a share of the group.
 MARGIN = 4.0 / ACCURACY
+# Rows of a group that one task may order; above it the bracket is narrowed again.
+MAX_INSIDE = 1_000_000
+MAX_ROUNDS = 6
+GRID = 100
+
+
+def _count(data: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """Count rows below and up to each new bracket ``lo .. hi``.
+
+    Should a sketch have missed its rank, that side goes back to the bracket
+    before (``lo0 .. hi0``), which is known to hold it.
+    """
+    counted = (
+        data.join(brackets, keys)
+        .groupBy(*keys, "name", "pos", "lo", "hi", "lo0", "hi0", "below0")
+        .agg(F.expr("count_if(__v < lo) as below"), F.expr("count_if(__v <= hi) as upto"))
+    )
+    low, high = "below > floor(pos)", "upto < ceil(pos) + 1"
+    return inline_small(
+        counted.selectExpr(
+            *keys, "name", "pos",
+            f"if({low}, lo0, lo) as lo", f"if({high}, hi0, hi) as hi",
+            f"if({low}, below0, below) as below", f"if({high}, null, upto) as upto",
+        )
+    )
+
+
+def _narrow(data: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketch the rows inside each bracket and cut it down around the wanted rank."""
+    inside = data.join(brackets, keys).where("__v between lo and hi")
+    steps = [i / GRID for i in range(GRID + 1)]
+    sketch = inside.groupBy(*keys, "name", "pos", "lo", "hi", "below").agg(
+        F.count("*").alias("m"), F.percentile_approx("__v", steps, ACCURACY).alias("marks")
+    )
+    at = f"(pos - below) / greatest(m - 1, 1) * {GRID}"
+    return inline_small(
+        sketch.selectExpr(
+            *keys, "name", "pos",
+            f"marks[greatest(cast(floor({at}) as int) - 1, 0)] as lo",
+            f"marks[least(cast(ceil({at}) as int) + 1, {GRID})] as hi",
+            "lo as lo0", "hi as hi0", "below as below0",
+        )
+    )
 
 
 def exact_quantiles(
@@ -24,7 +68,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with a column per entry of ``probs`` (name -> probability).
 
-    Linear interpolation between neighbouring ranks. ``df`` is read three times.
+    Linear interpolation between neighbouring ranks. ``df`` is read three times,
+    and twice more for each narrowing that very large groups need.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
@@ -33,63 +78,39 @@ def exact_quantiles(
     for q in probs.values():
         marks += [max(0.0, q - MARGIN), min(1.0, q + MARGIN)]
     sketch = data.groupBy(*keys).agg(
-        F.count("*").alias("__n"),
-        F.percentile_approx("__v", marks, ACCURACY).alias("__marks"),
+        F.count("*").alias("n"), F.percentile_approx("__v", marks, ACCURACY).alias("marks")
     )
-    wanted = F.explode(
-        F.array(*[
-            F.struct(
-                F.lit(name).alias("name"),
-                (F.lit(q) * (F.col("__n") - 1)).alias("pos"),
-                F.col("__marks")[2 * i].alias("lo"),
-                F.col("__marks")[2 * i + 1].alias("hi"),
-            )
-            for i, (name, q) in enumerate(probs.items())
-        ])
+    wanted = ", ".join(
+        f"named_struct('name', '{name}', 'pos', {q}D * (n - 1), 'lo', marks[{2 * i}], 'hi', marks[{2 * i + 1}])"
+        for i, (name, q) in enumerate(probs.items())
     )
-    brackets = inline_small(sketch.select(*keys, wanted.alias("w")).select(*keys, "w.*"))
-
-    # Count what lies outside. Should a sketch ever miss its rank, that side opens fully.
-    outside = (
-        data.join(brackets, keys)
-        .groupBy(*keys, "name", "pos", "lo", "hi")
-        .agg(
-            F.sum((F.col("__v") < F.col("lo")).cast("long")).alias("below"),
-            F.sum((F.col("__v") <= F.col("hi")).cast("long")).alias("upto"),
-        )
-    )
-    missed_low = F.col("below") > F.floor("pos")
-    missed_high = F.col("upto") < F.ceil("pos") + 1
     brackets = inline_small(
-        outside.select(
-            *keys, "name", "pos",
-            F.when(missed_low, F.lit(float("-inf"))).otherwise(F.col("lo")).alias("lo"),
-            F.when(missed_high, F.lit(float("inf"))).otherwise(F.col("hi")).alias("hi"),
-            F.when(missed_low, F.lit(0).cast("long")).otherwise(F.col("below")).alias("below"),
+        sketch.selectExpr(*keys, f"explode(array({wanted})) as w").selectExpr(
+            *keys, "w.*", "double('-inf') as lo0", "double('inf') as hi0", "0L as below0"
         )
     )
+    brackets = _count(data, brackets, keys)
+    for _ in range(MAX_ROUNDS):
+        if brackets.where(f"coalesce(upto - below, {MAX_INSIDE} + 1) > {MAX_INSIDE} and lo < hi").isEmpty():
+            break
+        brackets = _count(data, _narrow(data, brackets, keys), keys)
 
     # Equal values are counted before the shuffle, so a hot value is one row.
     inside = (
         data.join(brackets, keys)
-        .where(F.col("__v").between(F.col("lo"), F.col("hi")))
+        .where("__v between lo and hi")
         .groupBy(*keys, "name", "pos", "below", "__v")
         .count()
     )
-    order = Window.partitionBy(*keys, "name").orderBy("__v")
-    ranked = inside.withColumn("last", F.sum("count").over(order) + F.col("below") - 1).withColumn(
-        "first", F.col("last") - F.col("count") + 1
-    )
-
-    def at(rank):
-        return F.max(F.when(rank.between(F.col("first"), F.col("last")), F.col("__v")))
-
+    order = Window.partitionBy(*keys, "name").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("last", F.sum("count").over(order) + F.col("below") - 1)
+    hit = "__v, null)) as {0}"
     picked = ranked.groupBy(*keys, "name", "pos").agg(
-        at(F.floor("pos")).alias("a"), at(F.ceil("pos")).alias("b")
+        F.expr("max(if(floor(pos) between last - count + 1 and last, " + hit.format("a")),
+        F.expr("max(if(ceil(pos) between last - count + 1 and last, " + hit.format("b")),
     )
-    quantile = F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))
     return (
-        picked.select(*keys, "name", quantile.alias("q"))
+        picked.selectExpr(*keys, "name", "a + (b - a) * (pos - floor(pos)) as q")
         .groupBy(*keys)
         .pivot("name", list(probs))
         .agg(F.first("q"))
