@@ -8,6 +8,7 @@ import regex
 
 from tokengauge.functions.patterns import STOPWORDS, UNICODE_SCRIPTS
 
+# fixed values: the patterns in their Python form
 BACK_SPACED = [
     re.compile(r"```.*?```|~~~.*?~~~", re.S),
     re.compile(r"`[^`\n]+`"),

@@ -255,6 +255,19 @@ def test_extra_trees(table, local):
     assert sorted(map(str, again.select(*pick).collect())) == sorted(map(str, once.select(*pick).collect()))
 
 
+def test_extra_trees_without_inlined_tables(table, monkeypatch):
+    """Node tables too large to inline are stored and joined by shuffle: the same trees."""
+    grid = [forest.TreeConfig(2, 4, 5)]
+    pick = [*extra_trees.NODE, "feature", "n"]
+    once = sorted(map(str, extra_trees.fit(table, TARGET, grid, scopes=["all"]).select(*pick).collect()))
+    monkeypatch.setattr(extra_trees, "SMALL_TABLE_ROWS", 0)
+    monkeypatch.setattr(extra_trees, "inline_small", lambda df: df)
+    monkeypatch.setattr(extra_trees, "STORE_EVERY", 2)
+    trees = extra_trees.fit(table, TARGET, grid, scopes=["all"])
+    assert sorted(map(str, trees.select(*pick).collect())) == once
+    assert extra_trees.predict(table, trees, TARGET, held_out=False).count() == table.count()
+
+
 def test_forest_grid(table):
     grid = forest.tree_grid(n_estimators=[4], max_depth=[4], min_samples_leaf=[5, 10])
     assert len(forest.tree_grid()) == 12 and len(mlp.mlp_grid()) == 20
@@ -276,6 +289,21 @@ def test_final_models_survive_the_disk(table, tmp_path):
     assert one == again.transform(table).select("doc_id", "yhat").orderBy("doc_id").collect()
 
 
+def test_prediction_does_not_shuffle_rows(table):
+    p = regularized.cross_validate(table, TARGET, ["char_count"], [regularized.OLS])
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_null_texts(spark):
+    data = [(1, "a b", "English", "s"), (2, None, "English", "s"), (3, "", None, "s")]
+    docs = spark.createDataFrame(data, "doc_id long, content string, language string, source string")
+    kept = training.training_table(docs, ["char_count"], None, gap_words=True)
+    got = {r["doc_id"]: (r["char_count"], r["gap_word_count"], r["is_english"]) for r in kept.collect()}
+    assert got == {1: (3.0, 2.0, True), 2: (4.0, 1.0, True), 3: (0.0, 1.0, False)}
+    assert training.training_table(docs, ["char_count"], None, drop_null_content=True).count() == 2
+
+
 def test_training_table_has_no_text(spark, sf):
     t = training.training_table(corpus.documents(spark, sf), ["char_count"], None)
     assert t.columns == ["doc_id", "source", "is_english", "fold", "char_count", "pretoken"]

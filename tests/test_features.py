@@ -50,7 +50,7 @@ def test_tables(spark, sf):
 
 def test_gap_words(spark):
     texts = plain.HAND_MADE + plain.random_texts(500, 3)
-    df = frame(spark, ["None" if t is None else t for t in texts])
+    df = frame(spark, texts)
     for r in df.select("id", gap_word_count("content").alias("g")).collect():
         assert r["g"] == plain.gap_words(texts[r["id"]])
 

@@ -49,6 +49,12 @@ def test_quantiles_of_large_groups_are_narrowed(spark, monkeypatch):
         assert r["m"] == pytest.approx(np.median(v)) and r["t"] == pytest.approx(np.quantile(v, 0.75))
 
 
+def test_quantiles_join_by_broadcast(spark):
+    df = spark.range(1000).selectExpr("id % 3 as k", "double(id) as v")
+    plan = exact_quantiles(df, ["k"], "v", {"m": 0.5})._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "percentile(" not in plan
+
+
 def plain_metrics(y, p):
     y, p = np.array(y, float), np.array(p, float)
     e = np.abs(y - p)

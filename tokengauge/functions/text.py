@@ -76,8 +76,9 @@ def hits_if(guard: str, text: str, pattern: str) -> str:
 
 
 def gap_word_count(content: str) -> Column:
-    """Runs of white space plus one: at least 1, also for an empty text."""
-    return F.expr(f"cast({count_matches(content, p.WS + '+')} + 1 as bigint)")
+    """Runs of white space plus one: at least 1, also for an empty or null text."""
+    runs = count_matches(content, p.WS + "+")
+    return F.expr(f"cast(coalesce({runs}, 0) + 1 as bigint)")
 
 
 def pretoken_count(content: str) -> Column:

@@ -50,7 +50,7 @@ def tree_grid(
     return [TreeConfig(n, d, l) for d, l, n in itertools.product(max_depth, min_samples_leaf, n_estimators)]
 
 
-def pipeline(config: TreeConfig, features: Sequence[str], label: str) -> Pipeline:
+def forest_stages(config: TreeConfig, features: Sequence[str], label: str) -> Pipeline:
     """Trees are blind to scale, so no scaler is needed."""
     return Pipeline(
         stages=[
@@ -96,7 +96,7 @@ def grid_search(
         train = rows.where(F.col("fold") != fold)
         if train.isEmpty():
             return None
-        fitted = pipeline(config, features, target).fit(train)
+        fitted = forest_stages(config, features, target).fit(train)
         scored = fitted.transform(rows.where(F.col("fold") == fold)).select(
             F.lit(model).alias("model"), F.lit(config_id).alias("config_id"),
             F.lit(config.name).alias("config"), F.lit(target).alias("tokenizer"),
@@ -118,7 +118,7 @@ def fit_final(
     table: DataFrame, target: str, scope: str, config: TreeConfig, features: Sequence[str] = tuple(SELECTED_FEATURES)
 ) -> PipelineModel:
     rows = scope_rows(table.where(F.col(target).isNotNull()), scope)
-    return pipeline(config, features, target).fit(rows)
+    return forest_stages(config, features, target).fit(rows)
 
 
 def save(model: PipelineModel, path: str) -> str:

@@ -26,12 +26,16 @@ def training_table(
     folds: int = FOLDS,
     seed: int = SEED,
     gap_words: bool = False,
+    drop_null_content: bool = False,
 ) -> DataFrame:
     """``key, source, is_english, fold``, features as doubles and one column per target.
 
     With ``vocabularies=None`` the one target is the pre-token count, which
-    needs no vocabulary. No text is kept: everything downstream is numeric.
+    needs no vocabulary. No text is kept: everything downstream is numeric. A
+    null text counts as the word ``None`` unless ``drop_null_content``.
     """
+    if drop_null_content:
+        corpus = corpus.where("content is not null")
     df = add_features(spread(corpus, key), features)
     if gap_words:
         df = df.withColumn("gap_word_count", gap_word_count("content"))

@@ -66,7 +66,7 @@ def features_read(spark, sf_dir):
     labels = spark.read.schema(schemas.LABELS).parquet(f"{sf_dir}/labels.parquet")
     docs = corpus.documents(spark, sf_dir).join(labels, "doc_id", "left")
     path = shared_path(spark, "features")
-    stage = add_features(spread(docs, "doc_id"), SELECTED_FEATURES)
+    stage = add_features(spread(docs, "doc_id"), SELECTED_FEATURES).drop("content")
     corpus.write_stage(stage, path)
     return corpus.read_features(
         spark, path, stage.schema, ["doc_id", "char_count", "word_count"], "quality", "english"
@@ -354,7 +354,9 @@ def linear_params(spark, sf_dir):
 
 @query
 def polynomial_cv(spark, sf_dir):
-    table, targets = _token_table(spark, sf_dir, ["char_count"], one_vocabulary(), gap_words=True)
+    table, targets = _token_table(
+        spark, sf_dir, ["char_count"], one_vocabulary(), gap_words=True, drop_null_content=True
+    )
     by_source = folds.group_fold(table, "source")
     shapes = [(f, d) for f in ("char_count", "gap_word_count") for d in (2, 3)]
     cells = robust.fit(by_source, robust.make_cells(by_source, targets, shapes, scale_target=False))
