@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, minhash, packing, quality_rules, toxicity
+from . import ann, bpe, html_wrapper, licenses, line_dedup, minhash, ordinal, packing, quality_rules, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,19 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
+def op5_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.select(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -38,12 +52,18 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(read(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(read(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_bpe, op2_quality_rules, op3_minhash, op7_toxicity, op8_line_dedup, op10_packing]
+    found = [
+        op1_bpe, op2_quality_rules, op3_minhash, op4_hilbert, op5_ordinal, op6_licences, op7_toxicity, op8_line_dedup, op9_html, op10_packing,
+    ]
     return {f.__name__: f for f in found}
 
 
