@@ -139,10 +139,14 @@ def nearest(
         starts.append((p, total))
         total += n
     placed = placed.withColumn("p", part).join(local_table(spark, starts, "p long, start long"), "p").withColumn("place", F.col("start") + row)
-    half = max(block // 2, int(reach * total / orderings))
-    data = placed.select(F.floor(F.col("place") / block).cast("long").alias("block"), "ids", "vector")
-    around = F.sequence(F.floor(F.greatest(F.col("place") - half, F.lit(0)) / block), F.floor(F.least(F.col("place") + half, F.lit(total - 1)) / block))
-    sent = placed.where("asked").select(F.explode(around.cast("array<long>")).alias("block"), F.col("node").alias("node"), F.col("vector").alias("query"))
+    # every ordering holds all nodes, one ordering after the other: a block never spans two of them
+    each = total // orderings
+    half, blocks = max(block // 2, int(reach * each)), each // block + 1
+    inside, first_block = F.col("place") % each, F.floor(F.col("place") / each) * blocks
+    data = placed.select((first_block + F.floor(inside / block)).cast("long").alias("block"), "ids", "vector")
+    ends = [F.floor(F.greatest(inside - half, F.lit(0)) / block), F.floor(F.least(inside + half, F.lit(each - 1)) / block)]
+    around = F.sequence(*[(first_block + e).cast("long") for e in ends])
+    sent = placed.where("asked").select(F.explode(around).alias("block"), F.col("node").alias("node"), F.col("vector").alias("query"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
