@@ -10,7 +10,10 @@ bounded tables in each worker.
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,10 +28,10 @@ from .common import slices, text_bytes, without
 
 WINDOW = 8
 #: A cut is made where the top bits of the rolling hash are zero: every 2**CUT_BITS bytes on average.
-CUT_BITS = 8
+CUT_BITS = 9
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Entries a worker keeps. When a table is full it starts afresh, so memory is bounded whatever the corpus.
-WORDS_KEPT, CHUNKS_KEPT = 400_000, 50_000
+WORDS_KEPT, CHUNKS_KEPT = 1_000_000, 20_000
 #: Longer words are not kept.
 LONGEST_WORD = 200
 
@@ -40,22 +43,23 @@ _BOUNDARY = re.compile(rb"(?<=[^ \t\n\r])[ \t\n\r]")
 _PIECE = re.compile(rb"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 
 
-def cuts(data: bytes, bits: int = CUT_BITS) -> list[int]:
-    """Offsets at which a text is cut, from the hash of the eight bytes before each offset."""
-    n = len(data) - WINDOW
-    if n <= 0:
-        return []
-    found = []
-    for shift in range(WINDOW):
+def cuts(texts: list[bytes], bits: int = CUT_BITS) -> list[list[int]]:
+    """Offsets at which each text is cut, from the hash of the eight bytes before each offset."""
+    data = b"".join(texts)
+    found = [np.zeros(0, np.int64)]
+    for shift in range(min(WINDOW, max(0, len(data) - WINDOW))):
         windows = np.frombuffer(data, dtype="<u8", count=(len(data) - shift) // WINDOW, offset=shift)
         with np.errstate(over="ignore"):
-            hit = np.flatnonzero((windows * _FACTOR) >> np.uint64(64 - bits) == 0)
-        if len(hit):
-            found.append(hit * WINDOW + shift + WINDOW)
-    if not found:
-        return []
+            hit = np.flatnonzero(windows * _FACTOR < np.uint64(1 << (64 - bits)))
+        found.append(hit * WINDOW + shift + WINDOW)
     at = np.sort(np.concatenate(found))
-    return at[at < len(data)].tolist()
+    ends = np.cumsum([0, *map(len, texts)])
+    owner = np.searchsorted(ends, at, side="right") - 1
+    place = at - ends[owner]
+    ok = place >= WINDOW  # the window lies within one text, and the cut before its end
+    split = np.searchsorted(owner[ok], np.arange(len(texts) + 1))
+    place = place[ok].tolist()
+    return [place[a:b] for a, b in zip(split, split[1:], strict=False)]
 
 
 class Encoder:
@@ -66,6 +70,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, keep_gaps: bool = False, cut_bits: int = CUT_BITS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -78,27 +83,30 @@ class Encoder:
         self.tokens = np.array([self.tokenizer.id_to_token(i) or "" for i in range(size)], dtype=object)
 
     def _raw(self, texts: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in got]
+        got = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in got]
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Make sure that ``self.words`` has all of ``words``."""
-        new = [w for w in words if w not in self.words]
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """A table that has all of ``words``; what it learns is kept for later texts, but for very long words."""
+        new = list(words.difference(self.words))
         if len(self.words) + len(new) > WORDS_KEPT:
-            self.words = {w: self.words[w] for w in words if w in self.words}
+            self.words = {w: self.words[w] for w in words.intersection(self.words)}
+        rare = {}
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             self.words.update(zip(part, self._raw(part), strict=True))
-
-    def _forget_long(self, words: set[bytes]) -> None:
-        for w in words:
+        for w in new:
             if len(w) > LONGEST_WORD:
-                self.words.pop(w, None)
-
-    def _cut(self, data: bytes) -> list[tuple[bytes, bytes]]:
-        ends = [0, *cuts(data, self.cut_bits), len(data)]
-        parts = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        return [(xxhash.xxh3_128_digest(p), p) for p in parts if p]
+                rare[w] = self.words.pop(w)
+        return ChainMap(self.words, rare) if rare else self.words
+
+    def _chunks(self, texts: list[bytes]) -> list[list[tuple[bytes, bytes]]]:
+        """(digest, bytes) of the chunks of each text."""
+        out = []
+        for data, at in zip(texts, cuts(texts, self.cut_bits), strict=True):
+            parts = [data[a:b] for a, b in zip([0, *at], [*at, len(data)], strict=True)]
+            out.append([(xxhash.xxh3_128_digest(p), p) for p in parts if p])
+        return out
 
     def _fragments(self, part: bytes) -> tuple[bytes, list[bytes], bytes]:
         """Start of a chunk up to its first white space, whole words, end after the last white space."""
@@ -119,16 +127,15 @@ class Encoder:
             whole = {i: None for i, x in enumerate(texts) if _ODD_GAP.search(x.decode("utf-8", "replace"))}
             for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
                 whole[i] = ids
-        cut = [[] if i in whole else self._cut(x) for i, x in enumerate(texts)]
+        cut = self._chunks([b"" if i in whole else x for i, x in enumerate(texts)])
         fresh = {key: part for doc in cut for key, part in doc if key not in self.chunks}
         split = {key: self._fragments(part) for key, part in fresh.items()}
-        needed = {w for _, body, _ in split.values() if body for w in body}
-        self._learn(needed)
-        known, words = self.chunks, self.words
+        words = self._learn(set().union(*[body for _, body, _ in split.values() if body]))
+        known = self.chunks
         if len(known) + len(split) > CHUNKS_KEPT:
             known = {key: known[key] for doc in cut for key, _ in doc if key in known}
         for key, (head, body, tail) in split.items():
-            ids = None if body is None else b"".join([words[w] for w in body])
+            ids = None if body is None else b"".join(map(words.__getitem__, body))
             known[key] = (head, ids, tail, *((body[0], body[-1]) if body else (b"", b"")))
         self.chunks = known
 
@@ -155,22 +162,18 @@ class Encoder:
         for i, plan in enumerate(plans):
             ids = [repaired[x] if type(x) is int else x for x in plan]
             done.append(whole[i] if i in whole else self._raw([texts[i]])[0] if None in ids else b"".join(ids))
-        self._forget_long(needed)
         return done
 
     def _repair(self, joints: list[tuple[bytes, bytes, bytes]]) -> list[bytes | None]:
         """Ids of each joint, encoded between the whole words on its two sides; None if these come out otherwise there."""
+        space = b"" if self.keep_gaps else b" "
+        regions = self._raw([space.join(x) for x in joints])
+        words = self._learn({w for a, _, b in joints for w in (a, b) if w})
         out: list[bytes | None] = []
-        for i in range(0, len(joints), 20_000):
-            part = joints[i : i + 20_000]
-            space = b"" if self.keep_gaps else b" "
-            regions = self._raw([space.join((a, j, b)) for a, j, b in part])
-            self._learn({w for a, _, b in part for w in (a, b) if w})
-            for (a, joint, b), ids in zip(part, regions, strict=True):
-                left = self.words[a] if a else b""
-                right = self.words[b] if b else b""
-                agree = len(ids) >= len(left) + len(right) and ids.startswith(left) and ids.endswith(right)
-                out.append(ids[len(left) : len(ids) - len(right)] if agree else None)
+        for (a, _, b), ids in zip(joints, regions, strict=True):
+            left, right = words[a] if a else b"", words[b] if b else b""
+            agree = len(ids) >= len(left) + len(right) and ids.startswith(left) and ids.endswith(right)
+            out.append(ids[len(left) : len(ids) - len(right)] if agree else None)
         return out
 
     def decode(self, ids: bytes) -> str:
