@@ -33,7 +33,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of what is left, placed in sequences."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [("toxicity", drop_toxic), ("quality_rules", drop_junk), ("line_dedup", drop_lines), ("minhash", drop_copies), ("packing", pack)]

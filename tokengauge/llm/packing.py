@@ -9,8 +9,10 @@ checksums are shuffled unless the ids are asked for.
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
 from .common import slices, text_bytes
 
 LIMIT = 1024
@@ -55,16 +56,31 @@ def first_fit_decreasing(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, n
     return bins, offsets
 
 
+@lru_cache(maxsize=2)
+def ranks(path: str, special: tuple[tuple[str, int], ...]):
+    """The byte-level vocabulary of a rank file; ids are those of the same vocabulary's JSON file in the tokenizers library."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=dict(special))
+
+
+#: The special token that the JSON file adds to the ranks.
+SPECIAL = (("<|endoftext|>", 50256),)
+
+
 def pieces(docs: DataFrame, path: str, end_id: int = 0, limit: int = LIMIT, keep_ids: bool = False) -> DataFrame:
-    """Encode and cut: one row per piece, ``part`` a checksum that only serves to draw groups."""
+    """Encode and cut: one row per piece of the byte-level vocabulary at ``path`` (a rank file); a special token's string in a text is that token. ``part`` is a checksum that only serves to draw groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, True)
+        enc = ranks(path, SPECIAL)
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches):
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
-                ids += end
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ids = enc.encode_to_numpy(text.decode("utf-8", "replace"), allowed_special="all").astype("<u4").tobytes() + end
                 total = len(ids) // 4
                 for start in range(0, total, limit):
                     piece = ids[4 * start : 4 * (start + limit)]
