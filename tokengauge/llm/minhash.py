@@ -9,8 +9,9 @@ that of the darts, not their product.
 
 Joining: equal shingle sets are one node, whatever their number. In each bucket the node that meets most others (the likely
 original of a group of edited copies) is compared with the other members; then members of buckets that still hold
-several components are compared across components, so that no link found by a band is lost. All links are verified on the exact
-shingle sets, and classes are the connected components of the verified links.
+several components are compared across components, so that no link found by a band is lost. All links are verified on the
+whole shingle sets, stored as 32-bit ids (in two texts of 600 words each, two different shingles share an id once in ten
+thousand pairs), and classes are the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -126,19 +127,20 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
             if not ids:
                 continue
             keys = band_keys(signatures(sets, None, bands * rows), bands, rows)
+            small = [np.unique((x >> np.uint64(32)).astype(np.uint32)) for x in sets]
             digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), "<i8").reshape(-1, 2)
             offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(ids, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([len(s) for s in small], pa.int64()),
                     pa.ListArray.from_arrays(offsets([bands] * len(ids)), pa.array(keys.ravel())),
-                    pa.ListArray.from_arrays(offsets([len(s) for s in sets]), pa.array(np.concatenate(sets).view(np.int64))),
+                    pa.ListArray.from_arrays(offsets([len(s) for s in small]), pa.array(np.concatenate(small).view(np.int32))),
                 ],
                 names=["doc_id", "set_low", "set_high", "n", "keys", "shingles"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInArrow(
-        run, "doc_id long, set_low long, set_high long, n long, keys array<long>, shingles array<long>"
+        run, "doc_id long, set_low long, set_high long, n long, keys array<long>, shingles array<int>"
     )
 
 
@@ -157,14 +159,16 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets (id, n, shingles) have at least this Jaccard similarity."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+def verified(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity. Sets that are in no pair are left out first."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = materialize(known.select("doc_id", "n", "shingles").join(wanted, "doc_id", "left_semi"), "sets")
+    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     share = F.size(F.array_intersect("sa", "sb"))
     # a set whose size is too far off cannot be similar: tested before the arrays are compared
     near = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
-    return pairs.join(left, "a").join(right, "b").where(near).where(share >= (F.col("na") + F.col("nb") - share) * similarity - 1e-9).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(near).where(share >= (F.col("na") + F.col("nb") - share) * similarity - 1e-9).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -179,9 +183,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS
     least = -(1 << 63)
     known = materialize(sketches(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(least))), bands, rows), "sketches")
     copies = materialize(known.groupBy("set_low", "set_high").agg(F.min("doc_id").alias("id"), F.count("*").alias("docs")), "copies")
-    one = known.dropDuplicates(["doc_id", "set_low", "set_high"])
-    nodes = one.join(copies, (one["doc_id"] == copies["id"]) & (one["set_low"] == copies["set_low"]) & (one["set_high"] == copies["set_high"]), "left_semi")
-    nodes = materialize(nodes.select(F.col("doc_id").alias("id"), "n", "keys", "shingles"), "nodes")
+    narrow = known.select(F.col("doc_id").alias("id"), "set_low", "set_high", "n", "keys")
+    nodes = materialize(narrow.join(copies, ["id", "set_low", "set_high"], "left_semi").dropDuplicates(["id", "set_low", "set_high"]), "nodes")
 
     buckets = nodes.select("id", F.posexplode("keys").alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
@@ -190,9 +193,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS
     leaders = members.join(meets, "id").groupBy("band", "key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("top"))
     leaders = leaders.select("band", "key", (-F.col("top.minus")).alias("b"))
     first = members.join(leaders, ["band", "key"]).where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    sets = nodes.select("id", "n", "shingles")
     tried = materialize(first, "tried")
-    links = materialize(verified(tried, sets, similarity), "links")
+    links = materialize(verified(tried, known, similarity), "links")
     labels = components(links, "labels")
 
     own = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -202,7 +204,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS
     near = F.least("n", "nb") >= F.greatest("n", "nb") * similarity - 1e-9
     across = left.join(other, ["band", "key"]).where((F.col("id") < F.col("b")) & (F.col("label") != F.col("other")) & near)
     rest = across.select(F.col("id").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(verified(rest, sets, similarity), "links")
+    more = materialize(verified(materialize(rest, "rest"), known, similarity), "links")
     if not more.isEmpty():
         labels = components(links.union(more), "labels")
 
