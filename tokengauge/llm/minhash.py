@@ -8,9 +8,10 @@ on a coordinate with the probability of their weighted Jaccard similarity, and t
 that of the darts, not their product.
 
 Joining: equal shingle sets are one node, whatever their number. In each bucket the node that meets most others (the likely
-original of a group of edited copies) is compared with the other members; then members of buckets that still hold
-several components are compared across components, so that no link found by a band is lost. All links are verified on the
-whole shingle sets, stored as 32-bit ids (in two texts of 600 words each, two different shingles share an id once in ten
+original of a group of edited copies) is compared with the other members. Members of buckets that still hold several
+components are then joined exactly across components: two sets as similar as wanted share one of their rarest shingles,
+at a place that leaves room for the overlap (prefix and position filters). Copies that were edited apart have rare
+shingles of their own, so a group of thousands gives few candidates. All links are verified on the whole shingle sets, stored as 32-bit ids (in two texts of 600 words each, two different shingles share an id once in ten
 thousand pairs), and classes are the connected components of the verified links.
 """
 
@@ -159,16 +160,43 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def verified(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity. Sets that are in no pair are left out first."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(known.select("doc_id", "n", "shingles").join(wanted, "doc_id", "left_semi"), "sets")
+def shingle_sets(known: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, n, shingles of the documents in ``ids``, stored. The join is by merging at every size: the sets are the large side."""
+    return materialize(known.select("doc_id", "n", "shingles").hint("merge").join(ids.distinct(), "doc_id", "left_semi"), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     share = F.size(F.array_intersect("sa", "sb"))
     # a set whose size is too far off cannot be similar: tested before the arrays are compared
     near = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
-    return pairs.join(left, "a").join(right, "b").where(near).where(share >= (F.col("na") + F.col("nb") - share) * similarity - 1e-9).select("a", "b").distinct()
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    return both.where(near).where(share >= (F.col("na") + F.col("nb") - share) * similarity - 1e-9).select("a", "b").distinct()
+
+
+def prefix_pairs(sets: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b), of different labels, that may be similar: all that are, and few others.
+
+    Shingles are put in order of their frequency among these sets. Sets of similarity t have a common shingle
+    among the first n - ceil(t n) + 1 of each; and from the first common one on, the shorter rest must still hold the overlap t / (1 + t) (na + nb).
+    """
+    each = sets.select("doc_id", "n", F.explode("shingles").alias("s"))
+    common = each.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = each.join(common.hint("merge"), "s").groupBy("doc_id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "s"))).alias("order"))
+    # shingles that no other set has come first; they take places but cannot match
+    alone = F.col("n") - F.size("order")
+    length = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    cut = ranked.select("doc_id", "n", alone.alias("alone"), F.slice("order", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int")).alias("order"))
+    first = cut.join(labels.hint("merge"), "doc_id").select("doc_id", "n", "label", "alone", F.posexplode("order").alias("i", "e"))
+    first = materialize(first.select("doc_id", "n", "label", (F.col("alone") + F.col("i")).alias("place"), F.col("e.s").alias("s")), "prefixes")
+    other = first.select("s", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("other"), F.col("place").alias("pb"))
+    n, nb = F.col("n"), F.col("nb")
+    room = F.least(n - F.col("place"), nb - F.col("pb")) >= F.ceil((n + nb) * (similarity / (1 + similarity)) - 1e-9)
+    sizes = F.least(n, nb) >= F.greatest(n, nb) * similarity - 1e-9
+    found = first.join(other.hint("merge"), "s").where((F.col("doc_id") < F.col("b")) & (F.col("label") != F.col("other")) & sizes & room)
+    return found.select(F.col("doc_id").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -184,27 +212,27 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS
     known = materialize(sketches(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(least))), bands, rows), "sketches")
     copies = materialize(known.groupBy("set_low", "set_high").agg(F.min("doc_id").alias("id"), F.count("*").alias("docs")), "copies")
     narrow = known.select(F.col("doc_id").alias("id"), "set_low", "set_high", "n", "keys")
-    nodes = materialize(narrow.join(copies, ["id", "set_low", "set_high"], "left_semi").dropDuplicates(["id", "set_low", "set_high"]), "nodes")
+    nodes = materialize(narrow.hint("merge").join(copies, ["id", "set_low", "set_high"], "left_semi").dropDuplicates(["id", "set_low", "set_high"]), "nodes")
 
     buckets = nodes.select("id", F.posexplode("keys").alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(buckets.join(shared, ["band", "key"]), "members")
+    members = materialize(buckets.hint("merge").join(shared, ["band", "key"]), "members")
     meets = members.groupBy("id").agg(F.sum("size").alias("met"))
     leaders = members.join(meets, "id").groupBy("band", "key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("top"))
     leaders = leaders.select("band", "key", (-F.col("top.minus")).alias("b"))
     first = members.join(leaders, ["band", "key"]).where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     tried = materialize(first, "tried")
-    links = materialize(verified(tried, known, similarity), "links")
+    ends = tried.select(F.col("a").alias("doc_id")).union(tried.select(F.col("b").alias("doc_id")))
+    links = materialize(verified(tried, shingle_sets(known, ends), similarity), "links")
     labels = components(links, "labels")
 
-    own = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # a bucket of two is done; in larger ones, members of different components may still be similar
+    own = members.where("size > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = own.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "key")
-    left = materialize(own.join(mixed, ["band", "key"]).join(nodes.select("id", "n"), "id").select("band", "key", "id", "label", "n"), "mixed")
-    other = left.select("band", "key", F.col("id").alias("b"), F.col("label").alias("other"), F.col("n").alias("nb"))
-    near = F.least("n", "nb") >= F.greatest("n", "nb") * similarity - 1e-9
-    across = left.join(other, ["band", "key"]).where((F.col("id") < F.col("b")) & (F.col("label") != F.col("other")) & near)
-    rest = across.select(F.col("id").alias("a"), "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(verified(materialize(rest, "rest"), known, similarity), "links")
+    open_ends = materialize(own.join(mixed, ["band", "key"]).select(F.col("id").alias("doc_id"), "label").distinct(), "open")
+    sets = shingle_sets(known, open_ends.select("doc_id"))
+    rest = materialize(prefix_pairs(sets, open_ends, similarity).join(tried, ["a", "b"], "left_anti"), "rest")
+    more = materialize(verified(rest, sets, similarity), "links")
     if not more.isEmpty():
         labels = components(links.union(more), "labels")
 
