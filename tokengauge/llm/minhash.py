@@ -218,8 +218,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(buckets.hint("merge").join(shared, ["band", "key"]), "members")
     meets = members.groupBy("id").agg(F.sum("size").alias("met"))
-    leaders = members.join(meets, "id").groupBy("band", "key").agg(F.max(F.struct("met", (-F.col("id")).alias("minus"))).alias("top"))
-    leaders = leaders.select("band", "key", (-F.col("top.minus")).alias("b"))
+    leaders = members.join(meets, "id").groupBy("band", "key").agg(F.max(F.struct("met", F.bitwise_not("id").alias("turned"))).alias("top"))
+    leaders = leaders.select("band", "key", F.bitwise_not("top.turned").alias("b"))
     first = members.join(leaders, ["band", "key"]).where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     tried = materialize(first, "tried")
     ends = tried.select(F.col("a").alias("doc_id")).union(tried.select(F.col("b").alias("doc_id")))
