@@ -176,6 +176,16 @@ def test_ranking(spark):
     assert best["config_id"] == 1 and best["mean_r2"] == 0.95
 
 
+def test_failed_configurations_rank_last(spark):
+    df = spark.createDataFrame(
+        [("m", 0, float("nan")), ("m", 1, 0.9), ("m", 2, 0.5), ("m", 3, None)], "model string, config_id int, mean_r2 double"
+    )
+    got = {r["config_id"]: r["rank"] for r in selection.rank_configs(df, ["model"]).collect()}
+    assert got == {1: 1, 2: 2, 0: 3, 3: 3}
+    best = selection.best_config(df, ["model"]).collect()[0]
+    assert best["config_id"] == 1 and best["mean_r2"] == 0.9
+
+
 def test_lost_parameters_fail(spark):
     cells = spark.createDataFrame([("rf", "x")], "model string, tokenizer string")
     params = spark.createDataFrame([("rf", "y", 1)], "model string, tokenizer string, n int")

@@ -299,7 +299,7 @@ def cv_summary(spark, sf_dir):
 def _candidate_summary(spark, sf_dir):
     found = regularized.univariate_search(_pretoken_table(spark, sf_dir, CANDIDATES), "pretoken", CANDIDATES)
     by_fold = metrics.regression_metrics(materialize(found, "predictions"), CONFIG_KEYS)
-    return by_fold.groupBy(*CONFIG_KEYS[:-1]).agg(F.avg("r2").alias("mean_r2"))
+    return by_fold.groupBy(*CONFIG_KEYS[:-1]).agg(F.avg(F.nanvl("r2", F.lit(None).cast("double"))).alias("mean_r2"))
 
 
 @query
