@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +57,8 @@ def features(words: Counter) -> tuple[np.ndarray, np.ndarray]:
     for w, n in words.items():
         for f in word_features(w):
             found[f] += n
-    cols = np.array(sorted(found), dtype=np.int64)
-    return cols, np.array([min(MOST, found[f]) for f in cols.tolist()], dtype=float)
+    cols = np.array(sorted(found), dtype=np.int32)
+    return cols, np.array([min(MOST, found[f]) for f in cols.tolist()], dtype=np.float32)
 
 
 class Sparse:
@@ -66,7 +66,7 @@ class Sparse:
 
     def __init__(self, rows: list[np.ndarray], values: list[np.ndarray]):
         self.n = len(rows)
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(r) for r in rows])
         self.col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         self.val = np.concatenate(values) if values else np.zeros(0)
 
@@ -77,7 +77,7 @@ class Sparse:
         return np.bincount(self.col, (np.abs(self.val) if absolute else self.val) * g[self.row], minlength=size)
 
 
-def twins(bags: list[Counter], plain: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def twins(named: list[Counter], plain: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Feature differences between a text and its twin: identity words swapped or taken out, and a mention put into a plain text.
 
     Only the changed words matter to the difference of a linear score, so a pair is made of these alone.
@@ -94,11 +94,9 @@ def twins(bags: list[Counter], plain: int) -> tuple[list[np.ndarray], list[np.nd
 
     for word in IDENTITY[:plain]:
         pair(Counter([word]), Counter())
-    for bag in bags:
-        named = Counter({w: n for w, n in bag.items() if w in _KNOWN})
-        if named:
-            pair(named, Counter({IDENTITY[(IDENTITY.index(w) + 7) % len(IDENTITY)]: n for w, n in named.items()}))
-            pair(named, Counter())
+    for bag in named:
+        pair(bag, Counter({IDENTITY[(IDENTITY.index(w) + 7) % len(IDENTITY)]: n for w, n in bag.items()}))
+        pair(bag, Counter())
     return rows, values
 
 
@@ -135,7 +133,7 @@ class Model:
 
 
 def fit(
-    texts: list[str], labels: list[int], ridge: float = 0.1, fairness: float = 1.0, toxic_weight: float = 10.0, least: int = 4, most: int = 1024, plain: int = 1000, rounds: int = 300
+    texts: Iterable[str], labels: list[int], ridge: float = 0.1, fairness: float = 1.0, toxic_weight: float = 10.0, least: int = 4, most: int = 1024, plain: int = 1000, rounds: int = 300
 ) -> Model:
     """Gradient descent with momentum on log-loss + ridge + ``fairness`` times the mean squared score change of twins.
 
@@ -147,12 +145,18 @@ def fit(
     bias = float(np.log(rate / (1 - rate)))
     if not len(y) or y.min() == y.max():
         return Model({}, bias)
-    bags = [Counter(tokens(t)) for t in texts]
-    x = Sparse(*zip(*[features(b) for b in bags], strict=True))
+    rows, named = [], []  # one text at a time: only buckets and mentions are kept
+    for t in texts:
+        bag = Counter(tokens(t))
+        rows.append(features(bag))
+        if mentions := {w: n for w, n in bag.items() if w in _KNOWN}:
+            named.append(Counter(mentions))
+    x = Sparse(*zip(*rows, strict=True))
+    del rows
     keep = np.unique(np.concatenate([select_features(x, y, least, most), *[np.array(word_features(w)) for w in IDENTITY]]))
     at = np.full(1 << BITS, -1)
     at[keep] = np.arange(len(keep))
-    t = Sparse(*twins(bags, plain))
+    t = Sparse(*twins(named, plain))
     for s in (x, t):
         ok = at[s.col] >= 0
         s.row, s.col, s.val = s.row[ok], at[s.col[ok]], s.val[ok]
@@ -183,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> Model:
     chosen = good.groupBy("doc_id").agg(F.max("toxic").alias("__toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).join(F.broadcast(inline(chosen)), "doc_id")
     table = rows.groupBy("doc_id").agg(F.max("__toxic").alias("y"), F.min("__text").alias("text")).orderBy("doc_id").toArrow()
-    return fit(table.column("text").to_pylist(), table.column("y").to_pylist())
+    return fit((t.as_py() for t in table.column("text")), table.column("y").to_pylist())
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
