@@ -255,17 +255,20 @@ def test_extra_trees(table, local):
     assert sorted(map(str, again.select(*pick).collect())) == sorted(map(str, once.select(*pick).collect()))
 
 
-def test_extra_trees_without_inlined_tables(table, monkeypatch):
-    """Node tables too large to inline are stored and joined by shuffle: the same trees."""
+def test_extra_trees_without_broadcasts(spark, table, monkeypatch):
+    """Node tables too large to broadcast are joined by shuffle: the same trees."""
     grid = [forest.TreeConfig(2, 4, 5)]
     pick = [*extra_trees.NODE, "feature", "n"]
     once = sorted(map(str, extra_trees.fit(table, TARGET, grid, scopes=["all"]).select(*pick).collect()))
-    monkeypatch.setattr(extra_trees, "SMALL_TABLE_ROWS", 0)
-    monkeypatch.setattr(extra_trees, "inline_small", lambda df: df)
     monkeypatch.setattr(extra_trees, "STORE_EVERY", 2)
-    trees = extra_trees.fit(table, TARGET, grid, scopes=["all"])
-    assert sorted(map(str, trees.select(*pick).collect())) == once
-    assert extra_trees.predict(table, trees, TARGET, held_out=False).count() == table.count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        trees = extra_trees.fit(table, TARGET, grid, scopes=["all"])
+        assert sorted(map(str, trees.select(*pick).collect())) == once
+        assert extra_trees.predict(table, trees, TARGET, held_out=False).count() == table.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_forest_grid(table):

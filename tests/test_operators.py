@@ -1,3 +1,4 @@
+import math
 import random
 from types import SimpleNamespace
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tokengauge.operators import folds, metrics, moments, quantiles, rows, selection
 from tokengauge.operators.quantiles import exact_quantiles
-from tokengauge.session import checkpoint_root, inline_small
+from tokengauge.session import checkpoint_root, materialize
 from tokengauge.sources import corpus, schemas
 
 
@@ -37,10 +38,9 @@ def test_quantiles_stay_exact_when_the_sketch_misses(spark, monkeypatch):
 
 
 def test_quantiles_of_large_groups_are_narrowed(spark, monkeypatch):
-    """With a small limit for one task, brackets are cut down again and the result stays exact."""
+    """Wide brackets are cut down again and again, and the result stays exact."""
     monkeypatch.setattr(quantiles, "ACCURACY", 20)
     monkeypatch.setattr(quantiles, "MARGIN", 0.2)
-    monkeypatch.setattr(quantiles, "MAX_INSIDE", 40)
     rng = random.Random(3)
     data = [("smooth", rng.gauss(0, 1)) for _ in range(20001)] + [("hot", float(rng.choice([1, 1, 1, 2, 9]))) for _ in range(5000)]
     df = spark.createDataFrame(data, "k string, v double").repartition(6)
@@ -49,10 +49,32 @@ def test_quantiles_of_large_groups_are_narrowed(spark, monkeypatch):
         assert r["m"] == pytest.approx(np.median(v)) and r["t"] == pytest.approx(np.quantile(v, 0.75))
 
 
-def test_quantiles_join_by_broadcast(spark):
-    df = spark.range(1000).selectExpr("id % 3 as k", "double(id) as v")
-    plan = exact_quantiles(df, ["k"], "v", {"m": 0.5})._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "percentile(" not in plan
+def test_quantiles_join_by_broadcast(spark, monkeypatch):
+    """Every pass over the data joins the narrow brackets without a shuffle of rows."""
+    plans = []
+
+    def store(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name)
+
+    monkeypatch.setattr(quantiles, "materialize", store)
+    df = spark.range(100_000).selectExpr("id % 3 as k", "double(id * id) as v")
+    plans.append(exact_quantiles(df, ["k"], "v", {"m": 0.5})._jdf.queryExecution().executedPlan().toString())
+    passes = plans[1:-1]  # between the sketch and the result
+    assert passes and all("BroadcastHashJoin" in p for p in passes)
+    assert not any("SortMergeJoin" in p or "percentile(" in p for p in plans)
+
+
+def test_quantiles_of_odd_values(spark):
+    """Infinite values, NaN (above all others) and groups of one value end the narrowing as well."""
+    inf, nan = float("inf"), float("nan")
+    data = [("inf", x) for x in [-inf, -inf, 1.0, 2.0, 3.0, inf, inf]] + [("nan", x) for x in [1.0, 2.0, nan, nan, nan]]
+    data += [("wide", x) for x in [-1.7e308, -1.0, 0.0, 5e-324, 1.7e308]] + [("same", 7.0)] * 3
+    df = spark.createDataFrame(data, "k string, v double")
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.5}).collect()}
+    assert got["inf"]["b"] == 2.0 and got["nan"]["a"] == 2.0 and math.isnan(got["nan"]["b"])
+    assert got["wide"]["a"] == -1.0 and got["wide"]["b"] == 0.0 and got["same"]["a"] == 7.0
+    assert exact_quantiles(df.where("false"), ["k"], "v", {"a": 0.5}).count() == 0
 
 
 def plain_metrics(y, p):
@@ -193,12 +215,6 @@ def test_lost_parameters_fail(spark):
         selection.require_params(cells, params, ["model", "tokenizer"])
 
 
-def test_inline_small_leaves_large_tables_alone(spark):
-    df = spark.range(100)
-    assert inline_small(df, 99) is df
-    assert inline_small(df, 100).count() == 100
-
-
 def test_checkpoint_folder_follows_the_session():
     """The folder the cluster names is used; a cluster that names none is an error."""
 

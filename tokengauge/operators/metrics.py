@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokengauge.operators.quantiles import exact_quantiles
-from tokengauge.session import inline_small
+from tokengauge.session import materialize
 
 METRICS = ["r2", "mae", "mse", "median_ae", "mape", "max_error", "d2_abs", "rmse"]
 # machine epsilon of a double: the smallest denominator of MAPE (fixed value)
@@ -32,7 +32,7 @@ def regression_metrics(
 
     All sums are combined on the map side; the two medians come from
     :func:`exact_quantiles`, so no group ever sits in one task. ``predictions``
-    is read five times: hand in a stored table where it is dear to compute.
+    is read five times or more: hand in a stored table where it is dear to compute.
     """
     keys = list(keys)
     p = predictions.select(*keys, F.col(y).cast("double").alias("y"), F.col(yhat).cast("double").alias("yhat"))
@@ -55,13 +55,13 @@ def regression_metrics(
         ).alias("s"),
     ).select(*keys, "s.of", "s.v")
     medians = exact_quantiles(values, [*keys, "of"], "v", {"q": 0.5})
-    medians = inline_small(
-        medians.groupBy(*keys).pivot("of", ["median_ae", "median_y"]).agg(F.first("q"))
+    medians = materialize(
+        medians.groupBy(*keys).pivot("of", ["median_ae", "median_y"]).agg(F.first("q")), "medians"
     )
     spread = p.join(medians, keys).groupBy(*keys).agg(
         F.avg(F.abs(F.col("y") - F.col("median_y"))).alias("__dev")
     )
-    wide = sums.join(inline_small(spread), keys).join(medians, keys)
+    wide = sums.join(materialize(spread, "deviations"), keys).join(medians, keys)
     return wide.select(
         *keys,
         "n",

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokengauge.session import inline_small
+from tokengauge.session import materialize
 
 
 def scaler_fit(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -45,7 +45,7 @@ def scaler_transform(df: DataFrame, fitted: DataFrame, keys: Sequence[str], colu
         F.first("mean").alias("mean"), F.first("scale").alias("scale")
     )
     scaled = {c: (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_scale") for c in columns}
-    return df.join(inline_small(wide), list(keys)).withColumns(scaled).select(*df.columns)
+    return df.join(materialize(wide, "scaler"), list(keys)).withColumns(scaled).select(*df.columns)
 
 
 def product_name(a: str, b: str) -> str:

@@ -1,9 +1,10 @@
 """Exact quantiles of groups of any size.
 
 The built-in exact ``percentile`` gathers every distinct value of a group in one
-task. Here a mergeable sketch brackets each wanted rank, rows outside the bracket
-are only counted, and the bracket is narrowed until few rows are left inside;
-only those are ordered.
+task. Here a mergeable sketch brackets each wanted rank; then the rows of each
+bracket are counted in ranges of equal width, and the range that holds the rank
+becomes the next bracket, until it holds one value. A pass shuffles only counts,
+a fixed number of them per group and rank, however large the group is.
 """
 
 from __future__ import annotations
@@ -13,54 +14,37 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokengauge.session import inline_small
+from tokengauge.session import materialize
 
 ACCURACY = 10_000
 # Ranks to either side of the wanted one, as a share of the group.
 MARGIN = 4.0 / ACCURACY
-# Rows of a group that one task may order; above it the bracket is narrowed again.
-MAX_INSIDE = 1_000_000
-MAX_ROUNDS = 6
-GRID = 100
+# Ranges of equal width that a bracket is cut into.
+RANGES = 1024
+# The ends of a bracket are ranges of their own, so a pass always leaves fewer values.
+_RANGE = f"""
+    case when __v < lo then -1 when __v > hi then {RANGES + 2} when __v = lo then 0 when __v = hi then {RANGES + 1}
+    else 1 + least(floor((__v - lo) / (hi - lo) * {RANGES}), {RANGES - 1}) end
+"""
 
 
-def _count(data: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    """Count rows below and up to each new bracket ``lo .. hi``.
+def _narrow(data: DataFrame, brackets: DataFrame, keys: list[str], known: bool) -> DataFrame:
+    """Replace each bracket ``lo .. hi`` by the smallest and largest value of the range that holds its rank.
 
-    Should a sketch have missed its rank, that side goes back to the bracket
-    before (``lo0 .. hi0``), which is known to hold it.
+    ``known``: the rank is known to lie in its bracket, with ``below`` rows under it; else all rows are counted.
     """
+    target = [*keys, "name", "side", "pos", "rank", "below"]
+    rows = data.join(brackets, keys)
     counted = (
-        data.join(brackets, keys)
-        .groupBy(*keys, "name", "pos", "lo", "hi", "lo0", "hi0", "below0")
-        .agg(F.expr("count_if(__v < lo) as below"), F.expr("count_if(__v <= hi) as upto"))
-    )
-    low, high = "below > floor(pos)", "upto < ceil(pos) + 1"
-    return inline_small(
-        counted.selectExpr(
-            *keys, "name", "pos",
-            f"if({low}, lo0, lo) as lo", f"if({high}, hi0, hi) as hi",
-            f"if({low}, below0, below) as below", f"if({high}, null, upto) as upto",
-        )
-    )
-
-
-def _narrow(data: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
-    """Sketch the rows inside each bracket and cut it down around the wanted rank."""
-    inside = data.join(brackets, keys).where("__v between lo and hi")
-    steps = [i / GRID for i in range(GRID + 1)]
-    sketch = inside.groupBy(*keys, "name", "pos", "lo", "hi", "below").agg(
-        F.count("*").alias("m"), F.percentile_approx("__v", steps, ACCURACY).alias("marks")
-    )
-    at = f"(pos - below) / greatest(m - 1, 1) * {GRID}"
-    return inline_small(
-        sketch.selectExpr(
-            *keys, "name", "pos",
-            f"marks[greatest(cast(floor({at}) as int) - 1, 0)] as lo",
-            f"marks[least(cast(ceil({at}) as int) + 1, {GRID})] as hi",
-            "lo as lo0", "hi as hi0", "below as below0",
-        )
+        (rows.where("__v between lo and hi") if known else rows)
+        .withColumn("range", F.expr(_RANGE))
+        .groupBy(*target, "range")
+        .agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
     )
+    order = Window.partitionBy(*keys, "name", "side").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("upto", F.sum("n").over(order) + F.col("below"))
+    hit = ranked.where("rank >= upto - n and rank < upto").withColumn("below", F.expr("upto - n"))
+    return materialize(hit.select(*target, "lo", "hi"), "brackets")
 
 
 def exact_quantiles(
@@ -68,8 +52,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with a column per entry of ``probs`` (name -> probability).
 
-    Linear interpolation between neighbouring ranks. ``df`` is read three times,
-    and twice more for each narrowing that very large groups need.
+    Linear interpolation between neighbouring ranks. ``df`` is read once for the
+    sketch and once per narrowing: one or two for small groups, and one more for
+    about every thousandfold growth.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
@@ -81,33 +66,20 @@ def exact_quantiles(
         F.count("*").alias("n"), F.percentile_approx("__v", marks, ACCURACY).alias("marks")
     )
     wanted = ", ".join(
-        f"named_struct('name', '{name}', 'pos', {q}D * (n - 1), 'lo', marks[{2 * i}], 'hi', marks[{2 * i + 1}])"
+        f"named_struct('name', '{name}', 'side', '{side}', 'pos', {q}D * (n - 1), 'rank', {end}({q}D * (n - 1)), "
+        f"'below', 0L, 'lo', marks[{2 * i}], 'hi', marks[{2 * i + 1}])"
         for i, (name, q) in enumerate(probs.items())
+        for side, end in (("a", "floor"), ("b", "ceil"))
     )
-    brackets = inline_small(
-        sketch.selectExpr(*keys, f"explode(array({wanted})) as w").selectExpr(
-            *keys, "w.*", "double('-inf') as lo0", "double('inf') as hi0", "0L as below0"
-        )
-    )
-    brackets = _count(data, brackets, keys)
-    for _ in range(MAX_ROUNDS):
-        if brackets.where(f"coalesce(upto - below, {MAX_INSIDE} + 1) > {MAX_INSIDE} and lo < hi").isEmpty():
-            break
-        brackets = _count(data, _narrow(data, brackets, keys), keys)
-
-    # Equal values are counted before the shuffle, so a hot value is one row.
-    inside = (
-        data.join(brackets, keys)
-        .where("__v between lo and hi")
-        .groupBy(*keys, "name", "pos", "below", "__v")
-        .count()
-    )
-    order = Window.partitionBy(*keys, "name").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("last", F.sum("count").over(order) + F.col("below") - 1)
-    hit = "__v, null)) as {0}"
-    picked = ranked.groupBy(*keys, "name", "pos").agg(
-        F.expr("max(if(floor(pos) between last - count + 1 and last, " + hit.format("a")),
-        F.expr("max(if(ceil(pos) between last - count + 1 and last, " + hit.format("b")),
+    brackets = materialize(sketch.selectExpr(*keys, f"explode(array({wanted})) as w").selectExpr(*keys, "w.*"), "brackets")
+    # The sketch may have missed a rank: the first pass counts what lies outside its brackets as well.
+    brackets = _narrow(data, brackets, keys, known=False)
+    while not brackets.where("lo < hi").isEmpty():
+        found = brackets.where("lo = hi")
+        brackets = _narrow(data, brackets.where("lo < hi"), keys, known=True).unionByName(found)
+
+    picked = brackets.groupBy(*keys, "name", "pos").agg(
+        F.expr("max(if(side = 'a', lo, null)) as a"), F.expr("max(if(side = 'b', lo, null)) as b")
     )
     return (
         picked.selectExpr(*keys, "name", "a + (b - a) * (pos - floor(pos)) as q")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tokengauge.functions.text import gap_word_count
 from tokengauge.operators.quantiles import exact_quantiles
-from tokengauge.session import inline_small
+from tokengauge.session import materialize
 
 SCOPES = ["all", "english"]
 ENGLISH = "English"
@@ -57,12 +57,13 @@ def iqr_filter(
     keys = list(keys)
     bounds = exact_quantiles(df, keys, value, {"q1": 0.25, "q3": 0.75})
     spread = F.col("q3") - F.col("q1")
-    bounds = inline_small(
+    bounds = materialize(
         bounds.select(
             *keys,
             (F.col("q1") - F.lit(multiplier) * spread).alias("__lower"),
             (F.col("q3") + F.lit(multiplier) * spread).alias("__upper"),
-        )
+        ),
+        "bounds",
     )
     return (
         df.join(bounds, keys)

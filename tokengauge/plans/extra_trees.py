@@ -5,8 +5,7 @@ level is two aggregations over the rows still in open nodes: the range of each
 feature per node, from which a threshold is drawn, and the sums left of each
 threshold, from which the best split is chosen. Only per-node sums are shuffled.
 Rows find their node by joining the splits so far; that path is stored every few
-levels. Node tables whose size is bounded or counted to be small are inlined, so
-their joins broadcast; larger ones are stored and joined by shuffle.
+levels. Node tables are stored, so the optimizer knows their size and picks each join.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from tokengauge.functions.text import SELECTED_FEATURES
 from tokengauge.operators.rows import SCOPES
 from tokengauge.plans.forest import DEEPEST, SEED, TreeConfig
 from tokengauge.plans.training import long_targets
-from tokengauge.session import SMALL_TABLE_ROWS, inline, inline_small, local_table, materialize
+from tokengauge.session import inline, local_table, materialize
 
 CELL = ["config_id", "tokenizer", "scope", "fold"]
 NODE = [*CELL, "tree", "node"]
@@ -112,13 +111,6 @@ def _child(features: list[str]) -> str:
     return f"if(at is null, slot, slot + slot % {TREE} + if(case at {value} end <= cut, 0, 1))"
 
 
-def _node_table(nodes: DataFrame, bound: int) -> DataFrame:
-    """Compute a per-node table once: inline when its bound or its count is small, else stored."""
-    if bound <= SMALL_TABLE_ROWS:
-        return inline(nodes)
-    return inline_small(materialize(nodes, "et-nodes"))
-
-
 def fit(
     table: DataFrame,
     targets: Sequence[str],
@@ -134,15 +126,13 @@ def fit(
     """
     features = list(features)
     roots = _roots(table, configs, targets, scopes, folds)
-    trees = sum(c.n_estimators for c in configs) * len(targets) * len(scopes) * len(folds)
     rows = _training_rows(table, roots, features, targets)
     levels = []
     for level in range(max(min(c.max_depth or DEEPEST, DEEPEST) for c in configs) + 1):
-        bound = trees << level
-        stats = _node_table(_node_stats(rows, features), bound)
+        stats = materialize(_node_stats(rows, features), "et-nodes")
         if stats.isEmpty():
             break
-        splits = _node_table(_choose(rows, _draw(stats, roots, features, seed, level), features), bound)
+        splits = materialize(_choose(rows, _draw(stats, roots, features, seed, level), features), "et-splits")
         levels.append(
             stats.join(splits, "slot", "left").selectExpr("slot", f"{level} as level", "n", "value", "at", "cut")
         )
@@ -180,9 +170,8 @@ def predict(
     """
     features = list(features)
     deepest = trees.agg(F.max("level")).collect()[0][0]
-    trees = inline_small(trees)
     roots = trees.where("node = 1").groupBy(*CELL).agg(F.collect_list("slot").alias("slots"))
-    rows = long_targets(table.withColumnRenamed("fold", "own_fold"), targets).join(inline_small(roots), "tokenizer")
+    rows = long_targets(table.withColumnRenamed("fold", "own_fold"), targets).join(materialize(roots, "et-roots"), "tokenizer")
     rows = rows.where("scope = 'all' or is_english")
     if held_out:
         rows = rows.where("fold = own_fold")

@@ -64,9 +64,10 @@ def shard_union(spark, sf_dir):
 @query
 def features_read(spark, sf_dir):
     labels = spark.read.schema(schemas.LABELS).parquet(f"{sf_dir}/labels.parquet")
-    docs = corpus.documents(spark, sf_dir).join(labels, "doc_id", "left")
+    docs = spread(corpus.documents(spark, sf_dir), "doc_id")
     path = shared_path(spark, "features")
-    stage = add_features(spread(docs, "doc_id"), SELECTED_FEATURES).drop("content")
+    features = add_features(docs, SELECTED_FEATURES).drop("content")
+    stage = features.join(labels, "doc_id", "left")
     corpus.write_stage(stage, path)
     return corpus.read_features(
         spark, path, stage.schema, ["doc_id", "char_count", "word_count"], "quality", "english"
@@ -355,7 +356,7 @@ def linear_params(spark, sf_dir):
 @query
 def polynomial_cv(spark, sf_dir):
     table, targets = _token_table(
-        spark, sf_dir, ["char_count"], one_vocabulary(), gap_words=True, drop_null_content=True
+        spark, sf_dir, ["char_count"], gap_words=True, drop_null_content=True
     )
     by_source = folds.group_fold(table, "source")
     shapes = [(f, d) for f in ("char_count", "gap_word_count") for d in (2, 3)]

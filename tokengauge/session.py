@@ -1,7 +1,8 @@
-"""Session helpers: shared storage for intermediates and size-checked small tables."""
+"""Session helpers: shared storage for intermediates, and small tables of known size."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 import zipfile
@@ -13,10 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# A side is only inlined (and so broadcast) when it has been counted below this.
-SMALL_TABLE_ROWS = 50_000
-# Inputs below this size are spread over all cores; larger ones keep their scan splits.
-SPREAD_BYTES = 1 << 30
+# Setting: tasks over which texts are spread; unset, the scan splits stay.
+TEXT_PARTITIONS = "spark.tokengauge.text.partitions"
 
 _local_roots: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -28,6 +27,7 @@ def local_session(app: str = "tokengauge", cpus: str | int = "*") -> SparkSessio
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
+        .config(TEXT_PARTITIONS, str(os.cpu_count() if cpus == "*" else cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
@@ -40,12 +40,13 @@ def local_session(app: str = "tokengauge", cpus: str | int = "*") -> SparkSessio
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``).
 
-    Only a local master may fall back to a folder of this machine.
+    Only a plain local master, one process, may fall back to a folder of this machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
@@ -88,32 +89,16 @@ def inline(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
-def inline_small(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Turn a table that was checked to be small into a local relation.
-
-    Its exact size is then known to the optimizer, which broadcasts it below
-    ``spark.sql.autoBroadcastJoinThreshold``. A larger table is returned as it
-    is, so the join stays a shuffle join.
-    """
-    rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a small input over all cores before per-row text work.
+    """Spread a text table over ``spark.tokengauge.text.partitions`` tasks before per-row text work.
 
-    A Parquet file with one row group is one task however many cores there
-    are. Inputs over ``SPREAD_BYTES`` are left alone: they have enough splits,
-    and a shuffle of whole texts would cost more than it gains.
+    A Parquet file with one row group is one task however many cores there are; a
+    session that reads such files sets the number (``local_session`` does). Where it
+    is unset, as on a cluster that reads many files, the scan splits stay and no text is
+    shuffled. Results do not depend on it.
     """
-    if df.isStreaming:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SPREAD_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    parts = df.sparkSession.conf.get(TEXT_PARTITIONS, None)
+    return df if parts is None or df.isStreaming else df.repartition(int(parts), *keys)
 
 
 def ship_package(spark: SparkSession) -> None:
