@@ -8,7 +8,7 @@ tested on whole words.
 from __future__ import annotations
 
 from tokengauge.functions import patterns as p
-
+from tokengauge.functions.text import SELECTED_FEATURES
 from tokengauge.plans import best_params
 from tokengauge.sources.corpus import LANGUAGES
 
@@ -143,6 +143,50 @@ pred as (
   from scoped s join fit on s.scope = fit.scope and s.fold = fit.fold)"""
 
 
+def _soft(model: str, alpha: float, l1_ratio: float) -> str:
+    """Held-out predictions of one z-scored feature under an L1 and an L2 penalty: the soft threshold."""
+    return f"""
+with {DOCS},
+sums as (
+  select s.scope, f.fold, avg(s.y) as y_mean, avg(s.char_count) as x_mean, stddev_pop(s.char_count) as sx,
+    covar_pop(s.y, s.char_count) / stddev_pop(s.char_count) as c
+  from scoped s join (select distinct fold from docs) f on s.fold <> f.fold
+  group by s.scope, f.fold),
+fit as (
+  select *, sign(c) * greatest(abs(c) - {alpha * l1_ratio}, 0) / (1 + {alpha * (1 - l1_ratio)}) / sx as a from sums)
+select '{model}' as model, 'pretoken' as tokenizer, s.scope, s.fold, s.doc_id, round(s.y, 4) as y,
+  round(fit.y_mean + a * (s.char_count - x_mean), 4) as yhat
+from scoped s join fit on s.scope = fit.scope and s.fold = fit.fold"""
+
+
+def _two_features(ridge: float) -> str:
+    """Held-out predictions of ridge on two z-scored features: two equations, solved by determinants."""
+    return f"""
+with {DOCS},
+sums as (
+  select s.scope, f.fold, avg(s.y) as y_mean, avg(char_count) as m1, avg(word_count) as m2,
+    stddev_pop(char_count) as s1, stddev_pop(word_count) as s2, corr(char_count, word_count) as r,
+    covar_pop(s.y, char_count) / stddev_pop(char_count) as c1, covar_pop(s.y, word_count) / stddev_pop(word_count) as c2,
+    1 + {ridge} / count(*) as d
+  from scoped s join (select distinct fold from docs) f on s.fold <> f.fold
+  group by s.scope, f.fold),
+fit as (
+  select *, (d * c1 - r * c2) / (d * d - r * r) / s1 as a1, (d * c2 - r * c1) / (d * d - r * r) / s2 as a2 from sums)
+select 'ridge_10' as model, 'pretoken' as tokenizer, s.scope, s.fold, s.doc_id, round(s.y, 4) as y,
+  round(fit.y_mean + a1 * (s.char_count - m1) + a2 * (s.word_count - m2), 4) as yhat
+from scoped s join fit on s.scope = fit.scope and s.fold = fit.fold"""
+
+
+SHARD_OUT = f"""
+shards as (
+  select 'documents.parquet' as fold, text from documents union all select 'conversations.parquet', text from conversations
+  union all select 'benchmark.parquet', text from benchmark),
+points as (select 'all' as scope, fold, length(text)::double as x, {PRETOKENS}::double as y from shards),
+fit as (
+  select f.fold, regr_slope(y, x) as a, regr_intercept(y, x) as b
+  from points s join (select distinct fold from points) f on s.fold <> f.fold group by f.fold),
+pred as (select scope, s.fold, y, a * x + b as yhat from points s join fit on s.fold = fit.fold)"""
+
 METRICS = f"""
 med as (
   select scope, fold, quantile_cont(abs(y - yhat), 0.5) as median_ae, quantile_cont(y, 0.5) as median_y
@@ -255,6 +299,17 @@ def oracle_sql() -> dict[str, str]:
         "fold_moments": _moments(),
         "predict_ols": _predictions("ols", 0.0),
         "ridge_univariate_cv": _predictions("ridge_10", 10.0),
+        "lasso_univariate_cv": _soft("lasso_0.01", 0.01, 1.0),
+        "elasticnet_univariate_cv": _soft("elasticnet_0.01", 0.01, 0.5),
+        "ridge_two_feature_cv": _two_features(10.0),
+        "shard_out_cv": f"with {SHARD_OUT}, {METRICS} select model, tokenizer, scope, fold, n, {ROUNDED} from metrics",
+        "huber_optimality": f"""
+            with {DOCS} select 'pretoken' as tokenizer, scope, count(*) as n, round(avg(char_count), 4) as x_mean,
+              round(stddev_pop(char_count), 4) as x_scale, round(avg(y), 4) as y_mean, round(stddev_pop(y), 4) as y_scale, true as optimal
+            from scoped group by scope""",
+        "stream_features": f"""
+            with texts as (select doc_id, text as content from documents), {STAGED}
+            select doc_id, {", ".join(f"{TEXT_SQL[f]} as {f}" for f in SELECTED_FEATURES)} from base""",
         "metrics": f"with {DOCS}, {fits()}, {METRICS} select model, tokenizer, scope, fold, n, {ROUNDED} from metrics",
         "report_wide": f"with {DOCS}, {fits()}, {METRICS} select model, tokenizer, scope, fold, {ROUNDED} from metrics",
         "cv_summary": f"""

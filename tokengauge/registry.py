@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokengauge.functions.text import (
     FEATURES, REGULARIZED_FEATURES, SELECTED_FEATURES, add_features, gap_word_count, pretoken_count,
@@ -18,6 +19,7 @@ from tokengauge.plans import (
 )
 from tokengauge.session import materialize, shared_path, ship_package, spread
 from tokengauge.sources import corpus, schemas
+from tokengauge.streaming.featurize import featurize_new_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -81,6 +83,19 @@ def conversation_prompts(spark, sf_dir):
     return add_features(prompts, chosen).drop("content")
 
 
+@query
+def stream_features(spark, sf_dir):
+    """New shards of the documents as a stream, each featurized once; what the sink holds when all are done."""
+    sink = shared_path(spark, "stream-features")
+    source = f"{sf_dir}/document[s].parquet"  # a pattern, since a stream takes no single file by name
+    run = featurize_new_shards(
+        spark, source, schemas.DOCUMENTS, sink, shared_path(spark, "stream-mark"), SELECTED_FEATURES, content="text"
+    )
+    run.awaitTermination()
+    stored = T.StructType([schemas.DOCUMENTS["doc_id"], *spark.read.parquet(sink).select(*SELECTED_FEATURES).schema.fields])
+    return corpus.read_shards(spark, sink, stored)
+
+
 # --- filters and reshaping ------------------------------------------------------------
 
 
@@ -202,7 +217,9 @@ def enrich(spark, sf_dir):
 @query
 def prompt_tokens(spark, sf_dir):
     prompts = spread(corpus.prompts(spark, sf_dir), "conv_id")
-    return add_token_counts(prompts, missing="skip").drop("content")
+    stage = add_token_counts(prompts, missing="skip")
+    path = corpus.write_stage(stage, shared_path(spark, "prompts"))
+    return corpus.read_shards(spark, path, stage.schema, [c for c in stage.columns if c != "content"])
 
 
 # --- folds, scalers, moments ----------------------------------------------------------
@@ -275,6 +292,44 @@ def ridge_univariate_cv(spark, sf_dir):
     return rounded(predictions)
 
 
+def _univariate_penalty(kind: str) -> Query:
+    def run(spark, sf_dir):
+        ship_package(spark)
+        penalty = next(p for p in regularized.PENALTIES if p.kind == kind)
+        table = _pretoken_table(spark, sf_dir)
+        return rounded(regularized.cross_validate(table, ["pretoken"], ["char_count"], [penalty], keep=["doc_id"]))
+
+    return run
+
+
+for _kind in ("lasso", "elasticnet"):
+    _REGISTRY[f"{_kind}_univariate_cv"] = _univariate_penalty(_kind)
+
+
+@query
+def ridge_two_feature_cv(spark, sf_dir):
+    pair = ["char_count", "word_count"]
+    table = _pretoken_table(spark, sf_dir, pair)
+    return rounded(regularized.cross_validate(table, ["pretoken"], pair, [regularized.PENALTIES[1]], keep=["doc_id"]))
+
+
+SHARDS = ("documents", "conversations", "benchmark")
+
+
+@query
+def shard_out_cv(spark, sf_dir):
+    """Least squares that leaves one shard (file) out; the shards are the tables that hold texts."""
+    paths = [f"{sf_dir}/{t}.parquet" for t in SHARDS]
+    texts = corpus.read_shards(spark, paths, T.StructType([schemas.DOCUMENTS["text"]]), shard_column="shard")
+    table = folds.group_fold(texts, "shard").select(
+        "fold", F.lit(False).alias("is_english"), F.length("text").cast("double").alias("char_count"), pretoken_count("text").alias("pretoken")
+    )
+    predictions = regularized.cross_validate(
+        materialize(table, "training"), ["pretoken"], ["char_count"], [regularized.OLS], scopes=["all"]
+    )
+    return rounded(regularized.cv_metrics(predictions, wide=True))
+
+
 @query
 def metrics_by_fold(spark, sf_dir):
     return rounded(_ols_metrics(spark, sf_dir))
@@ -353,6 +408,23 @@ def linear_params(spark, sf_dir):
     return robust.linear_parameters(table, robust.fit(table, finals))
 
 
+@query
+def huber_optimality(spark, sf_dir):
+    """The Huber line on the pre-token count, with the gradient of its objective summed over the rows."""
+    table = _pretoken_table(spark, sf_dir)
+    cells = robust.make_cells(table, ["pretoken"], [("char_count", 1)], scale_target=True, with_final=True)
+    params = robust.linear_parameters(table, robust.fit(table, [c for c in cells if c.fold is None]))
+    scored = training.explode_scopes(training.long_targets(table, ["pretoken"])).join(params, ["tokenizer", "scope"])
+    z = (F.col("char_count") - F.col("x_mean")) / F.col("x_scale")
+    rest = (F.col("y") - F.col("y_mean")) / F.col("y_scale") - F.col("intercept_scaled") - F.col("coef_scaled") * z
+    pull = F.least(F.greatest(rest, F.lit(-robust.EPSILON)), F.lit(robust.EPSILON))
+    by_cell = scored.groupBy("tokenizer", "scope", "x_mean", "x_scale", "y_mean", "y_scale", "coef_scaled").agg(
+        F.count("*").alias("n"), F.avg(pull).alias("g0"), F.avg(pull * z).alias("g1")
+    )
+    at_rest = (F.abs("g0") < 1e-5) & (F.abs(F.col("g1") - robust.ALPHA * F.col("coef_scaled")) < 1e-5)
+    return rounded(by_cell.select("tokenizer", "scope", "n", "x_mean", "x_scale", "y_mean", "y_scale", at_rest.alias("optimal")))
+
+
 @query
 def polynomial_cv(spark, sf_dir):
     table, targets = _token_table(

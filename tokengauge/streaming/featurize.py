@@ -21,6 +21,7 @@ def featurize_new_shards(
     features: Sequence[str] = FEATURES,
     vocabularies: Mapping[str, Vocabulary] | None = None,
     files_per_batch: int | None = None,
+    content: str = "content",
 ) -> StreamingQuery:
     """Append features (and token counts) of the shards that are new since the last run.
 
@@ -31,7 +32,7 @@ def featurize_new_shards(
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    df = reader.parquet(source)
+    df = reader.parquet(source).withColumnRenamed(content, "content")
     if vocabularies is not None:
         df = add_token_counts(df, vocabularies)
     return (
