@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tokengauge.functions.text import REGULARIZED_FEATURES, SELECTED_FEATURES
 from tokengauge.operators import folds, metrics
-from tokengauge.plans import boost, extra_trees, final, forest, mlp, regularized, robust, training
-from tokengauge.session import materialize
+from tokengauge.plans import best_params, boost, extra_trees, final, forest, mlp, regularized, robust, training
+from tokengauge.session import local_table, materialize
 from tokengauge.sources import corpus
 
 TARGET = ["pretoken"]
@@ -278,35 +278,18 @@ def test_forest_grid(table):
     assert len(found) == 2 * 3 and all(r["r2"] > 0.3 for r in found.values())
 
 
-def test_final_models_survive_the_disk(table, tmp_path):
-    out = final.train_and_score(
-        table, TARGET, str(tmp_path), forest.TreeConfig(4, 4, 5), mlp.MLPConfig((6,)), rounds=4, max_iter=15
-    ).collect()
+def test_final_models_survive_the_disk(table, spark, tmp_path):
+    trees = {("rf", "all"): (4, 4, 5), ("rf", "english"): (3, 3, 5), ("et", "all"): (4, 4, 5), ("et", "english"): (4, 5, 5)}
+    rows = [(m, "pretoken", s, *t, None, None, None) for (m, s), t in trees.items()]
+    rows += [("mlp", "pretoken", s, None, None, None, "relu", 1e-4, hidden) for s, hidden in (("all", "6"), ("english", "5,3"))]
+    params = local_table(spark, rows, best_params.DDL)
+    out = final.train_and_score(table, TARGET, str(tmp_path), params, rounds=4, max_iter=15).collect()
     assert sorted((r["model"], r["scope"]) for r in out) == sorted(
         (m, s) for m in ("linear", "linear_boost", "mlp", "et", "rf") for s in ("all", "english")
     )
     assert all(r["r2"] > 0.5 for r in out)
-    model = forest.fit_final(table, "pretoken", "all", forest.TreeConfig(4, 4, 5))
-    again = forest.load(forest.save(model, str(tmp_path / "again")))
-    one = model.transform(table).select("doc_id", "yhat").orderBy("doc_id").collect()
-    assert one == again.transform(table).select("doc_id", "yhat").orderBy("doc_id").collect()
-
-
-def test_prediction_does_not_shuffle_rows(table):
-    p = regularized.cross_validate(table, TARGET, ["char_count"], [regularized.OLS])
-    plan = p._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
-
-
-def test_null_texts(spark):
-    data = [(1, "a b", "English", "s"), (2, None, "English", "s"), (3, "", None, "s")]
-    docs = spark.createDataFrame(data, "doc_id long, content string, language string, source string")
-    kept = training.training_table(docs, ["char_count"], None, gap_words=True)
-    got = {r["doc_id"]: (r["char_count"], r["gap_word_count"], r["is_english"]) for r in kept.collect()}
-    assert got == {1: (3.0, 2.0, True), 2: (4.0, 1.0, True), 3: (0.0, 1.0, False)}
-    assert training.training_table(docs, ["char_count"], None, drop_null_content=True).count() == 2
-
-
-def test_training_table_has_no_text(spark, sf):
-    t = training.training_table(corpus.documents(spark, sf), ["char_count"], None)
-    assert t.columns == ["doc_id", "source", "is_english", "fold", "char_count", "pretoken"]
+    configs = {(r["model"], r["scope"]): r["config"] for r in out}
+    assert configs["rf", "english"] == "n=3,depth=3,leaf=5" and configs["et", "english"] == "n=4,depth=5,leaf=5"
+    assert "(5, 3)" in configs["mlp", "english"] and "(6,)" in configs["mlp", "all"]
+    with pytest.raises(KeyError):
+        final.chosen_params(table, TARGET, params.where("scope = 'all'"))
