@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +78,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds) - z, -700, 700)))
 
 
-def fit(texts: list[str], grades: list[int], levels: int = 3, ridge: float = 0.5, least: int = 4, most: int = 2048, rounds: int = 400) -> Model:
+def fit(texts: Iterable[str], grades: list[int], levels: int = 3, ridge: float = 0.5, least: int = 4, most: int = 2048, rounds: int = 400) -> Model:
     """Gradient steps with momentum on the cumulative-link likelihood + ridge; thresholds are kept in order.
 
     Without rows, all grades are equally likely. A grade that no row has keeps its place between its neighbours.
@@ -89,9 +89,13 @@ def fit(texts: list[str], grades: list[int], levels: int = 3, ridge: float = 0.5
     theta = np.log((1 - tail) / tail) + np.arange(levels - 1) * 1e-3
     if not len(y) or y.min() == y.max():
         return Model({}, theta.tolist())
-    reader = Reader()
-    rows = [reader.features(t) for t in texts]
-    x = Sparse([np.array(list(r), np.int64) for r in rows], [np.array(list(r.values()), float) for r in rows])
+    reader, rows, values = Reader(), [], []  # one text at a time: only buckets and values are kept
+    for t in texts:
+        found = reader.features(t)
+        rows.append(np.fromiter(found, np.int32, len(found)))
+        values.append(np.fromiter(found.values(), float, len(found)))
+    x = Sparse(rows, values)
+    del reader, rows, values
     size = 1 << BITS
     # the features whose mean differs most between the grades, by the spread of grade sums against chance
     total, square = np.bincount(x.col, minlength=size), np.bincount(x.col, x.val**2, minlength=size)
@@ -132,7 +136,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = 6000, levels: int =
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).join(F.broadcast(inline(chosen)), "doc_id")
     table = rows.groupBy("doc_id").agg(F.min("__grade").alias("y"), F.min("__text").alias("text")).orderBy("doc_id").toArrow()
-    return fit(table.column("text").to_pylist(), [min(levels - 1, max(0, g)) for g in table.column("y").to_pylist()], levels)
+    return fit((t.as_py() for t in table.column("text")), [min(levels - 1, max(0, g)) for g in table.column("y").to_pylist()], levels)
 
 
 def grades(labels: DataFrame) -> DataFrame:
