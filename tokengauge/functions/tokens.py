@@ -59,6 +59,9 @@ def ship(spark: SparkSession, vocabularies: Mapping[str, Vocabulary]) -> None:
         spark.sparkContext.addFile(v.path)
 
 
+#: Characters of text that a tokenizer gets at once, about; a longer single text goes alone or with the few before it.
+PIECE_CHARS = 4 << 20
+
 _loaded: dict[Vocabulary, Callable[[list[str]], list[int]]] = {}
 
 
@@ -128,7 +131,10 @@ def add_token_counts(
         @F.pandas_udf(", ".join(f"`{n}` bigint" for n in names))
         def count_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for texts in batches:
-                yield pd.DataFrame({n: _count(texts, v) for n, v in zip(names, specs)})
+                # long texts go to the tokenizers a few at a time, whatever the Arrow batch holds
+                piece = texts.str.len().fillna(0).cumsum().to_numpy() // PIECE_CHARS
+                parts = [p for _, p in texts.groupby(piece)] or [texts]
+                yield pd.concat([pd.DataFrame({n: _count(p, v) for n, v in zip(names, specs)}) for p in parts])
 
         df = df.withColumn("__tokens", count_tokens(F.col(content).cast("string")))
     columns = [F.col(c) for c in kept]
