@@ -245,6 +245,20 @@ def test_html(spark):
     assert html_wrapper.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><meta charset=x><body><div><p>one</p></div>", "one"),
+    ("<head><title>t</title>one", "one"),
+    ("<form id=f><div><p>one</p><p>two</p></div><nav>x</nav></form>", "one two"),
+    ("<body><nav><a>x</a><div><p>one and two</p></div></body>", "x one and two"),
+    ("<nav>x</nav><form>q</form><p>one and two</p>", "one and two"),
+    ('<article>a<svg class="i"/><p>one</p><svg><text>no</text></svg><iframe src="x" /><p>two</p><template/>b</article>', "a one two b"),
+    ("a < b and more", "a < b and more"), ("<article><p>one <di", "one"),
+])
+def test_html_reads_whole_pages(page, text):
+    found = html_wrapper.blocks(page)
+    assert " ".join(t for p, t, _ in found if "!" not in p) == text
+
+
 def test_wrapper_has_optional_and_repeated_groups():
     trees = [html_wrapper.page_tree(html_wrapper.blocks(f"<div><h1>a</h1>{p}</div>")) for p in ("<p>b</p>", "<p>b</p><p>c</p><ul><li>x</ul>")]
     assert html_wrapper.expression(html_wrapper.merge(*trees)) == "<div> <h1> # (<p> #)+ (<ul> <li> #)?"

@@ -51,9 +51,13 @@ HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|site-header|top-?bar)(?:$|[\s_-
 FURNITURE_ROLE = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|post|post-body|post-content|entry|entry-content|story|main-content)(?:$|[\s_-])", re.I)
 
+#: What may stand in a head; anything else ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta".split())
+
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s+|/)(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?>", re.S | re.I
+    rf"<!--.*?(?:-->|$)|<(?:{RAW})(?:\s(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*(?<=[\s\"']))?/>|<({RAW})\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s+|/)(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?>", re.S | re.I
 )
+_CUT = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
 
@@ -80,11 +84,13 @@ def _name(tag: str, attributes: str) -> str:
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """(path, text, characters of links) of the text blocks in page order; the path names the open elements that are not inline.
 
-    Missing end tags are supplied as browsers do for paragraphs, items and cells; an article or main element ends
-    whatever furniture was left open before it; a page that stops in the middle ends all elements.
+    Missing end tags are supplied as browsers do for heads, paragraphs, items and cells; an article or main element ends
+    whatever furniture was left open before it; a page that stops in the middle ends all elements. A form, and furniture
+    without an end tag of its own, is no furniture where it holds most of the page's text.
     """
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str]] = []  # tag, token
+    out: list[tuple[list, str, int]] = []
+    stack: list[list] = []  # elements: [tag, token, whether its mark may be wrong]
+    doubtful: list[list] = []
     text: list[str] = []
     links = open_links = 0
 
@@ -93,7 +99,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append(("/".join(t for _, t in stack[:DEEPEST]), joined, links))
+                out.append((stack[:DEEPEST], joined, links))
             text.clear()
         links = 0
 
@@ -101,6 +107,9 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
+            if stack and stack[-1][0] == "head" and piece.strip():
+                flush()
+                stack.pop()[2] = False
             text.append(piece)
             if open_links:
                 links += len(piece.strip())
@@ -109,6 +118,8 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if stack and stack[-1][0] == "head" and not m[2] and tag not in IN_HEAD:
+            stack.pop()[2] = False
         if tag in INLINE:
             if tag == "a":
                 open_links = 0 if m[2] else 1
@@ -120,21 +131,38 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
+                    stack[i][2] = stack[i][2] and tag == "form"
                     del stack[i:]
                     break
             continue
         while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
-            stack.pop()
+            stack.pop()[2] = False
         token = _name(tag, m[4] or "")
-        if tag in ("article", "main") and token.endswith("*") and not any(t.endswith("*") for _, t in stack):
-            while stack and any(t.endswith("!") for _, t in stack):
+        if tag in ("article", "main") and token.endswith("*") and not any(t.endswith("*") for _, t, _ in stack):
+            while stack and any(t.endswith("!") for _, t, _ in stack):
                 stack.pop()
         if tag not in VOID and not (m[4] or "").endswith("/"):
-            stack.append((tag, token))
+            stack.append([tag, token, token.endswith("!")])
+            if token.endswith("!"):
+                doubtful.append(stack[-1])
     if at < len(page):
-        text.append(page[at:].split("<", 1)[0])  # a tag cut off at the end is no text
+        piece = _CUT.split(page[at:], maxsplit=1)[0]  # a tag cut off at the end is no text
+        if stack and stack[-1][0] == "head" and piece.strip():
+            stack.pop()[2] = False
+        text.append(piece)
     flush()
-    return out
+    if any(e[2] for e in doubtful):
+        whole, held = 0, {}
+        for path, block, _ in out:
+            if not any(t.endswith("!") and not open_ for _, t, open_ in path):
+                whole += len(block)
+                for e in path:
+                    if e[2]:
+                        held[id(e)] = held.get(id(e), 0) + len(block)
+        for e in doubtful:
+            if e[2] and 2 * held.get(id(e), 0) > whole:
+                e[1] = e[1][:-1]
+    return [("/".join(t for _, t, _ in path), block, n) for path, block, n in out]
 
 
 # A wrapper is a node [token, repeated, optional, chars, link chars, pages, children]; chars are those of its own slot.
