@@ -259,6 +259,14 @@ def test_html_reads_whole_pages(page, text):
     assert " ".join(t for p, t, _ in found if "!" not in p) == text
 
 
+def test_wrapper_of_a_host_is_bounded(spark):
+    pages = [(f"http://h.org/{i}", f'<div class="post-{i}"><h1>t{i}</h1><p>text {i}</p></div><div id="u{i:06x}f{i}"><p>c</p></div><div class="{chr(97 + i % 26)}{chr(97 + i // 26)}">r</div>') for i in range(300)]
+    df = spark.createDataFrame(pages, "url string, text string").select("url", F.col("text").cast("binary")).repartition(7)
+    got = html_wrapper.infer(df).collect()
+    assert len(got) == 1 and got[0]["wrapper"].count("div.post-#") == 1 and len(got[0]["wrapper"]) < 200
+    assert html_wrapper.plain_name("comment-77") == html_wrapper.plain_name("comment-8") != html_wrapper.plain_name("post-8")
+
+
 def test_wrapper_has_optional_and_repeated_groups():
     trees = [html_wrapper.page_tree(html_wrapper.blocks(f"<div><h1>a</h1>{p}</div>")) for p in ("<p>b</p>", "<p>b</p><p>c</p><ul><li>x</ul>")]
     assert html_wrapper.expression(html_wrapper.merge(*trees)) == "<div> <h1> # (<p> #)+ (<ul> <li> #)?"

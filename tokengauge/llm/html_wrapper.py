@@ -1,24 +1,26 @@
 """Main text of web pages by wrappers inferred from pages of the same host (union-free regular expressions).
 
-A page's tags form a stream whose text is reduced to slots. Equal neighbours fold into a repeated group. The streams of a host are
-aligned one after the other: where they agree the wrapper stays, where one has a run of tags that the other lacks the run becomes
-an optional group, and a group that one page repeats is a repeated group. Slots carry how much text and link text they
-held on how many pages. Of the finished wrapper, the slots that hold articles are chosen, by the meaning of their tags
-and, where a host has no article element, by where its text is; pages are then read through these slots.
-
-Wrappers are folded inside the partitions first and then merged by host, so a host of a third of all pages is one small
-wrapper per partition. They are stored by shards in the shared folder, and a task that reads pages loads the shards it needs.
+A page's tags form a stream whose text is reduced to slots. Equal neighbours fold into a repeated group. Numbers and hash-like
+parts of class and id names are left out, so that the slots of a host's pages agree. Slots carry how much text and link text
+they held on how many pages; they are counted inside the partitions first and then summed by host and path, so no task
+holds the slots of a whole host. A host's wrapper is the tree of the slots on at least one page in ``FREQUENT`` of the host, in page
+order: slots that some of its pages lack are optional groups, those that a page repeats are repeated groups. So it has
+at most ``FREQUENT`` times as many slots as a page. The slots that hold articles are chosen, by the meaning of their tags
+and, where a page has no article element, by where the host's wrapper has its text; pages are read through these slots.
+
+Wrappers are stored by shards in the shared folder, and a task that reads pages loads the shards it needs.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
-import json
 import re
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -32,6 +34,10 @@ from .common import slices, text_bytes
 
 #: Average hosts of a shard, and shards that a worker keeps.
 SHARD_HOSTS, SHARDS_KEPT = 256, 64
+#: A slot belongs to the wrapper if one in so many pages of the host has it.
+FREQUENT = 100
+#: Counts that a task gathers before it passes them on.
+COUNTS_HELD = 200_000
 #: Nesting below this depth is read as if it were at it.
 DEEPEST = 60
 
@@ -61,6 +67,23 @@ _CUT = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 
 
+_PART = re.compile(r"[^\W_]+")
+_UNSAFE = re.compile(r"[^\w#-]")
+
+
+@lru_cache(1 << 16)
+def plain_name(name: str) -> str:
+    """A class or id name without what differs from page to page: numbers, and parts that look like hashes."""
+    def part(m: re.Match) -> str:
+        x = m[0]
+        if x.isalpha():
+            return "#" if len(x) >= 8 and not x.lower().strip("abcdef") else x
+        word = x.rstrip("0123456789")
+        return (word if word.isalpha() and len(x) - len(word) < 6 else "") + "#"
+
+    return _UNSAFE.sub("_", _PART.sub(part, name))
+
+
 def _name(tag: str, attributes: str) -> str:
     """Token of an element: its tag, and marks for furniture (!) and main text (*)."""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
@@ -78,7 +101,7 @@ def _name(tag: str, attributes: str) -> str:
     else:
         mark = ""
     first = names.split()
-    return f"{tag}.{first[0]}{mark}" if first else tag + mark
+    return f"{tag}.{plain_name(first[0])}{mark}" if first else tag + mark
 
 
 def blocks(page: str) -> list[tuple[str, str, int]]:
@@ -235,50 +258,102 @@ def expression(node: list) -> str:
     return f"({body})" + ("+" if node[1] else "") + ("?" if node[2] else "") if node[1] or node[2] else body
 
 
-def main_paths(wrapper: list) -> list[str]:
-    """Paths of the slots that hold main text.
+@lru_cache(1 << 16)
+def kind(path: str) -> str:
+    """"main" inside article and main elements and elements named so, "furniture" inside furniture, else "plain"."""
+    inside = False
+    for token in path.split("/"):
+        if token.endswith("!") or (token.endswith("^") and not inside):
+            return "furniture"
+        inside = inside or token.endswith("*")
+    return "main" if inside else "plain"
+
+
+def slot_counts(tree: list) -> dict[str, list[int]]:
+    """[chars, link chars, repeated, place] of a page's slots by path."""
+    out: dict[str, list[int]] = {}
+
+    def walk(node: list, path: str, repeated: int) -> None:
+        repeated |= node[1]
+        if node[3]:
+            if path in out:
+                old = out[path]
+                out[path] = [old[0] + node[3], old[1] + node[4], 1, old[3]]
+            else:
+                out[path] = [node[3], node[4], repeated, len(out)]
+        for kid in node[6]:
+            walk(kid, f"{path}/{kid[0]}" if path else kid[0], repeated)
+
+    walk(tree, "", 0)
+    return out
+
+
+def wrapper_of(slots: list[tuple[str, int, int, int, int]], pages: int) -> list:
+    """The wrapper of a host of so many pages from (path, chars, link chars, pages, repeated) of its slots in page order."""
+    root = ["", 0, 0, 0, 0, pages, []]
+    known = {(): root}
+    for path, chars, links, seen, repeated in slots:
+        parts = tuple(path.split("/")) if path else ()
+        for i in range(1, len(parts) + 1):
+            if parts[:i] not in known:
+                known[parts[:i]] = [parts[i - 1], 0, 0, 0, 0, 0, []]
+                known[parts[: i - 1]][6].append(known[parts[:i]])
+            known[parts[:i]][5] = max(known[parts[:i]][5], seen)
+        node = known[parts]
+        node[1], node[3], node[4] = repeated, chars, links
+
+    def close(node: list, pages: int) -> None:
+        node[2] = int(node[5] < pages)
+        for kid in node[6]:
+            close(kid, node[5])
+
+    close(root, pages)
+    return root
+
+
+def plain_area(wrapper: list) -> tuple[str, list[str]]:
+    """Where pages without an article have their text: the path of the area, and slots that are mostly links.
 
-    Inside article and main elements, and elements named so, all but furniture; a host without any: from the top, follow
-    the child that holds most of the text that is not furniture and not mostly links, as long as it holds at least 60 % of it.
+    From the top, follow the child that holds most of the text that is neither in furniture or articles nor mostly links,
+    as long as it holds at least 60 % of it.
     """
+    boxes: list[str] = []
+
     def mass(node: list) -> int:
-        if node[0].endswith(("!", "^")):
+        if node[0].endswith(("!", "^", "*")):
             return 0
         own = node[3] if 2 * node[4] <= node[3] else 0
         return own + sum(map(mass, node[6]))
 
-    def slots(node: list, path: tuple[str, ...], inside: bool, out: list[str]) -> None:
-        token = node[0]
-        if token.endswith("!") or (token.endswith("^") and not inside):
+    def link_slots(node: list, path: str) -> None:
+        if node[0].endswith(("!", "^", "*")):
             return
-        path = (*path, token) if token else path
-        inside = inside or token.endswith("*")
-        if inside and node[3]:
-            out.append("/".join(path))
+        if 2 * node[4] > node[3]:
+            boxes.append(path)
         for kid in node[6]:
-            slots(kid, path, inside, out)
+            link_slots(kid, f"{path}/{kid[0]}" if path else kid[0])
 
-    found: list[str] = []
-    slots(wrapper, (), False, found)
-    if found:
-        return sorted(set(found))
-    node, path = wrapper, ()
+    link_slots(wrapper, "")
+    node, path = wrapper, []
     while node[6]:
         best = max(node[6], key=mass)
-        if mass(best) == 0 or mass(best) < 0.6 * mass(node) or (not best[6]):
+        if mass(best) == 0 or mass(best) < 0.6 * mass(node) or not best[6]:
             break
-        node, path = best, (*path, best[0])
+        node = best
+        path.append(best[0])
+    return "/".join(path), sorted(boxes)
 
-    def rest(n: list, at: tuple[str, ...]) -> None:
-        if n[0].endswith(("!", "^")):
-            return
-        if n[3] and 2 * n[4] <= n[3]:
-            found.append("/".join(at))
-        for kid in n[6]:
-            rest(kid, (*at, kid[0]))
 
-    rest(node, path)
-    return sorted(set(found))
+class HostWrapper:
+    def __init__(self, area: str = "", boxes: list[str] | None = None):
+        self.area, self.boxes = area, frozenset(boxes or ())
+
+    def text(self, found: list[tuple[str, str, int]]) -> str:
+        chosen = [(p, t) for p, t, _ in found if kind(p) == "main"]
+        if not chosen:
+            within = self.area + "/" if self.area else ""
+            chosen = [(p, t) for p, t, _ in found if kind(p) == "plain" and (p == self.area or p.startswith(within)) and p not in self.boxes]
+        return "\n\n".join(t for _, t in chosen)
 
 
 def host(url: str | None) -> str:
@@ -286,51 +361,84 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+ROWS = "host string, path_id long, path string, pages long, chars long, links long, repeated int, place long"
+
+
+def _id(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def infer(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON), paths of every host of ``pages`` (url, html as binary ``text``)."""
+    """host, wrapper (as an expression), area and boxes of every host of ``pages`` (url, html as binary ``text``)."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folded: dict[str, list] = {}
+        slots_: dict[tuple[str, str | None], list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            keys = [(h, None if p is None else _id(p), p) for h, p in slots_]
+            columns = list(zip(*keys, strict=True)) + list(zip(*slots_.values(), strict=True)) if keys else [[]] * 8
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            names = ["host", "path_id", "path", "pages", "chars", "links", "repeated", "place"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
         for batch in slices(batches):
             for url, page in zip(batch.column("url").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                tree, key = page_tree(blocks(page.decode("utf-8", "replace"))), host(url)
-                folded[key] = merge(folded[key], tree) if key in folded else tree
-            if len(folded) > 20_000:
-                yield pa.RecordBatch.from_pydict({"host": list(folded), "wrapper": [json.dumps(w) for w in folded.values()]})
-                folded = {}
-        yield pa.RecordBatch.from_pydict({"host": pa.array(list(folded), pa.string()), "wrapper": pa.array([json.dumps(w) for w in folded.values()], pa.string())})
+                found, name = blocks(page.decode("utf-8", "replace")), host(url)
+                counts: dict[str | None, list[int]] = {None: [0, 0, 0, 0], **slot_counts(page_tree(found))}
+                for path, (chars, links, repeated, place) in counts.items():
+                    row = slots_.setdefault((name, path), [0, 0, 0, 0, 0])
+                    row[0] += 1
+                    row[1] += chars
+                    row[2] += links
+                    row[3] |= repeated
+                    row[4] += place
+                if len(slots_) > COUNTS_HELD:
+                    yield out()
+                    slots_.clear()
+        yield out()
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
-        wrapper = None
-        for part in sorted(group["wrapper"]):
-            tree = json.loads(part)
-            wrapper = tree if wrapper is None else merge(wrapper, tree)
-        return pd.DataFrame({"host": [group["host"].iat[0]], "wrapper": [json.dumps(wrapper)], "paths": [main_paths(wrapper)]})
+        total = int(group["total"].iat[0])
+        group = group.assign(at=group["place"] / group["pages"]).sort_values(["at", "path"])
+        slots_ = [(r.path, int(r.chars), int(r.links), int(r.pages), int(r.repeated)) for r in group.itertuples()]
+        wrapper = wrapper_of(slots_, total)
+        area, boxes = plain_area(wrapper)
+        return pd.DataFrame({"host": [group["host"].iat[0]], "wrapper": [expression(wrapper)], "area": [area], "boxes": [boxes]})
+
+    summed = pages.mapInArrow(partial, ROWS).groupBy("host", "path_id", "path").agg(
+        *[F.sum(c).alias(c) for c in ("pages", "chars", "links", "place")], F.max("repeated").alias("repeated")
+    )
+    rows = materialize(summed, "wrapper-slots")
+    totals = rows.where("path_id is null").select("host", F.col("pages").alias("total"))
+    slots_ = rows.where("path_id is not null").join(totals, "host").where(F.col("pages") * FREQUENT >= F.col("total"))
+    return slots_.groupBy("host").applyInPandas(whole, "host string, wrapper string, area string, boxes array<string>")
 
-    return pages.mapInArrow(partial, "host string, wrapper string").groupBy("host").applyInPandas(whole, "host string, wrapper string, paths array<string>")
+
+READ = ["host", "area", "boxes"]
 
 
 class Wrappers:
-    """Main paths by host, read from the shards in the shared folder."""
+    """Wrappers by host, read from the shards in the shared folder."""
 
     def __init__(self, path: str, shards: int):
         self.fs, self.path = pyarrow.fs.FileSystem.from_uri(path) if ":/" in path else (pyarrow.fs.LocalFileSystem(), path)
         self.shards, self.kept = shards, OrderedDict()
 
-    def paths(self, name: str) -> frozenset[str]:
+    def of(self, name: str) -> HostWrapper:
         number = zlib.crc32(name.encode()) % self.shards
         if number not in self.kept:
-            got: dict[str, frozenset[str]] = {}
+            got: dict[str, HostWrapper] = {}
             for x in self.fs.get_file_info(pyarrow.fs.FileSelector(f"{self.path}/shard={number}", allow_not_found=True)):
                 if x.path.endswith(".parquet"):
                     with self.fs.open_input_file(x.path) as f:
-                        for row in pyarrow.parquet.read_table(f, columns=["host", "paths"]).to_pylist():
-                            got[row["host"]] = frozenset(row["paths"])
+                        for row in pyarrow.parquet.read_table(f, columns=READ).to_pylist():
+                            name_of_row = row.pop("host")
+                            got[name_of_row] = HostWrapper(**row)
             self.kept[number] = got
             if len(self.kept) > SHARDS_KEPT:
                 self.kept.popitem(last=False)
         self.kept.move_to_end(number)
-        return self.kept[number].get(name, frozenset())
+        return self.kept[number].get(name) or HostWrapper()
 
 
 def extract(pages: DataFrame, shard_hosts: int = SHARD_HOSTS) -> DataFrame:
@@ -344,18 +452,15 @@ def extract(pages: DataFrame, shard_hosts: int = SHARD_HOSTS) -> DataFrame:
     wrappers = materialize(infer(pages.select("url", "text")), "wrappers")
     shards = max(1, -(-wrappers.count() // shard_hosts))
     path = shared_path(pages.sparkSession, "wrapper-shards")
-    wrappers.withColumn("shard", F.crc32(F.col("host").cast("binary")) % shards).select("host", "paths", "shard").repartition("shard").write.partitionBy("shard").parquet(path)
+    wrappers.withColumn("shard", F.crc32(F.col("host").cast("binary")) % shards).select(*READ, "shard").repartition("shard").write.partitionBy("shard").parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Wrappers(path, shards)
         for batch in slices(batches):
-            texts = []
-            for url, page in zip(batch.column("url").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = blocks(page.decode("utf-8", "replace"))
-                wanted = known.paths(host(url))
-                if not any(p in wanted for p, _, _ in found):  # none of the host's main slots is on this page
-                    wanted = main_paths(page_tree(found))
-                texts.append("\n\n".join(t for p, t, _ in found if p in wanted))
+            texts = [
+                known.of(host(url)).text(blocks(page.decode("utf-8", "replace")))
+                for url, page in zip(batch.column("url").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
