@@ -259,6 +259,26 @@ def test_html_reads_whole_pages(page, text):
     assert " ".join(t for p, t, _ in found if "!" not in p) == text
 
 
+def _texts(spark, pages):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    return [r["text"] for r in sorted(html_wrapper.extract(df).collect(), key=lambda r: r["page_id"])]
+
+
+def _story(i):
+    return " ".join(hashlib.md5(f"{i} {j}".encode()).hexdigest()[:5] for j in range(20))
+
+
+def test_html_template_texts_are_left_out(spark):
+    box = '<div class=c12>We value your privacy</div><div class=c3><a href=x>One</a> <a href=y>Two</a></div>'
+    pages = [(f"http://h.org/{i}", f"<body><main><p>{_story(i)}</p>{box}</main></body>") for i in range(12)]
+    pages += [(f"http://h.org/p{i}", f"<body><div><div><p>{_story(i + 50)}</p>{box}</div></div></body>") for i in range(12)]
+    pages += [(f"http://copies.org/{i}", f"<main><p>{_story(99)}</p>{box}</main>") for i in range(12)]
+    pages += [("http://h.org/none", f"<body><main>{box}</main></body>")]
+    got = _texts(spark, pages)
+    assert got[:24] == [_story(i) for i in range(12)] + [_story(i + 50) for i in range(12)]
+    assert got[24:] == [_story(99) + "\n\nWe value your privacy\n\nOne Two"] * 12 + ["We value your privacy\n\nOne Two"]
+
+
 def test_wrapper_of_a_host_is_bounded(spark):
     pages = [(f"http://h.org/{i}", f'<div class="post-{i}"><h1>t{i}</h1><p>text {i}</p></div><div id="u{i:06x}f{i}"><p>c</p></div><div class="{chr(97 + i % 26)}{chr(97 + i // 26)}">r</div>') for i in range(300)]
     df = spark.createDataFrame(pages, "url string, text string").select("url", F.col("text").cast("binary")).repartition(7)

@@ -8,6 +8,10 @@ order: slots that some of its pages lack are optional groups, those that a page
 at most ``FREQUENT`` times as many slots as a page. The slots that hold articles are chosen, by the meaning of their tags
 and, where a page has no article element, by where the host's wrapper has its text; pages are read through these slots.
 
+What a slot holds unchanged on many pages belongs to the template, whatever its name: a text that at least 90 % of the
+pages with its slot have, at least one in ``FREQUENT`` of the host and three that differ in the rest of their text. Copies of
+one page do not differ and so say nothing about it. Template texts are left out, unless the page has no other.
+
 Wrappers are stored by shards in the shared folder, and a task that reads pages loads the shards it needs.
 """
 
@@ -38,6 +42,8 @@ SHARD_HOSTS, SHARDS_KEPT = 256, 64
 FREQUENT = 100
 #: Counts that a task gathers before it passes them on.
 COUNTS_HELD = 200_000
+#: Pages with otherwise different text that must share a text before it counts as template.
+WITNESSES = 3
 #: Nesting below this depth is read as if it were at it.
 DEEPEST = 60
 
@@ -344,16 +350,37 @@ def plain_area(wrapper: list) -> tuple[str, list[str]]:
     return "/".join(path), sorted(boxes)
 
 
+def _id(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def text_id(path: str, text: str) -> int:
+    return _id(f"{path}\n{text}")
+
+
+def witnesses(texts: list[str]) -> list[int]:
+    """For each text of a page one bit of 64, picked by the rest of the page: the smallest hash of its pairs of words, which
+    pages that are nearly alike share."""
+    least = []
+    for t in texts:
+        w = t.encode("utf-8", "replace").split()
+        least.append(min(map(zlib.crc32, map(b" ".join, zip(w, w[1:], strict=False))), default=zlib.crc32(t.encode("utf-8", "replace"))))
+    first, second = sorted([*least, 2**32, 2**32])[:2]
+    keys = [second if x == first else first for x in least]
+    return [1 << (k * 0x9E3779B97F4A7C15 >> 32 & 63) for k in keys]
+
+
 class HostWrapper:
-    def __init__(self, area: str = "", boxes: list[str] | None = None):
-        self.area, self.boxes = area, frozenset(boxes or ())
+    def __init__(self, area: str = "", boxes: list[str] | None = None, template: list[int] | None = None):
+        self.area, self.boxes, self.template = area, frozenset(boxes or ()), frozenset(template or ())
 
     def text(self, found: list[tuple[str, str, int]]) -> str:
         chosen = [(p, t) for p, t, _ in found if kind(p) == "main"]
         if not chosen:
             within = self.area + "/" if self.area else ""
             chosen = [(p, t) for p, t, _ in found if kind(p) == "plain" and (p == self.area or p.startswith(within)) and p not in self.boxes]
-        return "\n\n".join(t for _, t in chosen)
+        own = [(p, t) for p, t in chosen if text_id(p, t) not in self.template] if self.template else chosen
+        return "\n\n".join(t for _, t in own or chosen)
 
 
 def host(url: str | None) -> str:
@@ -361,25 +388,25 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-ROWS = "host string, path_id long, path string, pages long, chars long, links long, repeated int, place long"
-
-
-def _id(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+ROWS = "host string, path_id long, path string, text_id long, pages long, chars long, links long, repeated int, place long, bits long"
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """host, wrapper (as an expression), area and boxes of every host of ``pages`` (url, html as binary ``text``)."""
+    """host, wrapper (as an expression), area, boxes and template of every host of ``pages`` (url, html as binary ``text``)."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots_: dict[tuple[str, str | None], list[int]] = {}
-
-        def out() -> pa.RecordBatch:
-            keys = [(h, None if p is None else _id(p), p) for h, p in slots_]
-            columns = list(zip(*keys, strict=True)) + list(zip(*slots_.values(), strict=True)) if keys else [[]] * 8
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            names = ["host", "path_id", "path", "pages", "chars", "links", "repeated", "place"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        texts: dict[tuple[str, str, int], list[int]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = [(h, None if p is None else _id(p), p, None, *x, None) for (h, p), x in slots_.items()]
+            rows += [(h, _id(p), None, t, n, None, None, None, None, bits - (bits >> 63 << 64)) for (h, p, t), (n, bits) in texts.items()]
+            for i in range(0, len(rows), 10_000):
+                columns = zip(*rows[i : i + 10_000], strict=True)
+                kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4, pa.int32(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in ROWS.split(", ")])
+            slots_.clear()
+            texts.clear()
 
         for batch in slices(batches):
             for url, page in zip(batch.column("url").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -392,29 +419,44 @@ def infer(pages: DataFrame) -> DataFrame:
                     row[2] += links
                     row[3] |= repeated
                     row[4] += place
-                if len(slots_) > COUNTS_HELD:
-                    yield out()
-                    slots_.clear()
-        yield out()
+                read = [(p, t) for p, t, _ in found if kind(p) != "furniture"]
+                bits = {}
+                for (p, t), bit in zip(read, witnesses([t for _, t in read]), strict=True):
+                    bits[p, text_id(p, t)] = bit
+                for (p, t), bit in bits.items():
+                    row = texts.setdefault((name, p, t), [0, 0])
+                    row[0] += 1
+                    row[1] |= bit
+                if len(slots_) + len(texts) > COUNTS_HELD:
+                    yield from out()
+        yield from out()
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
         total = int(group["total"].iat[0])
-        group = group.assign(at=group["place"] / group["pages"]).sort_values(["at", "path"])
-        slots_ = [(r.path, int(r.chars), int(r.links), int(r.pages), int(r.repeated)) for r in group.itertuples()]
+        held = group[group["path"].notna()]
+        held = held.assign(at=held["place"] / held["pages"]).sort_values(["at", "path"])
+        slots_ = [(r.path, int(r.chars), int(r.links), int(r.pages), int(r.repeated)) for r in held.itertuples()]
         wrapper = wrapper_of(slots_, total)
         area, boxes = plain_area(wrapper)
-        return pd.DataFrame({"host": [group["host"].iat[0]], "wrapper": [expression(wrapper)], "area": [area], "boxes": [boxes]})
+        template = sorted(int(x) for x in group["text_id"] if x is not None and x == x)
+        return pd.DataFrame({"host": [group["host"].iat[0]], "wrapper": [expression(wrapper)], "area": [area], "boxes": [boxes], "template": [template]})
 
-    summed = pages.mapInArrow(partial, ROWS).groupBy("host", "path_id", "path").agg(
-        *[F.sum(c).alias(c) for c in ("pages", "chars", "links", "place")], F.max("repeated").alias("repeated")
+    summed = pages.mapInArrow(partial, ROWS).groupBy("host", "path_id", "path", "text_id").agg(
+        *[F.sum(c).alias(c) for c in ("pages", "chars", "links", "place")], F.max("repeated").alias("repeated"), F.bit_or("bits").alias("bits")
     )
-    rows = materialize(summed, "wrapper-slots")
+    rows = materialize(summed.where(F.col("text_id").isNull() | (F.bit_count("bits") >= WITNESSES)), "wrapper-slots")
     totals = rows.where("path_id is null").select("host", F.col("pages").alias("total"))
-    slots_ = rows.where("path_id is not null").join(totals, "host").where(F.col("pages") * FREQUENT >= F.col("total"))
-    return slots_.groupBy("host").applyInPandas(whole, "host string, wrapper string, area string, boxes array<string>")
+    frequent = rows.where("path_id is not null").join(totals, "host").where(F.col("pages") * FREQUENT >= F.col("total"))
+    slots_ = frequent.where("text_id is null")
+    having = slots_.select("host", "path_id", F.col("pages").alias("having"))
+    template = frequent.where("text_id is not null").join(having, ["host", "path_id"]).where(F.col("pages") * 10 >= F.col("having") * 9)
+    columns = ["host", "total", "path", F.col("text_id").cast("string").alias("text_id"), "pages", "chars", "links", "repeated", "place"]
+    return slots_.select(columns).unionAll(template.select(columns)).groupBy("host").applyInPandas(
+        whole, "host string, wrapper string, area string, boxes array<string>, template array<long>"
+    )
 
 
-READ = ["host", "area", "boxes"]
+READ = ["host", "area", "boxes", "template"]
 
 
 class Wrappers:
