@@ -279,6 +279,14 @@ def test_html_template_texts_are_left_out(spark):
     assert got[24:] == [_story(99) + "\n\nWe value your privacy\n\nOne Two"] * 12 + ["We value your privacy\n\nOne Two"]
 
 
+def test_html_without_article_keeps_siblings(spark):
+    links = "".join(f"<li><a href={j}>some other story {j}</a></li>" for j in range(4))
+    pages = [(f"http://h.org/{i}", f"<body><h1>Title {i}</h1><p>Lead {i}</p><div class=text><p>{_story(i)}</p><p><a href=x>see {i}</a></p></div><div class=b>box {i}</div><ul>{links}{i}</ul></body>") for i in range(2)]
+    pages += [("http://one.org/", "<body><h1>Title</h1><p>Lead</p><div class=text>" + _story(7) + "</div></body>")]
+    got = _texts(spark, pages)
+    assert got == [f"Title {i}\n\nLead {i}\n\n{_story(i)}\n\nsee {i}\n\nbox {i}\n\n{i}" for i in range(2)] + [f"Title\n\nLead\n\n{_story(7)}"]
+
+
 def test_wrapper_of_a_host_is_bounded(spark):
     pages = [(f"http://h.org/{i}", f'<div class="post-{i}"><h1>t{i}</h1><p>text {i}</p></div><div id="u{i:06x}f{i}"><p>c</p></div><div class="{chr(97 + i % 26)}{chr(97 + i // 26)}">r</div>') for i in range(300)]
     df = spark.createDataFrame(pages, "url string, text string").select("url", F.col("text").cast("binary")).repartition(7)

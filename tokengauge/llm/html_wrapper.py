@@ -6,7 +6,8 @@ they held on how many pages; they are counted inside the partitions first and th
 holds the slots of a whole host. A host's wrapper is the tree of the slots on at least one page in ``FREQUENT`` of the host, in page
 order: slots that some of its pages lack are optional groups, those that a page repeats are repeated groups. So it has
 at most ``FREQUENT`` times as many slots as a page. The slots that hold articles are chosen, by the meaning of their tags
-and, where a page has no article element, by where the host's wrapper has its text; pages are read through these slots.
+and, where a page has no article element, all that are neither furniture nor, outside the area that holds most of the host's text,
+repeated slots of links; pages are read through these slots.
 
 What a slot holds unchanged on many pages belongs to the template, whatever its name: a text that at least 90 % of the
 pages with its slot have, at least one in ``FREQUENT`` of the host and three that differ in the rest of their text. Copies of
@@ -52,6 +53,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|textarea|title|noscript|template|iframe|svg"
 FURNITURE = frozenset("head nav footer aside form menu button select dialog".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl dd dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table td th tr ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 FURNITURE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|footer|"
@@ -318,7 +320,8 @@ def wrapper_of(slots: list[tuple[str, int, int, int, int]], pages: int) -> list:
 
 
 def plain_area(wrapper: list) -> tuple[str, list[str]]:
-    """Where pages without an article have their text: the path of the area, and slots that are mostly links.
+    """Where pages without an article have most of their text: the path of the area; and the link boxes outside it, which are
+    repeated slots, other than headings and paragraphs, that are mostly links.
 
     From the top, follow the child that holds most of the text that is neither in furniture or articles nor mostly links,
     as long as it holds at least 60 % of it.
@@ -331,15 +334,15 @@ def plain_area(wrapper: list) -> tuple[str, list[str]]:
         own = node[3] if 2 * node[4] <= node[3] else 0
         return own + sum(map(mass, node[6]))
 
-    def link_slots(node: list, path: str) -> None:
-        if node[0].endswith(("!", "^", "*")):
+    def link_slots(node: list, path: str, repeated: int) -> None:
+        if node[0].endswith(("!", "^", "*")) or node is area:
             return
-        if 2 * node[4] > node[3]:
+        repeated |= node[1]
+        if repeated and 2 * node[4] > node[3] and node[0].split(".")[0] not in PROSE:
             boxes.append(path)
         for kid in node[6]:
-            link_slots(kid, f"{path}/{kid[0]}" if path else kid[0])
+            link_slots(kid, f"{path}/{kid[0]}" if path else kid[0], repeated)
 
-    link_slots(wrapper, "")
     node, path = wrapper, []
     while node[6]:
         best = max(node[6], key=mass)
@@ -347,6 +350,8 @@ def plain_area(wrapper: list) -> tuple[str, list[str]]:
             break
         node = best
         path.append(best[0])
+    area = node
+    link_slots(wrapper, "", 0)
     return "/".join(path), sorted(boxes)
 
 
@@ -371,14 +376,14 @@ def witnesses(texts: list[str]) -> list[int]:
 
 
 class HostWrapper:
-    def __init__(self, area: str = "", boxes: list[str] | None = None, template: list[int] | None = None):
-        self.area, self.boxes, self.template = area, frozenset(boxes or ()), frozenset(template or ())
+    def __init__(self, boxes: list[str] | None = None, template: list[int] | None = None):
+        self.boxes, self.template = frozenset(boxes or ()), frozenset(template or ())
 
     def text(self, found: list[tuple[str, str, int]]) -> str:
         chosen = [(p, t) for p, t, _ in found if kind(p) == "main"]
         if not chosen:
-            within = self.area + "/" if self.area else ""
-            chosen = [(p, t) for p, t, _ in found if kind(p) == "plain" and (p == self.area or p.startswith(within)) and p not in self.boxes]
+            plain = [(p, t) for p, t, _ in found if kind(p) == "plain"]
+            chosen = [(p, t) for p, t in plain if p not in self.boxes] or plain
         own = [(p, t) for p, t in chosen if text_id(p, t) not in self.template] if self.template else chosen
         return "\n\n".join(t for _, t in own or chosen)
 
@@ -456,7 +461,7 @@ def infer(pages: DataFrame) -> DataFrame:
     )
 
 
-READ = ["host", "area", "boxes", "template"]
+READ = ["host", "boxes", "template"]
 
 
 class Wrappers:
