@@ -16,6 +16,7 @@ from tokengauge.llm import ann, bpe, html_wrapper, licenses, line_dedup, minhash
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LONG = "the quick brown fox jumps over the lazy dog while rain falls on grey stone roofs near the old river bank and people walk home slowly"
+WORD_LIST = LONG.split()[:8] + ["rain", "falls"]
 EDGE = [
     (1, LONG), (2, LONG), (2, LONG), (3, None), (4, ""), (5, " \n\t "), (None, LONG + " again"), (6, "x" * 30_000), (7, "l " * 20_000),
     (8, "Ünïcode <|endoftext|> í ŀ 漢字  　 don't\r\n\x0b\x0c end"), (9, "shared line that is long enough\nshared line that is long enough\nown"),
@@ -83,6 +84,17 @@ def test_quality_counts_and_verdicts(docs, empty, corpus):
     assert {r["doc_id"] for r in kept.collect()} == {1, 2, None}
 
 
+def test_quality_variety_holds_at_every_length(spark):
+    rng = np.random.default_rng(1)
+    salad = lambda n: " ".join(WORD_LIST[i] for i in rng.integers(0, 10, n))
+    prose = lambda n: " ".join(f"{WORD_LIST[i % 10]}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in (rng.pareto(0.8, n) * 40).astype(int) % 6760)
+    texts = [f(n) for f in (salad, prose) for n in (1999, 2000, 2001, 2002, 20_000)]
+    rows = quality_rules.measures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = [r[1] for r in sorted(rows.select("doc_id", F.array(*quality_rules.votes())).collect())]
+    place = [quality_rules.RULES.index(x) for x in ("variety", "prose", "flow")]
+    assert [[v[i] for i in place] for v in got] == [[-1, 0, 0]] * 5 + [[0, 1, got[5][place[2]]]] * 5
+
+
 def test_quality_estimate_is_plain_em(spark):
     rows = [([-1, -1, 0], 30), ([-1, 0, 0], 20), ([0, 0, 1], 100), ([-1, 0, 1], 5), ([0, 0, 0], 9)]
     got = quality_rules.estimate(spark.createDataFrame(rows, "__votes array<int>, n long"), 3, rounds=25, tolerance=0)

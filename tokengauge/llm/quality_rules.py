@@ -20,6 +20,8 @@ GAPS = r"\x20\x09-\x0D"
 SYMBOLS = r"#*$%&|<>"
 #: Words of a window that counts as repeated.
 WINDOW = 8
+#: Up to here the variety of a text is its share of distinct words.
+VARIETY_WORDS = 2000
 
 RULES = ["symbols", "dup_lines", "repeats", "capitals", "word_length", "letters", "variety", "marks", "prose", "flow"]
 
@@ -101,7 +103,9 @@ def votes() -> list[Column]:
     capitals = F.when(c("n_letters") >= 40, _share(c("n_capitals"), c("n_letters"))).otherwise(0.0)
     length = _share(c("word_chars"), c("n_words"))
     letters = F.when(c("word_chars") >= 40, _share(c("n_letters"), c("word_chars"))).otherwise(1.0)
-    variety = F.when(c("n_words") <= 2000, _share(c("n_distinct"), c("n_words"))).otherwise(1.0)
+    # Distinct words grow more slowly than words: beyond VARIETY_WORDS, about as their square root.
+    n = c("n_words").cast("double")
+    variety = _share(c("n_distinct"), F.least(n, F.sqrt(VARIETY_WORDS * n)))
     marks = _share(c("n_marks"), c("n_words"))
     enough = c("n_words") >= 20
     bad = [
