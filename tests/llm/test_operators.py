@@ -198,6 +198,22 @@ def test_ordinal(spark, docs, empty, corpus, sf):
     assert good.tails("other fine words")[0] > 0.5 > good.tails("BAD! OH! ***")[0]
 
 
+def test_licences_in_wrapped_and_long_paragraphs(spark):
+    model = licenses.fit(["some plain words about the weather", "the version of events was released"] * 20)
+    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    bsd = "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions are met:"
+    lgpl = "This program is free software; you can redistribute it and/or modify it under the terms of\nthe GNU Lesser General Public License"
+    filler = "plain words about the weather " * 40
+    texts = [
+        wrapped, "Head\n\n" + bsd, lgpl, "Released under the MIT License or the Apache License, Version 2.0",
+        f"{filler} released under the BSD license {filler} licensed under the Apache License, Version 2.0 {filler}",
+        "a\n \t\nAll rights reserved\n\n\nReleased under the MIT License\n",
+    ]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).sort("doc_id").collect()
+    assert [r["families"] for r in got] == ["MIT", "BSD", "LGPL", "Apache,MIT", "Apache,BSD", "MIT,Proprietary"]
+    assert [(r["n_paragraphs"], r["n_licences"]) for r in got] == [(1, 1), (2, 1), (1, 1), (1, 2), (1, 2), (3, 2)]
+
+
 def test_licences(docs, empty):
     model = licenses.fit(["some plain words about the weather", "the version of events was released"] * 20)
     lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "All rights reserved.", "This work is licensed under the GNU General Public License, version 3.", "All rivers are reserved for fish and the license of poets"]

@@ -1,8 +1,10 @@
 """Licence scans: a paragraph classifier over word n-grams with an unknown class, confirmed by comparison with templates.
 
 A multinomial logistic regression is trained on the statements below, varied by leaving out, adding and cutting words, against paragraphs of
-the corpus and shuffled licence words as the unknown class; a temperature fitted on held-out variants calibrates it. A
-paragraph is reported if its most probable family is not unknown and one of that family's statements is found in it again.
+the corpus and shuffled licence words as the unknown class; a temperature fitted on held-out variants calibrates it.
+Paragraphs end at blank lines and are read in overlapping windows. A family is reported if it is more probable
+than unknown and one of its statements is found again; what that statement explains is then taken out and the rest is judged anew,
+so that a window reports all families it names.
 """
 
 from __future__ import annotations
@@ -40,6 +42,9 @@ FAMILIES = [*STATEMENTS, "unknown"]
 #: Words that alone say nothing about a licence.
 COMMON = frozenset("a an and any as at be by for from in is it may no not of on one or that the this to under with you your without all part any must than was are they or".split())
 BITS = 18
+#: Words of a window, and from one window to the next; a statement is shorter than what two windows share.
+WINDOW, STEP = 64, 32
+_BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 UNKNOWN = len(FAMILIES) - 1
 
@@ -73,14 +78,45 @@ class Model:
         return e / e.sum()
 
 
-def confirmed(family: str, w: list[str], least: float = 0.75) -> bool:
-    """One of the family's statements is in the paragraph: at least this share of its word pairs (all pairs of a statement of up to four words)."""
+def share(family: str, w: list[str]) -> float:
+    """The largest share of a statement's word pairs that the paragraph has; a statement of up to four words counts whole or not at all."""
     own = set(zip(w, w[1:], strict=False))
+    shares = [0.0]
     for t in _TEMPLATES.get(family, ()):
         pairs = set(zip(t, t[1:], strict=False))
-        if len(pairs & own) >= (1.0 if len(t) <= 4 else least) * len(pairs):
-            return True
-    return False
+        found = len(pairs & own) / len(pairs)
+        shares.append(found if len(t) > 4 or found == 1 else 0.0)
+    return max(shares)
+
+
+def confirmed(family: str, w: list[str], least: float = 0.75) -> bool:
+    """One of the family's statements is in the paragraph: at least this share of its word pairs (all pairs of a statement of up to four words)."""
+    return share(family, w) >= least
+
+
+def families(w: list[str], model: Model, least: float) -> dict[str, float]:
+    """Families that a window names, with their probabilities against unknown. Of several that the classifier and a statement
+    support, the one whose statement is found most fully goes first (the text of LGPL holds most of GPL's), then what it
+    explains is taken out. After the first, at least half of a statement must be in what is left."""
+    found: dict[str, float] = {}
+    left = list(w)
+    while not _TELLING.isdisjoint(left):
+        p = model.probabilities(left)
+        rest = 0.5 if found else 0.75
+        able = [(share(f, left), float(q / (q + p[UNKNOWN])), f) for f, q in zip(FAMILIES[:UNKNOWN], p, strict=False) if q >= least * (q + p[UNKNOWN])]
+        able = [x for x in able if x[0] >= rest and confirmed(x[2], w)]
+        if not able:
+            break
+        _, chance, family = max(able)
+        found[family] = max(found.get(family, 0.0), chance)
+        own = {x for t in _TEMPLATES[family] for x in zip(t, t[1:], strict=False)}
+        for i in [i for i, x in enumerate(zip(left, left[1:], strict=False)) if x in own]:
+            left[i] = left[i + 1] = ""
+    return found
+
+
+def windows(w: list[str]) -> list[list[str]]:
+    return [w[i : i + WINDOW] for i in range(0, max(1, len(w) - STEP), STEP)]
 
 
 def variants(rng: np.random.Generator, filler: list[str], each: int) -> list[tuple[list[str], int]]:
@@ -147,7 +183,8 @@ def fit(plain: list[str], each: int = 60, ridge: float = 0.05, rounds: int = 300
 
 
 def sample_paragraphs(docs: DataFrame, documents: int = 1000) -> list[str]:
-    """Paragraphs of at most ``documents`` texts, the first in the order of a hash of their id; at most 2,000 characters of each."""
+    """Paragraphs of at most ``documents`` texts, the first in the order of a hash of their id: the first 20 lines of each,
+    and at most 2,000 characters of a line, so that the driver holds a bounded sample. Scanned texts are not cut."""
     chosen = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").select(F.col("text")).limit(documents)
     rows = chosen.select(F.slice(F.transform(F.split("text", "\n"), lambda p: F.substring(p, 1, 2000)), 1, 20).alias("p")).toArrow()
     return [p for row in rows.column("p").to_pylist() for p in row]
@@ -157,7 +194,7 @@ def scan(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_paragraphs, n_licences, families (sorted, joined by commas), top_family,
     top_probability of its surest paragraph.
 
-    Paragraphs are lines that hold a word. A null or empty text has none; without a licence the family is unknown and the
+    Paragraphs end at blank lines; ``n_licences`` counts the families that each of them names. A null or empty text has none; without a licence the family is unknown and the
     probability is that of unknown for a paragraph without licence words. Repeated rows give equal results; other columns are not read.
     """
     telling = _TELLING
@@ -167,20 +204,22 @@ def scan(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for batch in slices(batches):
             rows = []
             for text in batch.column("text").to_pylist():
-                lines = [x for x in text.decode("utf-8", "replace").split("\n") if x.strip()]
+                paragraphs = [x for x in _BLANK.split(text.decode("utf-8", "replace").replace("\r\n", "\n")) if x.strip()]
                 found: dict[str, float] = {}
                 n = 0
-                for line in lines:
-                    w = words(line)
+                for paragraph in paragraphs:
+                    w = words(paragraph)
                     if telling.isdisjoint(w):
                         continue
-                    p = model.probabilities(w)
-                    best = int(p.argmax())
-                    if best != UNKNOWN and p[best] >= least and confirmed(FAMILIES[best], w):
-                        n += 1
-                        found[FAMILIES[best]] = max(found.get(FAMILIES[best], 0.0), float(p[best]))
+                    named: dict[str, float] = {}
+                    for part in windows(w):
+                        for family, p in families(part, model, least).items():
+                            named[family] = max(named.get(family, 0.0), p)
+                    n += len(named)
+                    for family, p in named.items():
+                        found[family] = max(found.get(family, 0.0), p)
                 top = max(sorted(found), key=found.get) if found else "unknown"
-                rows.append((len(lines), n, ",".join(sorted(found)), top, found.get(top, calm)))
+                rows.append((len(paragraphs), n, ",".join(sorted(found)), top, found.get(top, calm)))
             columns = list(zip(*rows, strict=True))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_paragraphs", "n_licences", "families", "top_family", "top_probability"])
