@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -47,9 +48,42 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(start)
 
 
+#: Bytes of a text that are split into words at a time.
+PART_BYTES = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def text_parts(text: bytes) -> Iterator[bytes]:
+    """A text in bounded parts, cut where a white space begins, so that no word is cut."""
+    start = 0
+    while start < len(text):
+        gap = _GAP.search(text, start + PART_BYTES)
+        end = gap.start() if gap else len(text)
+        yield text[start:end]
+        start = end
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (the one of the splitmix generator), elementwise."""
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * _M1
         x = (x ^ (x >> np.uint64(27))) * _M2
         return x ^ (x >> np.uint64(31))
+
+
+#: A key with more than this part of all rows is joined by broadcast: fewer keys than this can be so frequent.
+KEY_SHARE = 1000
+
+
+def join_by_share(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, unique in ``keys`` (never null), without one task for a frequent key.
+
+    The column ``rows`` of ``right`` counts the rows of ``left`` with the key and does not come out; ``total`` is the
+    sum of these counts. At most ``KEY_SHARE`` keys hold more than that part of all rows: they are
+    broadcast. The others are joined by merging, where no key can make a task much larger than the rest.
+    """
+    often = F.col(rows) * KEY_SHARE > total
+    some = F.broadcast(right.where(often).drop(rows))
+    frequent = left.join(some, keys)
+    rest = left.join(F.broadcast(right.where(often).select(*keys)), keys, "left_anti")
+    return frequent.unionByName(rest.join(right.where(~often).drop(rows).hint("merge"), keys, how))
