@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tokengauge.functions.text import REGULARIZED_FEATURES, SELECTED_FEATURES
 from tokengauge.operators import folds, metrics
-from tokengauge.plans import best_params, boost, extra_trees, final, forest, mlp, regularized, robust, training
+from tokengauge.plans import best_params, boost, final, mlp, regularized, robust, training, trees
 from tokengauge.session import local_table, materialize
 from tokengauge.sources import corpus
 
@@ -219,68 +219,9 @@ def test_mlp(table, local):
     np.testing.assert_allclose(again[0].weights, once[0].weights, rtol=1e-6)
 
 
-def test_extra_trees(table, local):
-    grid = [forest.TreeConfig(4, 5, 5), forest.TreeConfig(3, 2, 10)]
-    trees = extra_trees.fit(table, TARGET, grid, folds=[0, 1, 2])
-    nodes = trees.collect()
-    assert nodes
-    for r in nodes:
-        c = grid[r["config_id"]]
-        assert r["n"] >= c.min_samples_leaf and r["level"] <= c.max_depth and r["tree"] < c.n_estimators
-    # children share out the rows of their parent, and the tree predicts the mean of a leaf
-    by = {tuple(r[k] for k in extra_trees.NODE): r for r in nodes}
-    for k, r in by.items():
-        if r["feature"] is not None:
-            left, right = by[*k[:-1], 2 * k[-1]], by[*k[:-1], 2 * k[-1] + 1]
-            assert left["n"] + right["n"] == r["n"]
-    key = (0, "pretoken", "english", 1)
-    rows = chosen(local, "english", 1)
-    assert by[*key, 0, 1]["n"] == len(rows) and by[*key, 0, 1]["value"] == pytest.approx(rows.pretoken.mean())
-    p = extra_trees.predict(table, trees, TARGET)
-    one = p.where("config_id = 0 and scope = 'english' and fold = 1").first()
-    x = local.set_index("doc_id").loc[one["doc_id"]]
-    walked = []
-    for t in range(4):
-        r = by[*key, t, 1]
-        while r["feature"] is not None:
-            r = by[*key, t, 2 * r["node"] + (0 if x[r["feature"]] <= r["cut"] else 1)]
-        walked.append(r["value"])
-    assert one["yhat"] == pytest.approx(np.mean(walked))
-    found = scores(p, extra_trees.CELL)
-    assert len(found) == 12
-    assert min(r["r2"] for r in found.values()) > 0, {k: r["r2"] for k, r in found.items()}
-    again = extra_trees.fit(table.repartition(5), TARGET, grid[1:], folds=[0])
-    once = extra_trees.fit(table, TARGET, grid[1:], folds=[0])
-    pick = [*extra_trees.NODE, "feature", "n"]
-    assert sorted(map(str, again.select(*pick).collect())) == sorted(map(str, once.select(*pick).collect()))
-
-
-def test_extra_trees_without_broadcasts(spark, table, monkeypatch):
-    """Node tables too large to broadcast are joined by shuffle: the same trees."""
-    grid = [forest.TreeConfig(2, 4, 5)]
-    pick = [*extra_trees.NODE, "feature", "n"]
-    once = sorted(map(str, extra_trees.fit(table, TARGET, grid, scopes=["all"]).select(*pick).collect()))
-    monkeypatch.setattr(extra_trees, "STORE_EVERY", 2)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        trees = extra_trees.fit(table, TARGET, grid, scopes=["all"])
-        assert sorted(map(str, trees.select(*pick).collect())) == once
-        assert extra_trees.predict(table, trees, TARGET, held_out=False).count() == table.count()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-
-
-def test_forest_grid(table):
-    grid = forest.tree_grid(n_estimators=[4], max_depth=[4], min_samples_leaf=[5, 10])
-    assert len(forest.tree_grid()) == 12 and len(mlp.mlp_grid()) == 20
-    found = scores(forest.grid_search(table, TARGET, grid, scopes=["all"]), ["config_id", *KEYS])
-    assert len(found) == 2 * 3 and all(r["r2"] > 0.3 for r in found.values())
-
-
 def test_final_models_survive_the_disk(table, spark, tmp_path):
-    trees = {("rf", "all"): (4, 4, 5), ("rf", "english"): (3, 3, 5), ("et", "all"): (4, 4, 5), ("et", "english"): (4, 5, 5)}
-    rows = [(m, "pretoken", s, *t, None, None, None) for (m, s), t in trees.items()]
+    chosen = {("rf", "all"): (4, 4, 5), ("rf", "english"): (3, 3, 5), ("et", "all"): (4, 4, 5), ("et", "english"): (4, 5, 5)}
+    rows = [(m, "pretoken", s, *t, None, None, None) for (m, s), t in chosen.items()]
     rows += [("mlp", "pretoken", s, None, None, None, "relu", 1e-4, hidden) for s, hidden in (("all", "6"), ("english", "5,3"))]
     params = local_table(spark, rows, best_params.DDL)
     out = final.train_and_score(table, TARGET, str(tmp_path), params, rounds=4, max_iter=15).collect()
@@ -293,10 +234,11 @@ def test_final_models_survive_the_disk(table, spark, tmp_path):
     assert "(5, 3)" in configs["mlp", "english"] and "(6,)" in configs["mlp", "all"]
     with pytest.raises(KeyError):
         final.chosen_params(table, TARGET, params.where("scope = 'all'"))
-    model = forest.fit_final(table, "pretoken", "all", forest.TreeConfig(4, 4, 5))
-    again = forest.load(forest.save(model, str(tmp_path / "again")))
-    one = model.transform(table).select("doc_id", "yhat").orderBy("doc_id").collect()
-    assert one == again.transform(table).select("doc_id", "yhat").orderBy("doc_id").collect()
+    cell = [("pretoken", "all", trees.TreeConfig(4, 4, 5))]
+    model = trees.fit(table, cell, trees.BEST)
+    again = trees.load(spark, trees.save(model, str(tmp_path / "again")))
+    one = trees.predict(table, model).orderBy("doc_id").collect()
+    assert one == trees.predict(table, again).orderBy("doc_id").collect() and len(one) == table.count()
 
 
 def test_prediction_does_not_shuffle_rows(table):

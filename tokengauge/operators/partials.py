@@ -41,17 +41,18 @@ def sum_over(
     shape: tuple[int, ...],
     peaks: int = 1,
     partitions: int | None = None,
+    floor: float = 0.0,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Run ``update(batch, sums, peaks)`` over all rows and add the results up.
 
     ``batch`` holds each column as an array. ``sums`` (of ``shape``) is added
-    and ``peaks`` is maximised across partitions. The arrays have the size of
+    and ``peaks``, which starts at ``floor``, is maximised across partitions. The arrays have the size of
     the model grid, never of the data.
     """
     columns = list(columns)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, top = np.zeros(shape), np.zeros(peaks)
+        sums, top = np.zeros(shape), np.full(peaks, floor)
         for batch in batches:
             if batch.num_rows:
                 update({c: as_numpy(batch.column(c)) for c in columns}, sums, top)
@@ -64,7 +65,7 @@ def sum_over(
         partials = partials.repartition(left).mapInArrow(_add, SCHEMA)
     rows = partials.collect()
     sums = np.zeros(shape)
-    top = np.zeros(peaks)
+    top = np.full(peaks, floor)
     for row in rows:
         sums += np.frombuffer(row["sums"]).reshape(shape)
         top = np.maximum(top, np.frombuffer(row["peaks"]))

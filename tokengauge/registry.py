@@ -15,7 +15,7 @@ from tokengauge.functions.tokens import add_token_counts, default_vocabularies
 from tokengauge.operators import folds, metrics, moments, rows, selection
 from tokengauge.operators.quantiles import exact_quantiles
 from tokengauge.plans import (
-    best_params, boost, extra_trees, final, forest, mlp, regularized, robust, training,
+    best_params, boost, final, mlp, regularized, robust, training, trees,
 )
 from tokengauge.session import materialize, shared_path, ship_package, spread
 from tokengauge.sources import corpus, schemas
@@ -462,35 +462,33 @@ def _search_metrics(predictions: DataFrame) -> DataFrame:
     return metrics.to_long(by_fold, CONFIG_KEYS)
 
 
-@query
-def rf_cv(spark, sf_dir):
-    table, targets = _token_table(spark, sf_dir, SELECTED_FEATURES, one_vocabulary())
-    return _search_metrics(forest.grid_search(table, targets, [forest.TreeConfig(20, 8, 5)]))
+def _forest_search(model: str, rule: str) -> Query:
+    """All configurations of the grid, ten folds, all vocabularies and scopes."""
 
+    def run(spark, sf_dir):
+        ship_package(spark)
+        table, targets = _token_table(spark, sf_dir, SELECTED_FEATURES)
+        found = trees.cross_validate(table, targets, trees.tree_grid(), rule)
+        return _search_metrics(found.withColumn("model", F.lit(model)))
 
-@query
-def grid_search_rf(spark, sf_dir):
-    table, targets = _token_table(spark, sf_dir, SELECTED_FEATURES, one_vocabulary(), folds=3)
-    grid = forest.tree_grid(n_estimators=[10], max_depth=[8], min_samples_leaf=[5, 10])
-    long = _search_metrics(forest.grid_search(table, targets, grid))
-    keys = ["model", "tokenizer", "scope"]
-    summary = metrics.summarize(long, [*keys, "config_id", "config"])
-    wide = summary.groupBy(*keys, "config_id", "config").pivot("metric", metrics.METRICS).agg(
-        F.first("mean").alias("mean"), F.first("std_pop").alias("std")
-    )
-    return selection.rank_configs(wide, keys, "r2_mean")
+    return run
+
+
+_REGISTRY["rf_cv"] = _forest_search("rf", trees.BEST)
+_REGISTRY["et_cv"] = _forest_search("et", trees.RANDOM)
 
 
 @query
-def et_cv(spark, sf_dir):
-    table, targets = _token_table(spark, sf_dir, SELECTED_FEATURES, one_vocabulary(), folds=5)
-    grid = [forest.TreeConfig(10, 8, 5), forest.TreeConfig(10, 8, 10)]
-    trees = extra_trees.fit(table, targets, grid, folds=list(range(5)))
-    names = F.element_at(F.array(*[F.lit(c.name) for c in grid]), F.col("config_id") + 1)
-    predictions = extra_trees.predict(table, trees, targets).select(
-        F.lit("et").alias("model"), "config_id", names.alias("config"), "tokenizer", "scope", "fold", "y", "yhat"
-    )
-    return _search_metrics(predictions)
+def grid_search_rf(spark, sf_dir):
+    """The whole grid ranked; the winner of each cell is refitted on all rows, and its trees, read back, score them."""
+    table, targets = _token_table(spark, sf_dir, SELECTED_FEATURES)
+    ranked, model = trees.grid_search(table, targets, trees.tree_grid(), trees.BEST)
+    stored = trees.load(spark, trees.save(model, shared_path(spark, "winners")))
+    keys = ["tokenizer", "scope", "config"]
+    sizes = stored.groupBy(*keys).agg(F.countDistinct("tree").alias("refit_trees"), F.sum(F.size("feature")).cast("long").alias("refit_nodes"))
+    scores = metrics.regression_metrics(materialize(trees.predict(table, stored), "predictions"), keys)
+    refit = sizes.join(scores.select(*keys, F.col("r2").alias("refit_r2")), keys)
+    return ranked.withColumn("model", F.lit("rf")).join(refit, keys, "left")
 
 
 @query
