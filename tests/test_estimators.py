@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokengauge.functions.text import REGULARIZED_FEATURES, SELECTED_FEATURES
-from tokengauge.operators import folds, metrics
+from tokengauge.operators import folds, metrics, moments
 from tokengauge.plans import best_params, boost, final, mlp, regularized, robust, training, trees
 from tokengauge.session import local_table, materialize
 from tokengauge.sources import corpus
@@ -42,7 +42,7 @@ def scaled(rows, features):
 
 def test_penalized_fits_are_optimal(table, local):
     features = list(REGULARIZED_FEATURES)
-    parts = regularized.collect_fold_parts(training.long_targets(table, TARGET), [*features, "y"])
+    parts = regularized.collect_fold_parts(table, features, TARGET)
     checked = 0
     for name, _, scope, fold, intercept, coefs in regularized.fit_grid(parts):
         penalty = next(p for p in regularized.PENALTIES if p.name == name)
@@ -181,8 +181,10 @@ def boosted_by_hand(z, y, rounds):
 
 def test_boost_equals_a_plain_loop(table, local):
     features = list(SELECTED_FEATURES)
-    found = boost.fit(table, TARGET, rounds=7, held_out=[None], store_every=3)
-    for m in found:
+    in_tasks = boost.fit(table, TARGET, rounds=7, held_out=[None])
+    by_passes = boost.fit(table, TARGET, rounds=7, held_out=[None], block=0)
+    assert len(in_tasks) == len(by_passes) == 2
+    for m in [*in_tasks, *by_passes]:
         rows = chosen(local, m.scope, None)
         z, _, _ = scaled(rows, features)
         odds, predicted = boosted_by_hand(z, rows.pretoken.to_numpy(float), 7)
@@ -259,3 +261,37 @@ def test_null_texts(spark):
 def test_training_table_has_no_text(spark, sf):
     t = training.training_table(corpus.documents(spark, sf), ["char_count"], None)
     assert t.columns == ["doc_id", "source", "is_english", "fold", "char_count", "pretoken"]
+
+
+def test_pairs_and_passes_give_the_row_wise_fit(table, local):
+    """Compacted rows: by tasks, by passes over the pairs, and all rows in one plain loop give the same lines and polynomials."""
+    shapes = [("char_count", 1), ("char_count", 3), ("gap_word_count", 2)]
+    make = lambda: robust.make_cells(table, TARGET, shapes, scale_target=True, with_final=True)
+    in_tasks, by_passes, by_rows = robust.fit(table, make()), robust.fit(table, make(), block=0), make()
+    pairs = robust.compacted(table, [("char_count", "pretoken")])
+    assert pairs.count() < table.count() == pairs.agg(F.sum("weight")).collect()[0][0]
+    for a, b, c in zip(in_tasks, by_passes, by_rows, strict=True):
+        rows = {"x": local[c.feature].to_numpy(), "y": local.pretoken.to_numpy(float), "is_english": local.is_english.to_numpy(), "fold": local.fold.to_numpy(), "weight": np.ones(len(local))}
+        robust._solve(robust.block_pass(rows), [c], 500, 1e-6)
+        assert a.done and b.done and c.done
+        np.testing.assert_allclose(a.beta, c.beta, rtol=1e-5, atol=1e-7)
+        np.testing.assert_allclose(b.beta, c.beta, rtol=1e-5, atol=1e-7)
+    few = robust.fit(table, make(), max_iter=2)
+    assert not any(c.done for c in few)
+
+
+def test_moments_of_all_targets_in_one_pass(spark, table, local):
+    """Targets with nulls in different rows, in some parts only; no target is unpivoted before its moments."""
+    two = table.withColumn("other", F.when((F.col("doc_id") % 5 == 1) | (F.col("fold") == 2), F.lit(None)).otherwise(F.col("pretoken") * 2 + F.col("doc_id") % 3))
+    columns = ["char_count", "word_count"]
+    parts = moments.collect_fold_parts(two.repartition(3), columns, ["pretoken", "other"])
+    local = two.toPandas()
+    assert parts.columns == [*columns, "y"] and parts.tokenizers() == ["other", "pretoken"]
+    for (target, english, fold), m in parts.parts.items():
+        rows = local[(local.is_english == english) & (local.fold == fold) & local[target].notna()]
+        z = rows[[*columns, target]].to_numpy(float)
+        assert m.n == len(rows)
+        np.testing.assert_allclose(m.mean, z.mean(axis=0), rtol=1e-9)
+        centred = z - z.mean(axis=0)
+        np.testing.assert_allclose(m.scatter, centred.T @ centred, rtol=1e-9, atol=1e-6)
+    assert not any(t == "other" and f == 2 for t, _, f in parts.parts)

@@ -177,11 +177,11 @@ def test_fold_complement(spark):
     data = [("t", bool(english[i]), int(fold[i]), float(x[i, 0]), float(x[i, 1]), float(y[i])) for i in range(n)]
     df = spark.createDataFrame(data, "tokenizer string, is_english boolean, fold int, a double, b double, y double")
     for frame in (df.repartition(1), df.repartition(7)):
-        parts = moments.collect_fold_parts(frame, ["a", "b", "y"])
+        parts = moments.collect_fold_parts(frame, ["a", "b"], ["y"])
         for scope, mask in (("all", np.ones(n, bool)), ("english", english)):
             for k in (None, 2):
                 keep = mask & (fold != k)
-                m = parts.training("t", scope, k)
+                m = parts.training("y", scope, k)
                 z = np.column_stack([x, y])[keep]
                 assert m.n == keep.sum()
                 np.testing.assert_allclose(m.mean, z.mean(axis=0), rtol=1e-12)

@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokengauge.operators.partials import sum_over
 from tokengauge.session import materialize
 
 
@@ -128,23 +129,49 @@ class FoldParts:
         )
 
 
-def collect_fold_parts(long: DataFrame, columns: Sequence[str]) -> FoldParts:
-    """Moments of ``columns`` per (tokenizer, is_english, fold); two passes over ``long``.
+def collect_fold_parts(table: DataFrame, columns: Sequence[str], targets: Sequence[str]) -> FoldParts:
+    """Moments of ``columns`` and one target per (tokenizer, is_english, fold), for all targets in one pass over ``table``.
 
-    The collected rows are tokenizers x 2 x folds, whatever the size of the data.
+    A partition multiplies the matrix of its rows of a part once, and once more for each target that is null in some of them: such rows
+    take no part in that target's moments. What comes back is tokenizers x 2 x folds matrices, whatever the size of the data.
     """
-    columns = list(columns)
-    means = long.agg(*[F.avg(c).alias(c) for c in columns]).collect()[0].asDict()
-    shift = {c: float(means[c] or 0.0) for c in columns}
-    origin = np.array([shift[c] for c in columns])
+    columns, targets = list(columns), list(targets)
+    names = [*columns, *targets]
+    means = table.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in names]).collect()[0].asDict()
+    shift = np.array([float(means[c] or 0.0) for c in names])
+    folds = sorted(r[0] for r in table.select("fold").distinct().collect())
+    k, many = len(columns), len(targets)
+
+    def update(batch: dict, sums: np.ndarray, peaks: np.ndarray) -> None:
+        rows = np.column_stack([batch[c] for c in names]) - shift
+        missing = np.isnan(rows[:, k:])
+        rows[:, k:][missing] = 0.0
+        english, fold = batch["is_english"].astype(bool), batch["fold"]
+        for i, own in enumerate(folds):
+            for j in (0, 1):
+                at = np.flatnonzero((fold == own) & (english == bool(j)))
+                lost = missing[at].any(axis=0)
+                full = _products(rows[at]) if not lost.all() else None
+                for t in range(many):
+                    one = [*range(k), k + t]
+                    if lost[t]:
+                        add = _products(rows[at[~missing[at, t]]][:, one])
+                    else:
+                        add = full[np.ix_([0, *(c + 1 for c in one)], [0, *(c + 1 for c in one)])]
+                    sums[i, j, t] += add
+
+    sums, _ = sum_over(table, [*names, "is_english", "fold"], update, (len(folds), 2, many, k + 2, k + 2))
     parts = {}
-    for row in fold_moments(long, ["tokenizer", "is_english", "fold"], columns, shift).collect():
-        n = float(row["n"])
-        s = np.array([row[f"sum_{c}"] for c in columns])
-        q = np.empty((len(columns), len(columns)))
-        for i, a in enumerate(columns):
-            for j in range(i, len(columns)):
-                q[i, j] = q[j, i] = row[product_name(a, columns[j])]
-        key = (row["tokenizer"], bool(row["is_english"]), row["fold"])
-        parts[key] = Moments(n, origin + s / n, q - np.outer(s, s) / n)
-    return FoldParts(columns, parts)
+    for i, fold in enumerate(folds):
+        for j in (0, 1):
+            for t, target in enumerate(targets):
+                n, s, q = sums[i, j, t, 0, 0], sums[i, j, t, 0, 1:], sums[i, j, t, 1:, 1:]
+                if n:
+                    parts[target, bool(j), fold] = Moments(n, shift[[*range(k), k + t]] + s / n, q - np.outer(s, s) / n)
+    return FoldParts([*columns, "y"], parts)
+
+
+def _products(rows: np.ndarray) -> np.ndarray:
+    """Count, sums and products of the columns in one matrix."""
+    z = np.column_stack([np.ones(len(rows)), rows])
+    return z.T @ z

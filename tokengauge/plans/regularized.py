@@ -158,7 +158,7 @@ def cross_validate(
     """Predictions of held-out rows for the whole grid. ``table`` should be stored."""
     features = list(features)
     long = long_targets(table, targets)
-    parts = collect_fold_parts(long, [*features, "y"])
+    parts = collect_fold_parts(table, features, targets)
     params = local_table(table.sparkSession, 
         fit_grid(parts, penalties, scopes), params_schema(table.schema["fold"].dataType)
     )
@@ -185,7 +185,7 @@ def univariate_search(table: DataFrame, target: str, candidates: Sequence[str],
 
 def final_parameters(table: DataFrame, targets: Sequence[str], features: Sequence[str], penalty: Penalty) -> DataFrame:
     """Fit on all rows of each scope: one parameter row per tokenizer and scope."""
-    parts = collect_fold_parts(long_targets(table, targets), [*features, "y"])
+    parts = collect_fold_parts(table, list(features), targets)
     return local_table(table.sparkSession, 
         fit_grid(parts, [penalty], held_out=[None]), params_schema(T.IntegerType())
     )

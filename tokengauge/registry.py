@@ -427,9 +427,7 @@ def huber_optimality(spark, sf_dir):
 
 @query
 def polynomial_cv(spark, sf_dir):
-    table, targets = _token_table(
-        spark, sf_dir, ["char_count"], one_vocabulary(), gap_words=True, drop_null_content=True
-    )
+    table, targets = _token_table(spark, sf_dir, ["char_count"], gap_words=True, drop_null_content=True)
     by_source = folds.group_fold(table, "source")
     shapes = [(f, d) for f in ("char_count", "gap_word_count") for d in (2, 3)]
     cells = robust.fit(by_source, robust.make_cells(by_source, targets, shapes, scale_target=False))
@@ -452,8 +450,8 @@ for _kind in ("ridge", "lasso", "elasticnet"):
 
 @query
 def linear_boost_cv(spark, sf_dir):
-    table, targets = _token_table(spark, sf_dir, SELECTED_FEATURES, one_vocabulary())
-    boosters = boost.fit(table, targets, rounds=20)
+    table, targets = _token_table(spark, sf_dir, SELECTED_FEATURES)
+    boosters = boost.fit(table, targets)
     return regularized.cv_metrics(boost.predict(table, boosters))
 
 
