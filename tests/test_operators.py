@@ -25,44 +25,44 @@ def test_quantiles_match_numpy(spark):
             assert got[k][name] == pytest.approx(np.quantile(v, q), rel=1e-12)
 
 
-def test_quantiles_stay_exact_when_the_sketch_misses(spark, monkeypatch):
-    """A coarse sketch with no margin misses ranks; the bracket then opens and stays exact."""
-    monkeypatch.setattr(quantiles, "ACCURACY", 3)
-    monkeypatch.setattr(quantiles, "MARGIN", 0.0)
-    rng = random.Random(2)
-    data = [(i % 2, rng.gauss(0, 1)) for i in range(30001)]
-    df = spark.createDataFrame(data, "k int, v double").repartition(7)
-    for r in exact_quantiles(df, ["k"], "v", {"m": 0.5, "t": 0.9}).collect():
-        v = [x for k, x in data if k == r["k"]]
-        assert r["m"] == pytest.approx(np.median(v)) and r["t"] == pytest.approx(np.quantile(v, 0.9))
-
-
-def test_quantiles_of_large_groups_are_narrowed(spark, monkeypatch):
-    """Wide brackets are cut down again and again, and the result stays exact."""
-    monkeypatch.setattr(quantiles, "ACCURACY", 20)
-    monkeypatch.setattr(quantiles, "MARGIN", 0.2)
-    rng = random.Random(3)
-    data = [("smooth", rng.gauss(0, 1)) for _ in range(20001)] + [("hot", float(rng.choice([1, 1, 1, 2, 9]))) for _ in range(5000)]
-    df = spark.createDataFrame(data, "k string, v double").repartition(6)
-    for r in exact_quantiles(df, ["k"], "v", {"m": 0.5, "t": 0.75}).collect():
-        v = [x for k, x in data if k == r["k"]]
-        assert r["m"] == pytest.approx(np.median(v)) and r["t"] == pytest.approx(np.quantile(v, 0.75))
+def test_sortable_bits_keep_the_order():
+    values = np.array([-math.inf, -1.7e308, -2.0, -1.0, -5e-324, 0.0, 5e-324, 0.1, 1.0, 1.7e308, math.inf, math.nan])
+    bits = quantiles.sortable(values)
+    assert (bits[1:] > bits[:-1]).all() and quantiles.sortable(np.array([-0.0]))[0] == bits[5]
+    np.testing.assert_array_equal(quantiles.unsorted(bits), values)
 
 
-def test_quantiles_join_by_broadcast(spark, monkeypatch):
-    """Every pass over the data joins the narrow brackets without a shuffle of rows."""
+@pytest.mark.parametrize("digits", [(22, 21, 21), (3, 30, 31)])
+def test_quantiles_of_several_columns_and_groups(spark, monkeypatch, digits):
+    """Keys with nulls, close and far values, nulls in one column only; the mean distance from the median comes with them."""
+    monkeypatch.setattr(quantiles, "DIGITS", digits)
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "b", None]), rng.choice([1, None]), rng.gauss(0, 1) * 10 ** rng.randint(-9, 9), rng.choice([None, 1.0, 2.0, -7.5])) for _ in range(9000)]
+    df = spark.createDataFrame(data, "k string, i int, v double, w double").repartition(7)
+    found = quantiles.exact_quantiles_of(df, ["k", "i"], {"v": F.col("v"), "w": F.col("w")}, {"m": 0.5, "t": 0.9}, deviation="m").collect()
+    assert len(found) == 6
+    for r in found:
+        for j, name in ((2, "v"), (3, "w")):
+            own = np.array([d[j] for d in data if d[:2] == (r["k"], r["i"]) and d[j] is not None])
+            assert r[f"{name}_m"] == pytest.approx(np.median(own), rel=1e-12) and r[f"{name}_t"] == pytest.approx(np.quantile(own, 0.9), rel=1e-12)
+            assert r[f"{name}_dev"] == pytest.approx(np.abs(own - np.median(own)).mean(), rel=1e-9)
+    (whole,) = quantiles.exact_quantiles_of(df, [], {"v": F.col("v")}, {"m": 0.25}).collect()
+    assert whole["v_m"] == pytest.approx(np.quantile([d[2] for d in data], 0.25), rel=1e-12)
+
+
+def test_quantiles_take_three_passes_and_shuffle_counts_only(spark, monkeypatch):
     plans = []
+    counts = quantiles._counts
 
-    def store(df, name):
-        plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return materialize(df, name)
+    def watched(*args):
+        out = counts(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
 
-    monkeypatch.setattr(quantiles, "materialize", store)
+    monkeypatch.setattr(quantiles, "_counts", watched)
     df = spark.range(100_000).selectExpr("id % 3 as k", "double(id * id) as v")
-    plans.append(exact_quantiles(df, ["k"], "v", {"m": 0.5})._jdf.queryExecution().executedPlan().toString())
-    passes = plans[1:-1]  # between the sketch and the result
-    assert passes and all("BroadcastHashJoin" in p for p in passes)
-    assert not any("SortMergeJoin" in p or "percentile(" in p for p in plans)
+    assert exact_quantiles(df, ["k"], "v", {"m": 0.5, "t": 0.01}).count() == 3
+    assert len(plans) == 3 and all(p.count("Exchange") == 1 and "HashAggregate" in p and "Join" not in p for p in plans)
 
 
 def test_quantiles_of_odd_values(spark):

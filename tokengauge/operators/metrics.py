@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokengauge.operators.quantiles import exact_quantiles
-from tokengauge.session import materialize
+from tokengauge.operators.quantiles import exact_quantiles_of
 
 METRICS = ["r2", "mae", "mse", "median_ae", "mape", "max_error", "d2_abs", "rmse"]
 # machine epsilon of a double: the smallest denominator of MAPE (fixed value)
@@ -30,9 +29,9 @@ def regression_metrics(
 ) -> DataFrame:
     """``keys`` and one column per metric.
 
-    All sums are combined on the map side; the two medians come from
-    :func:`exact_quantiles`, so no group ever sits in one task. ``predictions``
-    is read five times or more: hand in a stored table where it is dear to compute.
+    All sums are combined on the map side; the two medians, and the mean distance from the
+    median, come from :func:`exact_quantiles_of`, so no group ever sits in one task. ``predictions``
+    is read four times, three of them when this is called: hand in a stored table where it is dear to compute.
     """
     keys = list(keys)
     p = predictions.select(*keys, F.col(y).cast("double").alias("y"), F.col(yhat).cast("double").alias("yhat"))
@@ -45,23 +44,12 @@ def regression_metrics(
         F.max(error).alias("max_error"),
         F.var_pop("y").alias("__var"),
     )
-    values = p.select(
-        *keys,
-        F.explode(
-            F.array(
-                F.struct(F.lit("median_ae").alias("of"), error.alias("v")),
-                F.struct(F.lit("median_y").alias("of"), F.col("y").alias("v")),
-            )
-        ).alias("s"),
-    ).select(*keys, "s.of", "s.v")
-    medians = exact_quantiles(values, [*keys, "of"], "v", {"q": 0.5})
-    medians = materialize(
-        medians.groupBy(*keys).pivot("of", ["median_ae", "median_y"]).agg(F.first("q")), "medians"
-    )
-    spread = p.join(medians, keys).groupBy(*keys).agg(
-        F.avg(F.abs(F.col("y") - F.col("median_y"))).alias("__dev")
-    )
-    wide = sums.join(materialize(spread, "deviations"), keys).join(medians, keys)
+    middle = exact_quantiles_of(p, keys, {"error": error, "y": F.col("y")}, {"median": 0.5}, deviation="median")
+    middle = middle.withColumnsRenamed({"error_median": "median_ae", "y_dev": "__dev"}).drop("error_dev", "y_median")
+    same = F.lit(True)
+    for k in keys:
+        same = same & sums[k].eqNullSafe(middle[k])
+    wide = sums.join(middle, same, "left").select(sums["*"], "median_ae", "__dev") if keys else sums.crossJoin(middle)
     return wide.select(
         *keys,
         "n",

@@ -1,89 +1,155 @@
-"""Exact quantiles of groups of any size.
+"""Exact quantiles of groups of any size, of several columns at once, in a fixed number of passes.
 
-The built-in exact ``percentile`` gathers every distinct value of a group in one
-task. Here a mergeable sketch brackets each wanted rank; then the rows of each
-bracket are counted in ranges of equal width, and the range that holds the rank
-becomes the next bracket, until it holds one value. A pass shuffles only counts,
-a fixed number of them per group and rank, however large the group is.
+A double is read as 64 bits in an order that sorts like its value, and these as three digits. A pass counts the rows of each group by one
+digit, among those that agree with a wanted rank on the digits before; partitions send only the digits that occur. The digit that holds
+the rank is picked, and after the third pass the value is known to the last bit. So the data are read three times, whatever they
+are, no row is shuffled, and no group ever sits in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tokengauge.session import materialize
-
-ACCURACY = 10_000
-# Ranks to either side of the wanted one, as a share of the group.
-MARGIN = 4.0 / ACCURACY
-# Ranges of equal width that a bracket is cut into.
-RANGES = 1024
-# The ends of a bracket are ranges of their own, so a pass always leaves fewer values.
-_RANGE = f"""
-    case when __v < lo then -1 when __v > hi then {RANGES + 2} when __v = lo then 0 when __v = hi then {RANGES + 1}
-    else 1 + least(floor((__v - lo) / (hi - lo) * {RANGES}), {RANGES - 1}) end
-"""
+from tokengauge.session import local_table
 
+#: Bits of the digits, the highest first.
+DIGITS = (22, 21, 21)
+_TOP = np.uint64(1 << 63)
 
-def _narrow(data: DataFrame, brackets: DataFrame, keys: list[str], known: bool) -> DataFrame:
-    """Replace each bracket ``lo .. hi`` by the smallest and largest value of the range that holds its rank.
 
-    ``known``: the rank is known to lie in its bracket, with ``below`` rows under it; else all rows are counted.
-    """
-    target = [*keys, "name", "side", "pos", "rank", "below"]
-    rows = data.join(brackets, keys)
-    counted = (
-        (rows.where("__v between lo and hi") if known else rows)
-        .withColumn("range", F.expr(_RANGE))
-        .groupBy(*target, "range")
-        .agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
-    )
-    order = Window.partitionBy(*keys, "name", "side").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("n").over(order) + F.col("below"))
-    hit = ranked.where("rank >= upto - n and rank < upto").withColumn("below", F.expr("upto - n"))
-    return materialize(hit.select(*target, "lo", "hi"), "brackets")
-
-
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
+def sortable(values: np.ndarray) -> np.ndarray:
+    """64-bit numbers in the order of the doubles; both zeros are one, NaN comes last."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits >= _TOP, ~bits, bits | _TOP)
+
+
+def unsorted(bits: np.ndarray) -> np.ndarray:
+    return np.where(bits >= _TOP, bits ^ _TOP, ~bits).view(np.float64)
+
+
+def _codes(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """A number per row; rows of a group, and only they, share it."""
+    code = np.zeros(batch.num_rows, np.int64)
+    for key in keys:
+        column = batch.column(key).dictionary_encode(null_encoding="encode")
+        code = code * len(column.dictionary) + column.indices.to_numpy()
+        code = np.unique(code, return_inverse=True)[1]
+    return code
+
+
+def _counts(data: DataFrame, keys: list[str], names: list[str], step: int, wanted: dict[tuple[str, str], list[int]] | None) -> DataFrame:
+    """``keys, group, of, prefix, digit, n, s``: rows and sum of the values by digit, where the digits before are wanted ones (``group, of``)."""
+    shift = sum(DIGITS[step + 1 :])
+    mask, before = np.uint64((1 << DIGITS[step]) - 1), np.uint64(shift + DIGITS[step])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = _codes(batch, keys)
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) > 0]))
+            marks = batch.column("__group").take(pa.array(order[starts])).to_pylist()
+            rows: list[list] = [[], [], [], [], [], []]
+            for of, name in enumerate(names):
+                values = batch.column(name).to_numpy(zero_copy_only=False)[order]
+                known = ~batch.column(name).is_null().to_numpy(zero_copy_only=False)[order]
+                bits = sortable(values)
+                for g, (s, e) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True)):
+                    own, value = bits[s:e][known[s:e]], values[s:e][known[s:e]]
+                    for prefix in [0] if wanted is None else wanted.get((marks[g], name), []):
+                        here = np.ones(len(own), bool) if wanted is None else own >> before == np.uint64(prefix)
+                        digit, inverse, n = np.unique(own[here] >> np.uint64(shift) & mask, return_inverse=True, return_counts=True)
+                        many = len(digit)
+                        for into, v in zip(rows, (np.full(many, order[s]), np.full(many, of), np.full(many, prefix), digit.astype(np.int64), n, np.bincount(inverse, value[here], many)), strict=True):
+                            into.append(v)
+            if rows[0]:
+                first, of, prefix, digit, n, s = (np.concatenate(r) for r in rows)
+                at = pa.array(first)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).take(at) for k in [*keys, "__group"]), pa.array(of.astype(np.int32)), pa.array(prefix.astype(np.int64)), pa.array(digit), pa.array(n.astype(np.int64)), pa.array(s.astype(float))],
+                    names=[*keys, "__group", "of", "prefix", "digit", "n", "s"],
+                )
+
+    fields = [*data.select(*keys, "__group").schema.fields]
+    fields += [T.StructField(c, t) for c, t in (("of", T.IntegerType()), ("prefix", T.LongType()), ("digit", T.LongType()), ("n", T.LongType()), ("s", T.DoubleType()))]
+    sent = data.mapInArrow(run, T.StructType(fields))
+    return sent.groupBy(*keys, "__group", "of", "prefix", "digit").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
+def exact_quantiles_of(
+    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], probs: Mapping[str, float], deviation: str | None = None
 ) -> DataFrame:
-    """One row per group with a column per entry of ``probs`` (name -> probability).
+    """One row per group: ``keys``, and ``<value>_<prob>`` for each of ``values`` (name -> column) and ``probs`` (name -> probability).
 
-    Linear interpolation between neighbouring ranks. ``df`` is read once for the
-    sketch and once per narrowing: one or two for small groups, and one more for
-    about every thousandfold growth.
+    Linear interpolation between neighbouring ranks; nulls are left out, a group with nulls only has no quantile. With ``deviation`` (a name of
+    ``probs``) also ``<value>_dev``, the mean distance of the values from that quantile. Groups are those of a report or a model grid: a few
+    numbers of each pass through the driver.
     """
-    keys = list(keys)
-    data = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
-
-    marks: list[float] = []
-    for q in probs.values():
-        marks += [max(0.0, q - MARGIN), min(1.0, q + MARGIN)]
-    sketch = data.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.percentile_approx("__v", marks, ACCURACY).alias("marks")
-    )
-    wanted = ", ".join(
-        f"named_struct('name', '{name}', 'side', '{side}', 'pos', {q}D * (n - 1), 'rank', {end}({q}D * (n - 1)), "
-        f"'below', 0L, 'lo', marks[{2 * i}], 'hi', marks[{2 * i + 1}])"
-        for i, (name, q) in enumerate(probs.items())
-        for side, end in (("a", "floor"), ("b", "ceil"))
-    )
-    brackets = materialize(sketch.selectExpr(*keys, f"explode(array({wanted})) as w").selectExpr(*keys, "w.*"), "brackets")
-    # The sketch may have missed a rank: the first pass counts what lies outside its brackets as well.
-    brackets = _narrow(data, brackets, keys, known=False)
-    while not brackets.where("lo < hi").isEmpty():
-        found = brackets.where("lo = hi")
-        brackets = _narrow(data, brackets.where("lo < hi"), keys, known=True).unionByName(found)
-
-    picked = brackets.groupBy(*keys, "name", "pos").agg(
-        F.expr("max(if(side = 'a', lo, null)) as a"), F.expr("max(if(side = 'b', lo, null)) as b")
-    )
-    return (
-        picked.selectExpr(*keys, "name", "a + (b - a) * (pos - floor(pos)) as q")
-        .groupBy(*keys)
-        .pivot("name", list(probs))
-        .agg(F.first("q"))
-    )
+    keys, names = list(keys), list(values)
+    spark = df.sparkSession
+    mark = F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    data = df.select(*keys, mark.alias("__group"), *[c.cast("double").alias(f"__v_{n}") for n, c in values.items()])
+    columns = [f"__v_{n}" for n in names]
+    order = Window.partitionBy("__group", "of", "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("__group", "of")
+
+    def ranked(counts: DataFrame) -> DataFrame:
+        return counts.withColumns({"upto": F.sum("n").over(order), "sum_upto": F.sum("s").over(order)})
+
+    wanted_ranks = ", ".join(f"named_struct('prob', {i}, 'side', {j}, 'rank', cast({end}({q}D * (total - 1)) as long))" for i, q in enumerate(probs.values()) for j, end in enumerate(("floor", "ceil")))
+    first = ranked(_counts(data, keys, columns, 0, None)).withColumns({"total": F.sum("n").over(whole), "sum_total": F.sum("s").over(whole)})
+    found = first.selectExpr("*", f"explode(array({wanted_ranks})) as w").where("w.rank >= upto - n and w.rank < upto")
+    rows = found.select(*keys, "__group", "of", "w.*", F.lit(0).alias("prefix"), "digit", (F.col("upto") - F.col("n")).alias("below"), (F.col("sum_upto") - F.col("s")).alias("sum_below"), "total", "sum_total").collect()
+    state = {(r["__group"], r["of"], r["prob"], r["side"]): [r["digit"], r["rank"], r["below"], r["sum_below"]] for r in rows}
+    about = {(r["__group"], r["of"]): (r["total"], r["sum_total"]) for r in rows}
+    named = {r["__group"]: tuple(r[k] for k in keys) for r in rows}
+    for step in range(1, len(DIGITS)):
+        wanted: dict[tuple[str, str], list[int]] = {}
+        for (group, of, _, _), (prefix, *_) in state.items():
+            mine = wanted.setdefault((group, columns[of]), [])
+            if prefix not in mine:
+                mine.append(prefix)
+        asked = [(g, of, prob, side, s[0], s[1], s[2]) for (g, of, prob, side), s in state.items()]
+        ranks = local_table(spark, asked, "__group string, of int, prob int, side int, prefix long, rank long, below long")
+        hit = ranked(_counts(data, keys, columns, step, wanted)).join(ranks, ["__group", "of", "prefix"])
+        hit = hit.where("rank >= below + upto - n and rank < below + upto")
+        for r in hit.select("__group", "of", "prob", "side", "digit", (F.col("upto") - F.col("n")).alias("more"), (F.col("sum_upto") - F.col("s")).alias("sum_more")).collect():
+            s = state[r["__group"], r["of"], r["prob"], r["side"]]
+            s[0], s[2], s[3] = s[0] << DIGITS[step] | r["digit"], s[2] + r["more"], s[3] + r["sum_more"]
+
+    out = []
+    for group, key in named.items():
+        cells: list[float | None] = []
+        for of in range(len(names)):
+            if (group, of) not in about:
+                cells += [None] * (len(probs) + (deviation is not None))
+                continue
+            total, sum_total = about[group, of]
+            chosen: dict[str, float] = {}
+            for i, (prob, q) in enumerate(probs.items()):
+                a, b = (float(unsorted(np.array([state[group, of, i, j][0]], np.uint64))[0]) for j in (0, 1))
+                at = q * (total - 1)
+                chosen[prob] = a + (b - a) * (at - math.floor(at)) if a != b else a
+            cells += chosen.values()
+            if deviation is not None:  # rows below the upper of the two ranks lie at or below the quantile
+                middle, (_, _, below, low) = chosen[deviation], state[group, of, list(probs).index(deviation), 1]
+                cells.append(((sum_total - low) - middle * (total - below) + middle * below - low) / total)
+        out.append((*key, *cells))
+    fields = [*df.select(*keys).schema.fields]
+    for name in names:
+        fields += [T.StructField(f"{name}_{p}", T.DoubleType()) for p in probs] + ([T.StructField(f"{name}_dev", T.DoubleType())] if deviation is not None else [])
+    return local_table(spark, out, T.StructType(fields))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """One row per group with a column per entry of ``probs`` (name -> probability). ``df`` is read three times."""
+    found = exact_quantiles_of(df, keys, {"q": F.col(value)}, probs)
+    return found.select(*keys, *[F.col(f"q_{p}").alias(p) for p in probs]).where(F.col(next(iter(probs))).isNotNull())
