@@ -23,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import mix, slices, text_bytes, without
+from .common import join_by_share, mix, slices, text_bytes, without
 
 WORDS = 5
 BANDS, ROWS = 30, 5
@@ -114,16 +114,21 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _mark() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, set_low, set_high (hash of the shingle set), n, keys (bucket of each band) and shingles of texts with a word."""
+    """doc_id, mark (MD5 of the text), set_low, set_high (hash of the shingle set), n, keys (bucket of each band) and shingles of texts with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids, sets = [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            ids, marks, sets = [], [], []
+            for doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text")), strict=True):
                 own = shingles(text)
                 if len(own):
                     ids.append(doc)
+                    marks.append(mark)
                     sets.append(own)
             if not ids:
                 continue
@@ -133,15 +138,15 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
             offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([len(s) for s in small], pa.int64()),
+                    pa.array(ids, pa.int64()), pa.array(marks, pa.string()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([len(s) for s in small], pa.int64()),
                     pa.ListArray.from_arrays(offsets([bands] * len(ids)), pa.array(keys.ravel())),
                     pa.ListArray.from_arrays(offsets([len(s) for s in small]), pa.array(np.concatenate(small).view(np.int32))),
                 ],
-                names=["doc_id", "set_low", "set_high", "n", "keys", "shingles"],
+                names=["doc_id", "mark", "set_low", "set_high", "n", "keys", "shingles"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInArrow(
-        run, "doc_id long, set_low long, set_high long, n long, keys array<long>, shingles array<int>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), text_bytes()).mapInArrow(
+        run, "doc_id long, mark string, set_low long, set_high long, n long, keys array<long>, shingles array<int>"
     )
 
 
@@ -199,20 +204,21 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, similarity: float) -> DataF
     return found.select(F.col("doc_id").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), class_docs for every row of ``docs`` (doc_id, text).
+_LEAST = -(1 << 63)  # stands for a missing id
 
-    Words are what white space (ASCII) separates. Equal shingle sets have similarity one, so repeated rows and exact copies share
-    a class. A text of one to four words is one shingle. Null texts and texts without a word are near to nothing: each
-    is a class of its own. Null ids count as the smallest id (class_id null). An empty table gives none. Two texts at
-    similarity s share a bucket with probability 1-(1-s^rows)^bands: 0.999993 at 0.8 with the defaults.
+
+def _classified(docs: DataFrame, similarity: float, bands: int, rows: int) -> DataFrame:
+    """doc_id (a missing one is ``_LEAST``), mark, class_id, class_docs, top of the rows with a word: ``top`` names the class's first (doc_id, mark).
+
+    Nodes are shingle sets, named by the row that stands for them, so rows of one id and several texts are different nodes.
     """
-    docs = docs.select("doc_id", "text")
-    least = -(1 << 63)
-    known = materialize(sketches(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(least))), bands, rows), "sketches")
-    copies = materialize(known.groupBy("set_low", "set_high").agg(F.min("doc_id").alias("id"), F.count("*").alias("docs")), "copies")
-    narrow = known.select(F.col("doc_id").alias("id"), "set_low", "set_high", "n", "keys")
-    nodes = materialize(narrow.hint("merge").join(copies, ["id", "set_low", "set_high"], "left_semi").dropDuplicates(["id", "set_low", "set_high"]), "nodes")
+    filled = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc_id"), "text")
+    known = materialize(sketches(filled, bands, rows).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    copies = known.groupBy("set_low", "set_high").agg(F.min(F.struct("doc_id", "mark", "row")).alias("top"), F.count("*").alias("docs"))
+    copies = materialize(copies.select("set_low", "set_high", F.struct("top.doc_id", "top.mark").alias("top"), F.col("top.row").alias("id"), "docs"), "copies")
+    known_sets = known.select(F.col("row").alias("doc_id"), "n", "shingles")
+    narrow = known.select(F.col("row").alias("id"), "n", "keys")
+    nodes = materialize(narrow.hint("merge").join(copies.select("id"), "id", "left_semi"), "nodes")
 
     buckets = nodes.select("id", F.posexplode("keys").alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
@@ -223,31 +229,55 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS
     first = members.join(leaders, ["band", "key"]).where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     tried = materialize(first, "tried")
     ends = tried.select(F.col("a").alias("doc_id")).union(tried.select(F.col("b").alias("doc_id")))
-    links = materialize(verified(tried, shingle_sets(known, ends), similarity), "links")
+    links = materialize(verified(tried, shingle_sets(known_sets, ends), similarity), "links")
     labels = components(links, "labels")
 
     # a bucket of two is done; in larger ones, members of different components may still be similar
     own = members.where("size > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = own.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "key")
     open_ends = materialize(own.join(mixed, ["band", "key"]).select(F.col("id").alias("doc_id"), "label").distinct(), "open")
-    sets = shingle_sets(known, open_ends.select("doc_id"))
+    sets = shingle_sets(known_sets, open_ends.select("doc_id"))
     rest = materialize(prefix_pairs(sets, open_ends, similarity).join(tried, ["a", "b"], "left_anti"), "rest")
     more = materialize(verified(rest, sets, similarity), "links")
     if not more.isEmpty():
         labels = components(links.union(more), "labels")
 
-    classes = copies.join(labels, "id", "left").select("set_low", "set_high", F.coalesce("label", "id").alias("class_id"))
-    classed = known.select("doc_id", "set_low", "set_high").join(classes, ["set_low", "set_high"]).select("doc_id", "class_id")
+    labelled = materialize(copies.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).select("set_low", "set_high", "top", "docs", "label"), "classes")
+    classes = labelled.groupBy("label").agg(F.min("top").alias("first"), F.sum("docs").alias("class_docs"), F.count("*").alias("rows"))
+    classes = join_by_share(labelled.drop("top"), materialize(classes, "classes"), ["label"], "rows", labelled.count())
+    classes = materialize(classes.select("set_low", "set_high", F.col("first").alias("top"), "class_docs", "docs"), "classes")
+    rows_of = known.select("doc_id", "mark", "set_low", "set_high")
+    return join_by_share(rows_of, classes, ["set_low", "set_high"], "docs", known.count()).select("doc_id", "mark", F.col("top.doc_id").alias("class_id"), "class_docs", "top")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), class_docs (its rows) for every row of ``docs`` (doc_id, text).
+
+    Words are what white space (ASCII) separates. Equal shingle sets have similarity one, so repeated rows and exact copies share
+    a class. A text of one to four words is one shingle. Null texts and texts without a word are near to nothing: each
+    is a class of its own. Null ids count as the smallest id (class_id null). Rows of one id and several texts may lie in several classes. An
+    empty table gives none. Two texts at similarity s share a bucket with probability 1-(1-s^rows)^bands: 0.999993 at 0.8 with the defaults.
+    """
+    docs = docs.select("doc_id", "text")
+    classed = _classified(docs, similarity, bands, rows).select("doc_id", "class_id", "class_docs")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))
     blank = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("class_id")
+        own.alias("doc_id"), own.alias("class_id"), F.lit(1).cast("long").alias("class_docs")
     )
-    whole = lambda c: F.nullif(F.col(c), F.lit(least)).alias(c)
-    return classed.union(blank).select(whole("doc_id"), whole("class_id"))
+    whole = lambda c: F.nullif(F.col(c), F.lit(_LEAST)).alias(c)
+    return classed.union(blank).select(whole("doc_id"), whole("class_id"), "class_docs")
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """One row of each class, all columns: the smallest doc_id. Of rows that share this id, all with another text stay."""
-    docs = without(docs, ["__id", "__class"])
-    classes = near_duplicates(docs, similarity).select(F.col("doc_id").alias("__id"), F.col("class_id").alias("__class"))
-    gone = classes.where(~F.col("__id").eqNullSafe(F.col("__class"))).select("__id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+    """One row of each class, all columns: that of the smallest doc_id (null first), then of the smallest MD5 of its text; any one of rows that
+    repeat both. Rows without a word all stay. Rows of one id and texts of several classes are told apart."""
+    own = ["__id", "__mark", "__fate"]
+    docs = without(docs, own)
+    classes = materialize(_classified(docs, similarity, BANDS, ROWS).select("doc_id", "mark", "top"), "classified")
+    seen = classes.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.count("*").alias("n"), F.first("top").alias("top"))
+    stays = (F.col("top.doc_id") == F.col("__id")) & (F.col("top.mark") == F.col("__mark"))
+    fate = seen.select("__id", "__mark", F.when(~stays, "gone").when(F.col("n") > 1, "once").alias("__fate")).where("__fate is not null")
+    marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)), "__mark": _mark()})
+    marked = marked.join(materialize(fate, "fates"), ["__id", "__mark"], "left").where("__fate is null or __fate = 'once'").select(*docs.columns, *own)
+    repeated = marked.where("__fate = 'once'").dropDuplicates(["__id", "__mark"])
+    return marked.where("__fate is null").union(repeated).drop(*own)
