@@ -32,7 +32,7 @@ from .common import join_by_share, mix, slices, text_bytes, without
 WORDS = 5
 BANDS, ROWS = 30, 5
 #: Cells thrown at a time inside a task.
-CELLS = 1 << 20
+CELLS = 1 << 18
 _EMPTY = np.uint64(2**64 - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(8)], dtype=np.uint64)
