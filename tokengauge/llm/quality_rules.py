@@ -1,8 +1,11 @@
 """Quality rules as weak supervision, with DataFrame functions only.
 
-Each rule votes good (1), bad (-1) or abstains (0). Votes of all documents are counted by pattern (at most three to the power of
-the number of rules, whatever the corpus); expectation-maximisation over that small table estimates how often each rule
-is right when it votes. A document's posterior probability of being good follows from its votes and these accuracies.
+Each rule votes good (1), bad (-1) or abstains (0). Some know only junk, some only clean text, and some look at evidence of their
+own (function words, line ends, line and sentence lengths, vowels) and vote either way, so rules overlap and contradict each other. Votes
+of all documents are counted by pattern (at most three to the power of the number of rules, whatever the corpus);
+expectation-maximisation over that small table estimates the share of good documents and, for each rule, how often it casts each vote
+on good and on bad documents. The ratio of the two is the vote's weight: a rule that votes alike on both weighs nothing. A document's posterior
+probability of being good follows from its votes, so a bad vote can be overruled and no rule is a veto.
 """
 
 from __future__ import annotations
@@ -23,16 +26,31 @@ WINDOW = 8
 #: Up to here the variety of a text is its share of distinct words.
 VARIETY_WORDS = 2000
 
-RULES = ["symbols", "dup_lines", "repeats", "capitals", "word_length", "letters", "variety", "marks", "prose", "flow"]
+#: The first eight vote bad or abstain, the next two vote good or abstain, the others vote either way.
+RULES = [
+    "symbols", "dup_lines", "repeats", "capitals", "word_length", "letters", "variety", "marks", "prose", "flow",
+    "function_words", "line_ends", "line_length", "sentences", "vowels",
+]
+
+# Frequent function words of English, French, German and Spanish.
+FUNCTION_WORDS = (
+    "the of and to in a is that for it was on are as with this by from "
+    "le la les de des du et un une en que qui est dans pour pas "
+    "der die das und zu den mit von ist nicht ein eine auf dem "
+    "el los las y por con para es no del se"
+).split()
 
 
 def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0))
 
 
-#: Prior chance of good where no rule votes.
-BALANCE = 0.5
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_letters", "n_marks", "n_distinct"]
+#: Belief before any votes are seen: the chance that a vote is right, and the share of good documents.
+START, BALANCE = 0.8, 0.5
+MEASURES = [
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_letters", "n_marks", "n_distinct",
+    "n_function", "n_ended", "n_sentences", "n_vowels",
+]
 _OWN = ["__t", "__w", "__l", "__h1", "__h2", "__h4", "__h", "__s", "__p", "__repeat", "__m", "__votes"]
 
 
@@ -89,13 +107,16 @@ def measures(docs: DataFrame) -> DataFrame:
         "n_letters": left(r"[^\p{L}]+"),
         "n_marks": left(r"[^!?]+"),
         "n_distinct": F.size(F.array_distinct(w)),
+        "n_function": F.size(F.filter(w, lambda x: F.lower(x).isin(FUNCTION_WORDS))),
+        "n_ended": F.size(F.filter("__l", lambda x: x.rlike(f"[.!?:;…][\"'»”)\\]]*[{GAPS}]*$"))),
+        "n_sentences": F.size(F.filter(w, lambda x: x.rlike("[.!?…][\"'»”)\\]]*$"))),
+        "n_vowels": left(r"(?i)[^aeiouyàáâäèéêëìíîïòóôöùúûüœæ]+"),
     }
     return found.select(*docs.columns, F.struct(*[counts[m].cast("long").alias(m) for m in MEASURES]).alias("__m"))
 
 
 def votes() -> list[Column]:
-    """One column per rule, in the order of ``RULES``. Eight rules know junk: they vote bad or abstain. Two know clean text: they
-    vote good or abstain. A rule abstains where a text is too short for it."""
+    """One column per rule, in the order of ``RULES``. A rule abstains where a text is too short for it or its measure lies between its limits."""
     c = lambda name: F.col(f"__m.{name}")
     symbols = _share(c("n_symbols"), c("word_chars"))
     dup = F.when(c("n_lines") >= 4, _share(c("n_dup_lines"), c("n_lines"))).otherwise(0.0)
@@ -109,49 +130,71 @@ def votes() -> list[Column]:
     marks = _share(c("n_marks"), c("n_words"))
     enough = c("n_words") >= 20
     bad = [
-        symbols > 0.05, dup > 0.3, enough & (repeats > 0.2), capitals > 0.5, enough & ~length.between(2, 20), letters < 0.8,
-        enough & (variety < 0.25), enough & (marks > 0.3),
+        symbols > 0.03, dup > 0.2, enough & (repeats > 0.1), capitals > 0.3, enough & ~length.between(2, 20), letters < 0.8,
+        enough & (variety < 0.25), enough & (marks > 0.2),
     ]
-    looks = (symbols <= 0.05) & (letters >= 0.8) & (capitals <= 0.5) & (marks <= 0.3)
-    flows = (dup <= 0.3) & (repeats <= 0.2) & (variety >= 0.25)
     good = [
-        enough & flows & (symbols < 0.01) & (capitals < 0.2) & (marks < 0.1) & length.between(3, 12),
-        enough & looks & (dup < 0.1) & (repeats < 0.05) & (variety > 0.4),
+        enough & (symbols < 0.01) & (capitals < 0.2) & (marks < 0.1) & length.between(3, 12),
+        enough & (dup < 0.1) & (repeats < 0.05) & (variety > 0.4),
+    ]
+    function, ended = _share(c("n_function"), c("n_words")), _share(c("n_ended"), c("n_lines"))
+    line, sentence, vowels = _share(c("n_words"), c("n_lines")), _share(c("n_words"), c("n_sentences")), _share(c("n_vowels"), c("n_letters"))
+    lines, spoken = c("n_lines") >= 3, c("n_letters") >= 40
+    either = [
+        (enough & (function > 0.08), enough & (function < 0.02)),
+        (lines & (ended > 0.6), lines & (ended < 0.2)),
+        (lines & line.between(6, 400), lines & (line < 3)),
+        (enough & sentence.between(4, 60), enough & ((c("n_sentences") == 0) | (sentence < 2) | (sentence > 200))),
+        (spoken & vowels.between(0.25, 0.6), spoken & ~vowels.between(0.15, 0.7)),
     ]
-    return [F.when(x, -1).otherwise(0).cast("int") for x in bad] + [F.when(x, 1).otherwise(0).cast("int") for x in good]
+    one_sided = [F.when(x, -1).otherwise(0) for x in bad] + [F.when(x, 1).otherwise(0) for x in good]
+    return [x.cast("int") for x in one_sided + [F.when(g, 1).when(b, -1).otherwise(0) for g, b in either]]
 
 
-def posterior(balance: float, accuracy: list[float]) -> Column:
-    """Probability of good, for rules that are right with these chances when they vote."""
+def posterior(balance: float, weights: list[tuple[float, float]]) -> Column:
+    """Probability of good, for a share ``balance`` of good documents and the weights (of a good vote, of a bad vote) of the rules,
+    each the logarithm of how much oftener the right class gets that vote."""
     odds = F.lit(math.log(balance / (1 - balance)))
-    for j, a in enumerate(accuracy):
-        odds = odds + F.element_at("__votes", j + 1) * math.log(a / (1 - a))
+    for j, (good, bad) in enumerate(weights):
+        vote = F.element_at("__votes", j + 1)
+        odds = odds + F.when(vote == 1, good).when(vote == -1, -bad).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
 def estimate(
-    patterns: DataFrame, rules: int, balance: float = BALANCE, start: float = 0.8, strength: float = 10.0, rounds: int = 60, tolerance: float = 1e-6
-) -> list[float]:
-    """Accuracies by expectation-maximisation over the pattern table (__votes, n); only sums come back to the driver.
-
-    E: posterior of each pattern. M: a rule's accuracy is the expected share of its votes that agree with the class,
-    smoothed by ``strength`` votes of the starting belief, so that a rule without votes keeps it. ``balance``, the share
-    of good documents among those that no rule speaks of, is given, not estimated: rules that know one class only cannot
-    tell it. At one half, a rule that votes alone keeps its belief, and agreement with others moves it.
+    patterns: DataFrame, rules: int, balance: float = BALANCE, start: float = START, strength: float = 10.0, rounds: int = 60, tolerance: float = 1e-6
+) -> tuple[float, list[tuple[float, float]]]:
+    """Share of good documents and the rules' weights, by expectation-maximisation over the pattern table (__votes, n); only sums
+    come back to the driver.
+
+    E: posterior of each pattern. M: how often a rule casts a vote on documents of either class, both smoothed by
+    ``strength`` votes of the starting belief; the share of good documents likewise. Abstaining says nothing. A vote that is
+    as frequent on the wrong class as on the right one weighs nothing; none is turned round, which also keeps the two classes from
+    changing places. A vote that is never cast keeps its starting weight.
     """
-    accuracy = [start] * rules
+    first = math.log(start / (1 - start))
+    weights = [(first, first)] * rules
     for _ in range(rounds):
-        p = posterior(balance, accuracy)
-        sums = []
+        p = posterior(balance, weights)
+        sums = [F.sum(F.col("n") * F.col("p")).alias("good"), F.sum("n").alias("all")]
+        for j in range(rules):
+            for vote in (1, -1):
+                cast = F.element_at("__votes", j + 1) == vote
+                sums += [F.sum(F.when(cast, F.col("n") * F.col("p"))).alias(f"g{j}_{vote}"), F.sum(F.when(cast, F.col("n"))).alias(f"n{j}_{vote}")]
+        good, total, *got = [float(x or 0) for x in patterns.withColumn("p", p).agg(*sums).first()]
+        ratio = (total - good + strength) / (good + strength)
+        new = []
         for j in range(rules):
-            v = F.element_at("__votes", j + 1)
-            agree = F.when(v == 1, F.col("n") * F.col("p")).when(v == -1, F.col("n") * (1 - F.col("p")))
-            sums += [F.sum(agree).alias(f"a{j}"), F.sum(F.when(v != 0, F.col("n"))).alias(f"n{j}")]
-        got = [float(x or 0) for x in patterns.withColumn("p", p).agg(*sums).first()]
-        old, accuracy = accuracy, [min(0.999, max(0.5, (a + strength * start) / (n + strength))) for a, n in zip(got[::2], got[1::2], strict=True)]
-        if max(abs(x - y) for x, y in zip(old, accuracy, strict=True)) < tolerance:
+            right, votes_good, wrong, votes_bad = got[4 * j : 4 * j + 4]
+            up = (right + strength * start) / (votes_good - right + strength * (1 - start)) * ratio
+            down = (votes_bad - wrong + strength * start) / (wrong + strength * (1 - start)) / ratio
+            new.append((max(0.0, math.log(up)) if votes_good else first, max(0.0, math.log(down)) if votes_bad else first))
+        share = (good + strength * BALANCE) / (total + strength)
+        moved = max([abs(share - balance)] + [abs(x - y) for a, b in zip(weights, new, strict=True) for x, y in zip(a, b, strict=True)])
+        balance, weights = share, new
+        if moved < tolerance:
             break
-    return accuracy
+    return balance, weights
 
 
 def base_failed() -> Column:
@@ -163,7 +206,7 @@ def _judged(docs: DataFrame, keep: list[str]) -> tuple[DataFrame, Column]:
     """Columns ``keep`` of ``docs`` with ``__m`` and ``__votes``, stored once, and the posterior probability as a column of it."""
     voted = materialize(measures(docs).select(*keep, "__m", F.array(*votes()).alias("__votes")), "votes")
     patterns = materialize(voted.groupBy("__votes").agg(F.count("*").alias("n")).coalesce(1), "patterns")
-    return voted, posterior(BALANCE, estimate(patterns, len(RULES), BALANCE))
+    return voted, posterior(*estimate(patterns, len(RULES)))
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
