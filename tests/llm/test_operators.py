@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 from itertools import combinations
 
 import numpy as np
@@ -91,23 +92,59 @@ def test_quality_variety_holds_at_every_length(spark):
     texts = [f(n) for f in (salad, prose) for n in (1999, 2000, 2001, 2002, 20_000)]
     rows = quality_rules.measures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     got = [r[1] for r in sorted(rows.select("doc_id", F.array(*quality_rules.votes())).collect())]
-    place = [quality_rules.RULES.index(x) for x in ("variety", "prose", "flow")]
-    assert [[v[i] for i in place] for v in got] == [[-1, 0, 0]] * 5 + [[0, 1, got[5][place[2]]]] * 5
+    place = [quality_rules.RULES.index(x) for x in ("variety", "flow")]
+    assert [[v[i] for i in place] for v in got] == [[-1, 0]] * 5 + [[0, got[5][place[1]]]] * 5
+
+
+def _plain_em(rows, rules, rounds):
+    """Rows (votes, n): share of good, weights of the rules."""
+    b, w = 0.5, [[np.log(4.0)] * 2 for _ in range(rules)]
+    for _ in range(rounds):
+        p = [1 / (1 + (1 - b) / b * np.exp(-sum(w[j][0] if x > 0 else -w[j][1] if x < 0 else 0 for j, x in enumerate(v)))) for v, _ in rows]
+        good, total = sum(n * q for (_, n), q in zip(rows, p)), sum(n for _, n in rows)
+        new = []
+        for j in range(rules):
+            pair = []
+            for vote in (1, -1):
+                on_good = sum(n * q for (v, n), q in zip(rows, p) if v[j] == vote)
+                on_bad = sum(n * (1 - q) for (v, n), q in zip(rows, p) if v[j] == vote)
+                rates = (on_good + (8 if vote > 0 else 2)) / (good + 10), (on_bad + (2 if vote > 0 else 8)) / (total - good + 10)
+                pair.append(max(0, np.log(rates[0] / rates[1]) * vote) if on_good + on_bad else np.log(4.0))
+            new.append(pair)
+        b, w = (good + 5) / (total + 10), new
+    return b, w
 
 
 def test_quality_estimate_is_plain_em(spark):
     rows = [([-1, -1, 0], 30), ([-1, 0, 0], 20), ([0, 0, 1], 100), ([-1, 0, 1], 5), ([0, 0, 0], 9)]
-    got = quality_rules.estimate(spark.createDataFrame(rows, "__votes array<int>, n long"), 3, rounds=25, tolerance=0)
-    a = [0.8] * 3
-    for _ in range(25):
-        agree, voted = [8.0] * 3, [10.0] * 3
-        for v, n in rows:
-            p = 1 / (1 + np.exp(-sum(x * np.log(q / (1 - q)) for x, q in zip(v, a))))
-            for j, x in enumerate(v):
-                agree[j] += n * (p if x > 0 else 1 - p) * (x != 0)
-                voted[j] += n * (x != 0)
-        a = [min(0.999, max(0.5, x / y)) for x, y in zip(agree, voted)]
-    assert np.allclose(got, a, atol=1e-9)
+    share, weights = quality_rules.estimate(spark.createDataFrame(rows, "__votes array<int>, n long"), 3, rounds=25, tolerance=0)
+    want_share, want = _plain_em(rows, 3, 25)
+    assert np.isclose(share, want_share, atol=1e-9) and np.allclose(weights, want, atol=1e-9)
+    assert quality_rules.estimate(spark.createDataFrame([], "__votes array<int>, n long"), 2) == (0.5, [(np.log(0.8 / (1 - 0.8)),) * 2] * 2)
+
+
+def test_quality_worthless_rule_is_found_out_and_a_bad_vote_overruled(spark):
+    # two rules agree on 30,000 good and 10,000 bad documents; the third votes bad on a tenth of either
+    rows = [([1, 1, 0], 27_000), ([1, 1, -1], 3000), ([-1, -1, 0], 9000), ([-1, -1, -1], 1000), ([1, -1, 0], 400), ([0, 1, -1], 300)]
+    patterns = spark.createDataFrame(rows, "__votes array<int>, n long")
+    share, weights = quality_rules.estimate(patterns, 3)
+    assert 0.7 < share < 0.8 and weights[2][1] < 0.1 < 2 < min(weights[0] + weights[1])
+
+    def good(balance, w):
+        return {tuple(r[0]) for r in patterns.withColumn("p", quality_rules.posterior(balance, w)).where("p >= 0.5").select("__votes").collect()}
+
+    assert {(1, 1, -1), (0, 1, -1)} <= good(share, weights)  # all-must-pass drops both
+    assert (0, 1, -1) not in good(0.4, [(1.0, 1.0)] * 3)  # so do equal accuracies
+
+
+def test_quality_verdict_follows_labels_not_all_must_pass(spark, sf):
+    """Labels are no input of the rules. Every document that fails a rule alone and is labelled good stays."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    voted, p_good = quality_rules._judged(docs, ["doc_id"])
+    rows = voted.select("doc_id", p_good.alias("p"), F.exists("__votes", lambda v: v < 0).alias("any")).join(labels, "doc_id").collect()
+    assert len(rows) > 50 and np.mean([(r["p"] >= 0.5) == bool(r["quality"]) for r in rows]) > 0.95
+    kept = voted.select(p_good.alias("p"), F.exists("__votes", lambda v: v < 0).alias("any")).collect()
+    assert any(r["any"] and r["p"] >= 0.5 for r in kept) and any(r["any"] and r["p"] < 0.5 for r in kept)
 
 
 def components(sets, similarity):
@@ -296,6 +333,75 @@ def _story(i):
     return " ".join(hashlib.md5(f"{i} {j}".encode()).hexdigest()[:5] for j in range(20))
 
 
+class PlainPage(HTMLParser):
+    """Text of the article elements of a page, for pages whose furniture has tags or plain class names of its own."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.blocks, self.now, self.open = [], "", []
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        if " ".join(self.now.split()):
+            self.blocks.append(" ".join(self.now.split()))
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.now += " "
+        elif tag not in ("b", "a", "i", "em", "strong", "span", "code"):
+            self.flush()
+            if tag not in ("p", "li", "img", "hr", "input", "meta", "link"):
+                bad = tag in ("nav", "aside", "footer", "form", "script", "style", "head") or dict(attrs).get("class") in ("ad", "comments", "cookie", "share", "related")
+                self.open.append((tag, bad))
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "li"):
+            self.flush()
+        elif any(t == tag for t, _ in self.open):
+            self.flush()
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.open) and not any(bad for _, bad in self.open):
+            self.now += data
+
+
+def test_html_equals_plain_rendition(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    want = {r["page_id"]: "\n\n".join(PlainPage(r["html"] or "").blocks) for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(pages).collect()}
+    assert len(got) > 10 and got == want
+
+
+def test_html_keeps_all_of_an_article(spark):
+    inside = "<h2>Summary</h2><p>{}</p><p>Our reporters checked this story with two sources.</p><div class=x>More of us</div>"
+    story = lambda i: f"Summary\n\n{_story(i)}\n\nOur reporters checked this story with two sources."
+    notice = "<div class=c12><h4>We value</h4><p>your privacy</p></div>"
+    pages = [(f"http://a.org/{i}", f"<body>{notice}<article><h1>T{i}</h1>{inside.format(_story(i))}</article>{notice}</body>") for i in range(40)]
+    pages += [(f"http://m.org/{i}", f"<body><main><h1>T{i}</h1>{inside.format(_story(i + 50))}{notice}</main></body>") for i in range(20)]
+    pages += [(f"http://p.org/{i}", f"<body>{notice}<div class=t><h1>T{i}</h1>{inside.format(_story(i + 80))}</div></body>") for i in range(20)]
+    got = _texts(spark, pages)
+    assert got[:40] == [f"T{i}\n\n{story(i)}\n\nMore of us" for i in range(40)]
+    # outside articles, elements that hold nothing of the page's own go as a whole; headings and paragraphs beside others stay
+    assert got[40:] == [f"T{i}\n\n{story(i + 50)}" for i in range(20)] + [f"T{i}\n\n{story(i + 80)}" for i in range(20)]
+    # without the host's other pages nothing is known of the notice
+    assert _texts(spark, pages[40:41]) == [f"T0\n\n{story(50)}\n\nMore of us\n\nWe value\n\nyour privacy"]
+
+
+@pytest.mark.parametrize("depth", [10, 59, 60, 61, 300, 5000])
+def test_html_deep_and_long_pages(depth):
+    around = "<div>" * depth + "{}" + "</div>" * depth
+    page = "menu " + around.format("<nav><p>x</p></nav><article><header><h1>t</h1></header><p>one</p><aside>no</aside>" + "<p>two</p>" * 3000 + "</article>plain")
+    found = html_wrapper.blocks(page)
+    assert [t for p, t, _ in found if html_wrapper.kind(p) == "article"] == ["t", "one"] + ["two"] * 3000
+    assert [t for p, t, _ in found if html_wrapper.kind(p) == "furniture"] == ["x", "no"]
+    assert html_wrapper.HostWrapper().text(found).startswith("t\n\none\n\ntwo")
+
+
 def test_html_template_texts_are_left_out(spark):
     box = '<div class=c12>We value your privacy</div><div class=c3><a href=x>One</a> <a href=y>Two</a></div>'
     pages = [(f"http://h.org/{i}", f"<body><main><p>{_story(i)}</p>{box}</main></body>") for i in range(12)]

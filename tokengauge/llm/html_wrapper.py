@@ -11,7 +11,8 @@ repeated slots of links; pages are read through these slots.
 
 What a slot holds unchanged on many pages belongs to the template, whatever its name: a text that at least 90 % of the
 pages with its slot have, at least one in ``FREQUENT`` of the host and three that differ in the rest of their text. Copies of
-one page do not differ and so say nothing about it. Template texts are left out, unless the page has no other.
+one page do not differ and so say nothing about it. An element outside articles that holds nothing but template texts is left out, unless the
+page has no other; a heading or paragraph goes only with all that its element holds. Inside articles all but furniture stays.
 
 Wrappers are stored by shards in the shared folder, and a task that reads pages loads the shards it needs.
 """
@@ -22,7 +23,7 @@ import hashlib
 import html
 import re
 import zlib
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -45,8 +46,8 @@ FREQUENT = 100
 COUNTS_HELD = 200_000
 #: Pages with otherwise different text that must share a text before it counts as template.
 WITNESSES = 3
-#: Nesting below this depth is read as if it were at it.
-DEEPEST = 60
+#: Below this depth a path names only the elements that decide between furniture, main area and article.
+NAMED_DEPTH = 60
 
 # Element names of the HTML standard, and words that mark page furniture in class and id names.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -63,7 +64,8 @@ FURNITURE_NAME = re.compile(
 )
 HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|site-header|top-?bar)(?:$|[\s_-])", re.I)
 FURNITURE_ROLE = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|post|post-body|post-content|entry|entry-content|story|main-content)(?:$|[\s_-])", re.I)
+ARTICLE_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|post|post-body|post-content|entry|entry-content|story)(?:$|[\s_-])", re.I)
+MAIN_NAME = re.compile(r"(?:^|[\s_-])main-content(?:$|[\s_-])", re.I)
 
 #: What may stand in a head; anything else ends it.
 IN_HEAD = frozenset("html head base basefont bgsound link meta".split())
@@ -93,16 +95,18 @@ def plain_name(name: str) -> str:
 
 
 def _name(tag: str, attributes: str) -> str:
-    """Token of an element: its tag, and marks for furniture (!) and main text (*)."""
+    """Token of an element: its tag, and marks for furniture (!), main areas (*), articles (**) and headers (^)."""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        mark = "!" if tag in FURNITURE else "*" if tag in ("article", "main") else "^" if tag == "header" else ""
+        mark = "!" if tag in FURNITURE else "**" if tag == "article" else "*" if tag == "main" else "^" if tag == "header" else ""
         return tag + mark
     got = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     names = f"{got.get('class', '')} {got.get('id', '')}"
     role = got.get("role", "").lower()
     if tag in FURNITURE or role in FURNITURE_ROLE or "hidden" in got or (tag not in ("html", "body", "main") and FURNITURE_NAME.search(names)):
         mark = "!"
-    elif tag in ("article", "main") or role in ("main", "article") or got.get("itemprop", "").lower() == "articlebody" or MAIN_NAME.search(names):
+    elif tag == "article" or role == "article" or got.get("itemprop", "").lower() == "articlebody" or ARTICLE_NAME.search(names):
+        mark = "**"
+    elif tag == "main" or role == "main" or MAIN_NAME.search(names):
         mark = "*"
     elif tag == "header" or HEADER_NAME.search(names):
         mark = "^"
@@ -119,9 +123,12 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     whatever furniture was left open before it; a page that stops in the middle ends all elements. A form, and furniture
     without an end tag of its own, is no furniture where it holds most of the page's text.
     """
-    out: list[tuple[list, str, int]] = []
-    stack: list[list] = []  # elements: [tag, token, whether its mark may be wrong]
-    doubtful: list[list] = []
+    # Elements in the order of their start tags, so parents come first: [tag, token, whether its mark may be wrong, parent, depth, text].
+    elements: list[list] = [["", "", False, 0, 0, 0]]
+    out: list[tuple[int, str, int]] = []
+    stack: list[list] = []
+    places: list[int] = [0]
+    open_tags: Counter = Counter()
     text: list[str] = []
     links = open_links = 0
 
@@ -130,17 +137,22 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append((stack[:DEEPEST], joined, links))
+                out.append((places[-1], joined, links))
             text.clear()
         links = 0
 
+    def pop() -> list:
+        places.pop()
+        open_tags[stack[-1][0]] -= 1
+        return stack.pop()
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
             if stack and stack[-1][0] == "head" and piece.strip():
                 flush()
-                stack.pop()[2] = False
+                pop()[2] = False
             text.append(piece)
             if open_links:
                 links += len(piece.strip())
@@ -150,7 +162,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             continue
         tag = tag.lower()
         if stack and stack[-1][0] == "head" and not m[2] and tag not in IN_HEAD:
-            stack.pop()[2] = False
+            pop()[2] = False
         if tag in INLINE:
             if tag == "a":
                 open_links = 0 if m[2] else 1
@@ -160,40 +172,51 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         flush()
         open_links = 0
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    stack[i][2] = stack[i][2] and tag == "form"
-                    del stack[i:]
-                    break
+            if open_tags[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                ended = pop()
+                ended[2] = ended[2] and tag == "form"
             continue
         while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
-            stack.pop()[2] = False
+            pop()[2] = False
         token = _name(tag, m[4] or "")
-        if tag in ("article", "main") and token.endswith("*") and not any(t.endswith("*") for _, t, _ in stack):
-            while stack and any(t.endswith("!") for _, t, _ in stack):
-                stack.pop()
+        if tag in ("article", "main") and token.endswith("*") and not any(e[1].endswith("*") for e in stack):
+            first = next((i for i, e in enumerate(stack) if e[1].endswith("!")), len(stack))
+            while len(stack) > first:
+                pop()
         if tag not in VOID and not (m[4] or "").endswith("/"):
-            stack.append([tag, token, token.endswith("!")])
-            if token.endswith("!"):
-                doubtful.append(stack[-1])
+            stack.append([tag, token, token.endswith("!"), places[-1], len(stack) + 1, 0])
+            places.append(len(elements))
+            elements.append(stack[-1])
+            open_tags[tag] += 1
     if at < len(page):
         piece = _CUT.split(page[at:], maxsplit=1)[0]  # a tag cut off at the end is no text
         if stack and stack[-1][0] == "head" and piece.strip():
-            stack.pop()[2] = False
+            pop()[2] = False
         text.append(piece)
     flush()
-    if any(e[2] for e in doubtful):
-        whole, held = 0, {}
-        for path, block, _ in out:
-            if not any(t.endswith("!") and not open_ for _, t, open_ in path):
-                whole += len(block)
-                for e in path:
-                    if e[2]:
-                        held[id(e)] = held.get(id(e), 0) + len(block)
-        for e in doubtful:
-            if e[2] and 2 * held.get(id(e), 0) > whole:
+    if any(e[2] for e in elements):
+        # text outside certain furniture, summed from the innermost elements outwards
+        certain = [False]
+        for e in elements[1:]:
+            certain.append(certain[e[3]] or (e[1].endswith("!") and not e[2]))
+        for place, block, _ in out:
+            if not certain[place]:
+                elements[place][5] += len(block)
+        for e in reversed(elements[1:]):
+            elements[e[3]][5] += e[5]
+        for e in elements:
+            if e[2] and 2 * e[5] > elements[0][5]:
                 e[1] = e[1][:-1]
-    return [("/".join(t for _, t, _ in path), block, n) for path, block, n in out]
+    paths, known = [""], {}
+    for _, token, _, parent, depth, _ in elements[1:]:
+        path = paths[parent]
+        if depth <= NAMED_DEPTH or changes_kind(path, token):
+            path = f"{path}/{token}" if path else token
+            path = known.setdefault(path, path)
+        paths.append(path)
+    return [(paths[place], block, n) for place, block, n in out]
 
 
 # A wrapper is a node [token, repeated, optional, chars, link chars, pages, children]; chars are those of its own slot.
@@ -268,13 +291,26 @@ def expression(node: list) -> str:
 
 @lru_cache(1 << 16)
 def kind(path: str) -> str:
-    """"main" inside article and main elements and elements named so, "furniture" inside furniture, else "plain"."""
-    inside = False
+    """"article" and "main" inside elements marked so, "furniture" inside furniture, else "plain"."""
+    inside = "plain"
     for token in path.split("/"):
-        if token.endswith("!") or (token.endswith("^") and not inside):
+        if token.endswith("!") or (token.endswith("^") and inside == "plain"):
             return "furniture"
-        inside = inside or token.endswith("*")
-    return "main" if inside else "plain"
+        inside = "article" if token.endswith("**") or inside == "article" else "main" if token.endswith("*") else inside
+    return inside
+
+
+def changes_kind(path: str, token: str) -> bool:
+    return token[-1] in "!^*" and kind(path) != kind(f"{path}/{token}")
+
+
+@lru_cache(1 << 16)
+def group(path: str) -> str:
+    """The element that a block belongs to: its path without the headings, paragraphs and the like that it ends in."""
+    parts = path.split("/")
+    while parts and parts[-1].split(".")[0].rstrip("!*^") in PROSE:
+        parts.pop()
+    return "/".join(parts)
 
 
 def slot_counts(tree: list) -> dict[str, list[int]]:
@@ -380,12 +416,15 @@ class HostWrapper:
         self.boxes, self.template = frozenset(boxes or ()), frozenset(template or ())
 
     def text(self, found: list[tuple[str, str, int]]) -> str:
-        chosen = [(p, t) for p, t, _ in found if kind(p) == "main"]
+        """Inside articles all but furniture stays. In main areas and plain pages, elements go that hold nothing but template texts."""
+        chosen = [(p, t) for p, t, _ in found if kind(p) in ("main", "article")]
         if not chosen:
             plain = [(p, t) for p, t, _ in found if kind(p) == "plain"]
             chosen = [(p, t) for p, t in plain if p not in self.boxes] or plain
-        own = [(p, t) for p, t in chosen if text_id(p, t) not in self.template] if self.template else chosen
-        return "\n\n".join(t for _, t in own or chosen)
+        if self.template:
+            own = {group(p) for p, t in chosen if kind(p) == "article" or text_id(p, t) not in self.template}
+            chosen = [(p, t) for p, t in chosen if group(p) in own] or chosen
+        return "\n\n".join(t for _, t in chosen)
 
 
 def host(url: str | None) -> str:
