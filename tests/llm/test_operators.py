@@ -251,6 +251,35 @@ def test_licences_in_wrapped_and_long_paragraphs(spark):
     assert [(r["n_paragraphs"], r["n_licences"]) for r in got] == [(1, 1), (2, 1), (1, 1), (1, 2), (1, 2), (3, 2)]
 
 
+def test_licence_classifier_decides_and_templates_confirm():
+    model = licenses.fit(["some plain words about the weather", "the version of events was released"] * 20)
+    named = lambda t, m=model: sorted(licenses.families(licenses.words(t), m, 0.5))
+    texts = {
+        "licensed under the GNU Lesser General Public License version 3": ["LGPL"],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": ["CC-BY-NC"],
+        "Permission to use, copy, modify, and distribute this software for any purpose is hereby granted": ["ISC"],
+        "the general public can use the public library under the terms of the city": [],
+        "you may not obtain a copy of the fish except at the river": [],
+    }
+    assert {t: named(t) for t in texts} == texts
+
+    class Flat:  # the classifier switched off: every family as probable as any other
+        def probabilities(self, w):
+            return np.full(len(licenses.FAMILIES), 1 / len(licenses.FAMILIES))
+
+    assert sum(named(t, Flat()) != f for t, f in texts.items()) >= 2
+
+
+def test_licence_sample_is_whole_and_bounded(spark):
+    long = "\n\n".join(f"plain words about the weather end{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    rows = [(1, long, "x"), (1, "same id", "x"), (2, None, "x"), (None, "no id", "x"), (3, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part string")
+    got = licenses.sample_windows(docs)
+    assert len(got) == 301 and sum(w.startswith("end") for x in got for w in x.split()) == 300
+    assert sorted(licenses.sample_windows(docs.repartition(5), most=7)) == sorted(licenses.sample_windows(docs, most=7))
+    assert licenses.sample_windows(docs.limit(0)) == []
+
+
 def test_licences(docs, empty):
     model = licenses.fit(["some plain words about the weather", "the version of events was released"] * 20)
     lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "All rights reserved.", "This work is licensed under the GNU General Public License, version 3.", "All rivers are reserved for fish and the license of poets"]

@@ -2,9 +2,10 @@
 
 A multinomial logistic regression is trained on the statements below, varied by leaving out, adding and cutting words, against paragraphs of
 the corpus and shuffled licence words as the unknown class; a temperature fitted on held-out variants calibrates it.
-Paragraphs end at blank lines and are read in overlapping windows. A family is reported if it is more probable
-than unknown and one of its statements is found again; what that statement explains is then taken out and the rest is judged anew,
-so that a window reports all families it names.
+Paragraphs end at blank lines and are read in overlapping windows. The classifier ranks the families of a window: the most probable one that is more probable
+than unknown is reported if a template confirms it, that is, if most of one of its statements is found again; what its statements explain is then
+taken out and the rest is judged anew, so that a window reports all families it names. Templates alone cannot tell families whose
+statements share most of their words; they keep out what merely sounds like a licence.
 """
 
 from __future__ import annotations
@@ -39,11 +40,15 @@ STATEMENTS = {
     "Proprietary": ["all rights reserved", "no part of this publication may be reproduced or distributed without the prior written permission of the publisher"],
 }
 FAMILIES = [*STATEMENTS, "unknown"]
+# Ways to begin a statement, put before training variants of any family.
+OPENINGS = ["this work is", "this program is", "this file is", "the source code is", "this software is distributed and", "the data are made available and"]
 #: Words that alone say nothing about a licence.
 COMMON = frozenset("a an and any as at be by for from in is it may no not of on one or that the this to under with you your without all part any must than was are they or".split())
 BITS = 18
 #: Words of a window, and from one window to the next; a statement is shorter than what two windows share.
 WINDOW, STEP = 64, 32
+#: Share of a statement's word pairs that confirms the classifier.
+CONFIRM = 0.6
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 UNKNOWN = len(FAMILIES) - 1
@@ -61,6 +66,8 @@ def ngrams(w: list[str]) -> list[str]:
 _TEMPLATES = {family: [words(s) for s in statements] for family, statements in STATEMENTS.items()}
 #: n-grams of the statements: all that the classifier looks at. Words of a paragraph are tested against the single ones first.
 VOCABULARY = {g: i for i, g in enumerate(sorted({g for t in _TEMPLATES.values() for w in t for g in ngrams(w)}))}
+#: Words that only the statements of one family have.
+_OWN = {f: {x for w in t for x in w} - {x for g, u in _TEMPLATES.items() if g != f for w in u for x in w} for f, t in _TEMPLATES.items()}
 _TELLING = frozenset(g for g in VOCABULARY if " " not in g)
 
 
@@ -79,39 +86,42 @@ class Model:
 
 
 def share(family: str, w: list[str]) -> float:
-    """The largest share of a statement's word pairs that the paragraph has; a statement of up to four words counts whole or not at all."""
-    own = set(zip(w, w[1:], strict=False))
+    """The largest share of a statement's word pairs that the paragraph has; a statement of up to four words counts whole or not at
+    all, and one with words that no other family's statements have needs half of these."""
+    own, seen = set(zip(w, w[1:], strict=False)), set(w)
     shares = [0.0]
     for t in _TEMPLATES.get(family, ()):
-        pairs = set(zip(t, t[1:], strict=False))
+        pairs, telling = set(zip(t, t[1:], strict=False)), _OWN[family].intersection(t)
         found = len(pairs & own) / len(pairs)
-        shares.append(found if len(t) > 4 or found == 1 else 0.0)
+        shares.append(found if (len(t) > 4 or found == 1) and 2 * len(telling & seen) >= len(telling) else 0.0)
     return max(shares)
 
 
-def confirmed(family: str, w: list[str], least: float = 0.75) -> bool:
+def confirmed(family: str, w: list[str], least: float = CONFIRM) -> bool:
     """One of the family's statements is in the paragraph: at least this share of its word pairs (all pairs of a statement of up to four words)."""
     return share(family, w) >= least
 
 
 def families(w: list[str], model: Model, least: float) -> dict[str, float]:
-    """Families that a window names, with their probabilities against unknown. Of several that the classifier and a statement
-    support, the one whose statement is found most fully goes first (the text of LGPL holds most of GPL's), then what it
-    explains is taken out. After the first, at least half of a statement must be in what is left."""
+    """Families that a window names, with their probabilities against unknown. The most probable confirmed family goes first, and the words
+    that its statements explain together with both neighbours are taken out. After the first, at least half of a statement must be in what is left."""
     found: dict[str, float] = {}
     left = list(w)
     while not _TELLING.isdisjoint(left):
         p = model.probabilities(left)
-        rest = 0.5 if found else 0.75
-        able = [(share(f, left), float(q / (q + p[UNKNOWN])), f) for f, q in zip(FAMILIES[:UNKNOWN], p, strict=False) if q >= least * (q + p[UNKNOWN])]
-        able = [x for x in able if x[0] >= rest and confirmed(x[2], w)]
-        if not able:
-            break
-        _, chance, family = max(able)
-        found[family] = max(found.get(family, 0.0), chance)
+        rest = 0.5 if found else CONFIRM
+        for i in np.argsort(-p[:UNKNOWN], kind="stable"):
+            family, chance = FAMILIES[i], float(p[i] / (p[i] + p[UNKNOWN]))
+            if chance < least:
+                return found
+            if family not in found and share(family, left) >= rest and confirmed(family, w):
+                break
+        else:
+            return found
+        found[family] = chance
         own = {x for t in _TEMPLATES[family] for x in zip(t, t[1:], strict=False)}
-        for i in [i for i, x in enumerate(zip(left, left[1:], strict=False)) if x in own]:
-            left[i] = left[i + 1] = ""
+        explained = [x in own for x in zip(left, left[1:], strict=False)]
+        left = ["" if any(explained[max(0, i - 1) : i + 1]) and all(explained[max(0, i - 1) : i + 1]) else x for i, x in enumerate(left)]
     return found
 
 
@@ -120,14 +130,20 @@ def windows(w: list[str]) -> list[list[str]]:
 
 
 def variants(rng: np.random.Generator, filler: list[str], each: int) -> list[tuple[list[str], int]]:
-    """Training paragraphs: statements with words lost, filler around them, and licence words without order as unknown."""
+    """Training paragraphs: statements with words lost, cut at the ends or begun in another way, filler around them, and licence words
+    without order as unknown."""
     telling = sorted(_TELLING)
+    openings = [words(x) for x in OPENINGS]
     out: list[tuple[list[str], int]] = []
     around = lambda: [filler[i] for i in rng.integers(0, len(filler), rng.integers(0, 12))]
     for label, family in enumerate(STATEMENTS):
         for t in _TEMPLATES[family]:
             for i in range(each):
                 kept = [w for w in t if i == 0 or len(t) <= 5 or rng.random() > 0.08]
+                if i % 3 == 1 and len(t) > 5 and _OWN[family].intersection(kept) <= set(kept[: 1 + len(kept) * 2 // 3]):
+                    kept = kept[: 1 + len(kept) * 2 // 3]
+                elif i % 3 == 2 and len(t) > 5:
+                    kept = openings[i // 3 % len(openings)] + kept[kept.index("licensed") if "licensed" in kept[:4] else 0 :]
                 out.append(((around() if i else []) + kept + (around() if i else []), label))
     for _ in range(each * len(STATEMENTS)):
         loose = [telling[i] for i in rng.integers(0, len(telling), rng.integers(1, 5))]
@@ -143,10 +159,10 @@ def _loss(z: np.ndarray, y: np.ndarray, t: float) -> float:
 
 
 def fit(plain: list[str], each: int = 60, ridge: float = 0.05, rounds: int = 300, seed: int = 3) -> Model:
-    """Train on variants of the statements and on ``plain`` paragraphs of the corpus that hold no statement (unknown)."""
+    """Train on variants of the statements and on ``plain`` windows of the corpus that hold no statement (unknown)."""
     rng = np.random.default_rng(seed)
     own = [w for w in map(words, plain) if w and not any(confirmed(f, w, 0.5) for f in STATEMENTS)]
-    filler = [w for p in own[:500] for w in p] or ["lorem", "ipsum"]
+    filler = [w for p in own for w in p] or ["lorem", "ipsum"]
     rows = variants(rng, filler, each) + [(w, UNKNOWN) for w in own]
     held = rng.random(len(rows)) < 0.2
 
@@ -182,12 +198,23 @@ def fit(plain: list[str], each: int = 60, ridge: float = 0.05, rounds: int = 300
     return Model(w, b, float(best))
 
 
-def sample_paragraphs(docs: DataFrame, documents: int = 1000) -> list[str]:
-    """Paragraphs of at most ``documents`` texts, the first in the order of a hash of their id: the first 20 lines of each,
-    and at most 2,000 characters of a line, so that the driver holds a bounded sample. Scanned texts are not cut."""
-    chosen = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").select(F.col("text")).limit(documents)
-    rows = chosen.select(F.slice(F.transform(F.split("text", "\n"), lambda p: F.substring(p, 1, 2000)), 1, 20).alias("p")).toArrow()
-    return [p for row in rows.column("p").to_pylist() for p in row]
+def sample_windows(docs: DataFrame, documents: int = 1000, most: int = 10_000) -> list[str]:
+    """Windows to train on: of the texts whose ids come first in the order of a hash, at most ``documents`` ids, all windows of
+    all paragraphs are read, and the first ``most`` of them in the order of a hash are taken. Only ids and then
+    single windows are sorted, so tasks and the driver hold bounded rows. Rows without an id or a text are not sampled."""
+    told = docs.where("text is not null and doc_id is not null")
+    ids = told.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(documents).select("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for text in batch.column("text").to_pylist():
+                paragraphs = map(words, _BLANK.split(text.decode("utf-8", "replace").replace("\r\n", "\n")))
+                parts = [" ".join(part) for w in paragraphs if w for part in windows(w)]
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.string())], names=["part"])
+
+    texts = told.join(F.broadcast(ids), "doc_id", "left_semi").select(text_bytes())
+    parts = texts.mapInArrow(run, "part string").orderBy(F.xxhash64("part"), "part").limit(most)
+    return parts.toArrow().column("part").to_pylist()
 
 
 def scan(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -230,4 +257,4 @@ def scan(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 def scan_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    return scan(docs, fit(sample_paragraphs(docs)))
+    return scan(docs, fit(sample_windows(docs)))
