@@ -33,6 +33,8 @@ WORDS = 5
 BANDS, ROWS = 30, 5
 #: Cells thrown at a time inside a task.
 CELLS = 1 << 18
+#: Elements signed at a time inside a task.
+ELEMENTS = 1 << 16
 _EMPTY = np.uint64(2**64 - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(8)], dtype=np.uint64)
@@ -88,7 +90,22 @@ def _throw(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, reach:
 
 
 def signatures(sets: list[np.ndarray], weights: list[np.ndarray] | None, k: int) -> np.ndarray:
-    """One row of ``k`` values per set. Weights (default one each) are positive; an empty set keeps the empty value."""
+    """One row of ``k`` values per set. Weights (default one each) are positive; an empty set keeps the empty value.
+
+    Sets are signed a few at a time, as many as hold ``ELEMENTS`` elements; a larger one alone.
+    """
+    if not sets:
+        return np.zeros((0, k), np.uint64)
+    ends = np.cumsum([len(s) for s in sets])
+    done, first = [], 0
+    while first < len(sets):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + ELEMENTS, side="right")))
+        done.append(_signed(sets[first:last], weights and weights[first:last], k))
+        first = last
+    return np.concatenate(done)
+
+
+def _signed(sets: list[np.ndarray], weights: list[np.ndarray] | None, k: int) -> np.ndarray:
     values = np.full(len(sets) * k, _EMPTY)
     todo = [i for i, s in enumerate(sets) if len(s)]
     darts = k * math.log(k) + 3 * k
