@@ -85,6 +85,18 @@ def test_quality_counts_and_verdicts(docs, empty, corpus):
     assert {r["doc_id"] for r in kept.collect()} == {1, 2, None}
 
 
+def test_quality_sentences_and_function_words(docs, corpus):
+    import re
+
+    spelled = {y for x in quality_rules.FUNCTION_WORDS for y in (x, x.capitalize(), x.upper())}
+    for source in (docs, corpus):
+        for r in quality_rules.measures(source.select("text")).select("text", "__m.*").collect():
+            w = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+            lines = [x for x in (r["text"] or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+            ended = sum(bool(re.search("[.!?:;…][\"'»”)\\]]*[\x20\x09-\x0D]*$", x)) for x in lines)
+            assert (r["n_function"], r["n_sentences"], r["n_ended"]) == (sum(x in spelled for x in w), sum(bool(re.search("[.!?…][\"'»”)\\]]*$", x)) for x in w), ended)
+
+
 def test_quality_variety_holds_at_every_length(spark):
     rng = np.random.default_rng(1)
     salad = lambda n: " ".join(WORD_LIST[i] for i in rng.integers(0, 10, n))

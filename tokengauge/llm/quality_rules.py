@@ -95,6 +95,7 @@ def measures(docs: DataFrame) -> DataFrame:
         .withColumn("__p", F.when(s.isNotNull(), starts))
         .withColumn("__repeat", F.when(p.isNotNull(), F.aggregate(gaps, F.lit(0), lambda a, x: a + x)).otherwise(0))
     )
+    spelled = [form for x in FUNCTION_WORDS for form in (x, x.capitalize(), x.upper())]
     left = lambda pattern: F.length(F.regexp_replace("__t", pattern, ""))
     counts = {
         "n_words": F.size(w),
@@ -107,9 +108,9 @@ def measures(docs: DataFrame) -> DataFrame:
         "n_letters": left(r"[^\p{L}]+"),
         "n_marks": left(r"[^!?]+"),
         "n_distinct": F.size(F.array_distinct(w)),
-        "n_function": F.size(F.filter(w, lambda x: F.lower(x).isin(FUNCTION_WORDS))),
+        "n_function": F.size(F.filter("__h1", lambda x: x.isin([F.xxhash64(F.lit(f)) for f in spelled]))),
         "n_ended": F.size(F.filter("__l", lambda x: x.rlike(f"[.!?:;…][\"'»”)\\]]*[{GAPS}]*$"))),
-        "n_sentences": F.size(F.filter(w, lambda x: x.rlike("[.!?…][\"'»”)\\]]*$"))),
+        "n_sentences": F.regexp_count("__t", F.lit(f"[.!?…][\"'»”)\\]]*+(?![^{GAPS}])")),
         "n_vowels": left(r"(?i)[^aeiouyàáâäèéêëìíîïòóôöùúûüœæ]+"),
     }
     return found.select(*docs.columns, F.struct(*[counts[m].cast("long").alias(m) for m in MEASURES]).alias("__m"))
