@@ -1,5 +1,7 @@
+import hashlib
 import math
 import random
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
@@ -150,6 +152,20 @@ def test_kfold_is_stable_and_covers(spark, sf):
     assert once == again and set(once.values()) == set(range(10))
     other = {r["doc_id"]: r["fold"] for r in folds.kfold(docs, "doc_id", seed=1).collect()}
     assert other != once
+    for count in (1, 7, 193):
+        sizes = Counter(r["fold"] for r in folds.kfold(docs.limit(count), "doc_id").collect())
+        assert sum(sizes.values()) == count and max(sizes.values()) - min(sizes.get(f, 0) for f in range(10)) <= 1
+    plain = sorted(once, key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())
+    assert once == {k: i % 10 for i, k in enumerate(plain)}
+
+
+def test_kfold_with_repeated_and_missing_keys(spark):
+    data = [(1, i % 3) for i in range(30)] + [(None, 5)] * 4 + [(2, None)] * 7
+    df = spark.createDataFrame(data, "k long, v long")
+    split = lambda d: sorted(map(str, folds.kfold(d, "k", 4).collect()))
+    assert split(df) == split(df.repartition(5))
+    assert sorted(Counter(r["fold"] for r in folds.kfold(df, "k", 4).collect()).values()) == [10, 10, 10, 11]
+    assert folds.kfold(df.limit(0), "k").count() == 0
 
 
 def test_scaler(spark):

@@ -116,7 +116,7 @@ def text_sql(features: list[str]) -> str:
 GAP_WORDS = f"({hits('text', WS + '+')} + 1)"
 PRETOKENS = hits("text", PRETOKEN)
 WORDS = f"len(list_filter(string_split_regex(text, '{WS}+'), lambda w: w <> ''))"
-FOLD = "(('0x' || substr(md5('42:' || doc_id::varchar), 1, 8))::bigint % 10)::int"
+FOLD = "((row_number() over (order by md5('42:' || doc_id::varchar)) - 1) % 10)::int"
 SCOPES = "unnest(case when lang = 'en' then ['all', 'english'] else ['all'] end) as scope"
 LANGUAGE = "case lang " + " ".join(f"when '{k}' then '{v}'" for k, v in LANGUAGES.items()) + " else lang end"
 TINY = "2.220446049250313e-16::double"
@@ -310,6 +310,21 @@ def oracle_sql() -> dict[str, str]:
         "stream_features": f"""
             with texts as (select doc_id, text as content from documents), {STAGED}
             select doc_id, {", ".join(f"{TEXT_SQL[f]} as {f}" for f in SELECTED_FEATURES)} from base""",
+        "stream_fit": f"""
+            with texts as (
+              select text from documents union all select text from conversations union all select text from benchmark),
+            points as (
+              select coalesce(length(text), 4)::double as x1, case when text is null then 1 else {WORDS} end::double as x2,
+                case when text is null then 1 else {PRETOKENS} end::double as y from texts),
+            penalties as (select unnest(['ols', 'ridge_10']) as model, unnest([0, 10]) as penalty),
+            sums as (
+              select model, count(*) as n, avg(y) as y0, avg(x1) as m1, avg(x2) as m2, stddev_pop(x1) as s1, stddev_pop(x2) as s2,
+                corr(x1, x2) as r, covar_pop(y, x1) / stddev_pop(x1) as c1, covar_pop(y, x2) / stddev_pop(x2) as c2, 1 + max(penalty) / count(*) as d
+              from points cross join penalties group by model),
+            fit as (
+              select *, (d * c1 - r * c2) / (d * d - r * r) / s1 as a1, (d * c2 - r * c1) / (d * d - r * r) / s2 as a2 from sums)
+            select model, n, unnest(['intercept', 'char_count', 'word_count']) as feature,
+              unnest([round(y0 - a1 * m1 - a2 * m2, 4), round(a1, 4), round(a2, 4)]) as value from fit""",
         "metrics": f"with {DOCS}, {fits()}, {METRICS} select model, tokenizer, scope, fold, n, {ROUNDED} from metrics",
         "report_wide": f"with {DOCS}, {fits()}, {METRICS} select model, tokenizer, scope, fold, {ROUNDED} from metrics",
         "cv_summary": f"""

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,6 +147,20 @@ def fit_grid(
     return rows
 
 
+def parameters_of(spark: SparkSession, total: Moments, features: Sequence[str], penalties: Sequence[Penalty]) -> DataFrame:
+    """``model, n, feature, value`` of fits on one set of moments (the target last); the intercept is a feature of its own.
+
+    No row for moments of fewer than two rows.
+    """
+    parts = FoldParts([*features, "y"], {("y", True, 0): total})
+    rows = [
+        (model, int(total.n), name, float(value))
+        for model, _, _, _, intercept, coefs in fit_grid(parts, penalties, ["all"], held_out=[None])
+        for name, value in zip(["intercept", *features], [intercept, *coefs])
+    ]
+    return local_table(spark, rows, "model string, n long, feature string, value double")
+
+
 def cross_validate(
     table: DataFrame,
     targets: Sequence[str],

@@ -47,14 +47,14 @@ def training_table(
         df = add_token_counts(df, vocabularies)
         targets = list(vocabularies)
     english = F.coalesce(F.col("language") == ENGLISH, F.lit(False))
-    return kfold(df, key, folds, seed).select(
+    narrow = df.select(
         key,
         "source",
         english.alias("is_english"),
-        "fold",
         *[F.col(f).cast("double").alias(f) for f in features],
         *targets,
     )
+    return kfold(narrow, key, folds, seed).select(key, "source", "is_english", "fold", *features, *targets)
 
 
 def stored_training_table(spark: SparkSession, sf_dir: str, features: Sequence[str], vocabularies, **options) -> DataFrame:

@@ -20,6 +20,7 @@ from tokengauge.plans import (
 from tokengauge.session import materialize, shared_path, ship_package, spread
 from tokengauge.sources import corpus, schemas
 from tokengauge.streaming.featurize import featurize_new_shards
+from tokengauge.streaming.moments import keep_moments, merged_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -96,6 +97,23 @@ def stream_features(spark, sf_dir):
     return corpus.read_shards(spark, sink, stored)
 
 
+@query
+def stream_fit(spark, sf_dir):
+    """Least squares and ridge on moments of the tables that hold texts, taken shard by shard from a stream and merged at the end."""
+    store = shared_path(spark, "stream-moments")
+    pair = ["char_count", "word_count"]
+    source = f"{sf_dir}/{{documents,conversations,benchmark}}.parquet"
+    text = T.StructType([schemas.DOCUMENTS["text"]])
+    run = keep_moments(
+        spark, source, text, store, shared_path(spark, "stream-mark"),
+        lambda df: add_features(df.withColumnRenamed("text", "content"), pair).withColumn("pretoken", pretoken_count("content")),
+        [*pair, "pretoken"], files_per_batch=1,
+    )
+    run.awaitTermination()
+    total = merged_store(spark, store, len(pair) + 1)
+    return rounded(regularized.parameters_of(spark, total, pair, [regularized.OLS, regularized.PENALTIES[1]]))
+
+
 # --- filters and reshaping ------------------------------------------------------------
 
 
@@ -227,16 +245,13 @@ def prompt_tokens(spark, sf_dir):
 
 def _docs_folded(spark, sf_dir):
     docs = spread(corpus.documents(spark, sf_dir), "doc_id")
-    return folds.kfold(
-        add_features(docs, ["char_count", "word_count"]).withColumn("pretoken", pretoken_count("content")),
-        "doc_id",
-    ).drop("content")
+    narrow = add_features(docs, ["char_count", "word_count"]).withColumn("pretoken", pretoken_count("content")).drop("content")
+    return folds.kfold(narrow, "doc_id")
 
 
 @query
 def kfold_assign(spark, sf_dir):
-    docs = corpus.documents(spark, sf_dir)
-    return folds.kfold(docs, "doc_id").select("doc_id", "fold")
+    return folds.kfold(corpus.documents(spark, sf_dir).select("doc_id"), "doc_id")
 
 
 @query
