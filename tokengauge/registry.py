@@ -506,10 +506,9 @@ def grid_search_rf(spark, sf_dir):
 
 @query
 def mlp_cv(spark, sf_dir):
-    table, targets = _token_table(spark, sf_dir, SELECTED_FEATURES, one_vocabulary(), folds=5)
-    grid = mlp.mlp_grid(hidden=[(32,), (16, 8)], activation=["relu"], alpha=[0.0001])
-    nets = mlp.fit(table, targets, grid, max_iter=40)
-    return _search_metrics(mlp.predict(table, nets))
+    """The whole grid and ten folds, one vocabulary of four."""
+    table, targets = _token_table(spark, sf_dir, SELECTED_FEATURES, one_vocabulary())
+    return _search_metrics(mlp.predict(table, mlp.fit(table, targets, mlp.mlp_grid())))
 
 
 PLAYS = "r50k"  # the published tokenizer whose choices the vocabulary of the dearer searches takes
@@ -519,7 +518,7 @@ PLAYS = "r50k"  # the published tokenizer whose choices the vocabulary of the de
 def final_models(spark, sf_dir):
     table, targets = _token_table(spark, sf_dir, SELECTED_FEATURES, one_vocabulary())
     params = best_params.best_params(spark).where(F.col("tokenizer") == PLAYS).withColumn("tokenizer", F.lit(ONE))
-    return final.train_and_score(table, targets, shared_path(spark, "models"), params, rounds=5, max_iter=30)
+    return final.train_and_score(table, targets, shared_path(spark, "models"), params)
 
 
 def queries() -> dict[str, Query]:
