@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tokengauge.functions.text import REGULARIZED_FEATURES, SELECTED_FEATURES
 from tokengauge.operators import folds, metrics, moments
-from tokengauge.plans import best_params, boost, final, mlp, regularized, robust, training, trees
+from tokengauge.plans import best_params, boost, final, mlp, regularized, robust, scoring, training, trees
 from tokengauge.session import local_table, materialize
 from tokengauge.sources import corpus
 
@@ -310,6 +310,62 @@ def test_final_models_survive_the_disk(table, spark, tmp_path):
     assert one == trees.predict(table, again).orderBy("doc_id").collect() and len(one) == table.count()
 
 
+def test_search_winners_are_trained_and_scored_in_one_pass(table, spark, tmp_path):
+    quick = mlp.Solver(rate=0.1, batch=20, max_iter=30, early_stopping=False)
+    networks = [mlp.MLPConfig((4,)), mlp.MLPConfig((10,)), mlp.MLPConfig((3, 2), "tanh")]
+    grid = [trees.TreeConfig(3, 1, 40), trees.TreeConfig(3, 6, 5)]
+    ranked, refitted = mlp.grid_search(table, TARGET, networks, solver=quick)
+    searches = {"mlp": (ranked, networks)}
+    for model, rule in (("rf", trees.BEST), ("et", trees.RANDOM)):
+        searches[model] = materialize(trees.summarized(trees.cross_validate(table, TARGET, grid, rule))), grid
+    params = final.searched_params(table, searches)
+    for model, (found, configs) in searches.items():
+        for scope in ("all", "english"):
+            rows = sorted(found.where(F.col("scope") == scope).collect(), key=lambda r: (-r["r2_mean"], r["config_id"]))
+            assert len(rows) == len(configs) and rows[0]["rank"] == 1
+            want = params.where((F.col("model") == model) & (F.col("scope") == scope)).first()
+            assert (final.network_config(want) if model == "mlp" else final.tree_config(want)) == configs[rows[0]["config_id"]]
+    place = str(tmp_path)
+    out = final.train_and_score(table, TARGET, place, params, rounds=3, solver=quick).collect()
+    assert len(out) == 10
+    kept = {(n.tokenizer, n.scope): n for n in mlp.from_table(spark.read.parquet(f"{place}/mlp"))}
+    for net in refitted:
+        np.testing.assert_allclose(net.weights, kept[net.tokenizer, net.scope].weights)
+
+    scored = scoring.score_stored(table, place)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    got = {}
+    for r in scored.collect():
+        got[r["model"], r["scope"], r["doc_id"]] = r["yhat"]
+    assert len(got) == scored.count()
+    for model in ("rf", "et"):
+        for r in trees.predict(table, trees.load(spark, f"{place}/{model}")).collect():
+            assert got.pop((model, r["scope"], r["doc_id"])) == r["yhat"]
+    local = {r["doc_id"]: r for r in table.collect()}
+    x = lambda k: np.array([[local[k][f] for f in SELECTED_FEATURES]], float)
+    lines = {r["scope"]: r for r in spark.read.parquet(f"{place}/linear").collect()}
+    boosters = {b.scope: b for b in boost.from_table(spark.read.parquet(f"{place}/linear_boost"))}
+    for (model, scope, k), value in got.items():
+        if model == "linear":
+            want = lines[scope]["intercept"] + lines[scope]["coef"] * local[k]["char_count"]
+        else:
+            want = (boosters[scope] if model == "linear_boost" else kept["pretoken", scope]).predict(x(k))[0]
+        assert value == pytest.approx(want, rel=1e-9)
+
+
+def test_scoring_of_forests_beyond_a_slice(table, spark, tmp_path, monkeypatch):
+    params = [(m, "pretoken", s, 4, 5, 5, None, None, None) for m in ("rf", "et") for s in ("all", "english")]
+    params += [("mlp", "pretoken", s, None, None, None, "relu", 1e-4, "3") for s in ("all", "english")]
+    quick = mlp.Solver(max_iter=2, early_stopping=False)
+    final.train_and_score(table, TARGET, str(tmp_path), local_table(spark, params, best_params.DDL), rounds=2, solver=quick)
+    keys = ["model", "scope", "doc_id"]
+    rows = lambda: {tuple(r[k] for k in keys): r["yhat"] for r in scoring.score_stored(table, str(tmp_path)).collect()}
+    whole = rows()
+    monkeypatch.setattr(trees, "MODEL_NODES", 20)
+    assert rows() == pytest.approx(whole, rel=1e-12)
+
+
 def test_prediction_does_not_shuffle_rows(table):
     p = regularized.cross_validate(table, TARGET, ["char_count"], [regularized.OLS])
     plan = p._jdf.queryExecution().executedPlan().toString()

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-SLOW = {"rf_cv", "et_cv", "mlp_cv", "final_models", "linear_boost_cv", "polynomial_cv", "grid_search_rf"}
+SLOW = {"rf_cv", "et_cv", "mlp_cv", "final_models", "linear_boost_cv", "polynomial_cv", "grid_search_rf", "searched_models"}
 
 
 @pytest.fixture(scope="module")

@@ -98,6 +98,9 @@ class Rows:
         known = ~np.isnan(self.columns[forest.tokenizer])
         return known if forest.scope == "all" else known & self.english
 
+    def of(self, tokenizer: str, scope: str) -> np.ndarray:
+        return np.flatnonzero(self.inside(Forest(tokenizer, scope, NO_FOLD, 0, 0, 0)))
+
     def training(self, forest: Forest) -> np.ndarray:
         return self.inside(forest) & (self.columns["fold"] != forest.fold)
 
@@ -105,12 +108,12 @@ class Rows:
         return self.inside(forest) & (self.columns["fold"] == forest.fold)
 
 
-def _narrow(table: DataFrame, targets: Sequence[str], features: Sequence[str], key: str) -> DataFrame:
+def narrow_rows(table: DataFrame, targets: Sequence[str], features: Sequence[str], key: str) -> DataFrame:
     as_double = [F.col(c).cast("double").alias(c) for c in dict.fromkeys([*targets, *features])]
     return table.select(F.col(key).cast("long").alias("__key"), F.xxhash64(key).bitwiseAND(F.lit(2**52 - 1)).alias("__hash"), "is_english", F.col("fold").cast("int").alias("fold"), *as_double)
 
 
-def _columns(batch: pa.RecordBatch | pa.Table) -> dict[str, np.ndarray]:
+def as_columns(batch: pa.RecordBatch | pa.Table) -> dict[str, np.ndarray]:
     out = {}
     for name in batch.column_names:
         column = batch.column(name)
@@ -173,7 +176,7 @@ def _units(forests: Sequence[Forest], sizes: Sequence[int]) -> list[tuple[int, i
 
 def _block_rows(narrow: DataFrame, features: Sequence[str]):
     """The whole table, at most ``BLOCK`` rows as its callers have counted, on every executor."""
-    return narrow.sparkSession.sparkContext.broadcast((_columns(narrow.toArrow()), list(features)))
+    return narrow.sparkSession.sparkContext.broadcast((as_columns(narrow.toArrow()), list(features)))
 
 
 def _scored_in_block(narrow: DataFrame, features, forests, units, depths, rule, seed) -> DataFrame:
@@ -402,7 +405,7 @@ def _sent(narrow: DataFrame, features, forests, tops, pieces, depths, sizes, rul
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = Rows(_columns(batch), features)
+            rows = Rows(as_columns(batch), features)
             for number, first, nodes, goes, path in shared.value:
                 forest = forests[number]
                 y = rows.columns[forest.tokenizer]
@@ -529,7 +532,7 @@ def cross_validate(
     leaves = sorted({c.min_samples_leaf for c in grid})
     forests = [Forest(t, s, f, l, sizes[-1], depths[-1]) for f, t, s, l in itertools.product(folds, targets, scopes, leaves)]
     units = _units(forests, sizes)
-    narrow = _narrow(table, targets, features, key)
+    narrow = narrow_rows(table, targets, features, key)
     if table.count() <= block:
         scores = _scored_in_block(narrow, features, forests, units, depths, rule, seed)
     else:
@@ -568,7 +571,7 @@ def fit(
     spark, features = table.sparkSession, list(features)
     forests = [Forest(t, s, fold, c.min_samples_leaf, c.n_estimators, c.depth) for t, s, c in chosen]
     names = [c.name for _, _, c in chosen]
-    narrow = _narrow(table, list(dict.fromkeys(t for t, _, _ in chosen)), features, key)
+    narrow = narrow_rows(table, list(dict.fromkeys(t for t, _, _ in chosen)), features, key)
     columns = [c.split()[0] for c in MODEL.split(", ")]
 
     def row(forest: int, tree: int, nodes: Nodes, goes: np.ndarray) -> pa.RecordBatch:
@@ -622,52 +625,72 @@ def _slices(model: DataFrame) -> Iterator[list]:
         yield kept
 
 
+def _forests(model: DataFrame, chosen: list) -> list[tuple[tuple, list]]:
+    """Trees of one slice by forest: (tokenizer, scope, fold, config, trees) and (top, piece of each leaf, pieces, whether its own values count) each."""
+    where = "tokenizer string, scope string, fold int, config string, tree int, piece long"
+    wanted = {(*c[:5], -1) for c in chosen} | set(chosen)
+    own = {c for c in chosen if c[5] == -1}
+    slice_rows = F.broadcast(local_table(model.sparkSession, sorted(wanted), where))
+    stored = model.join(slice_rows, [c.split()[0] for c in where.split(", ")], "left_semi").collect()
+    tops = {tuple(r)[:4] + (r["tree"],): r for r in stored if r["piece"] == -1}
+    pieces: dict[tuple, dict[int, Nodes]] = {}
+    for r in stored:
+        if r["piece"] >= 0:
+            pieces.setdefault((*tuple(r)[:4], r["tree"]), {})[r["piece"]] = _read_nodes(r)
+    forests: dict[tuple, list] = {}
+    for k, r in sorted(tops.items()):
+        forests.setdefault((*k[:4], r["trees"]), []).append((_read_nodes(r), np.array(r["goes"]), pieces.get(k, {}), (*k, -1) in own))
+    return list(forests.items())
+
+
+def one_slice(model: DataFrame) -> list[tuple[tuple, list]] | None:
+    """The forests of a stored model that is no larger than one slice, else None."""
+    slices = _slices(model)
+    chosen = next(slices, [])
+    return _forests(model, chosen) if next(slices, None) is None else None
+
+
+def totals(rows: Rows, forests: list[tuple[tuple, list]]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """Cell, places of the rows it scores, and what the trees at hand add to their prediction."""
+    for cell, grown in forests:
+        tokenizer, scope, fold, _, trees = cell
+        forest = Forest(tokenizer, scope, fold, 0, trees, 0)
+        at = np.flatnonzero(rows.inside(forest) if fold == NO_FOLD else rows.held(forest))
+        if not len(at):
+            continue
+        x, total = rows.x[at], np.zeros(len(at))
+        for nodes, goes, below, whole in grown:
+            end = kernel.walk(nodes, x, np.zeros(len(at), int), [UNLIMITED])[0]
+            piece = goes[end]
+            total += np.where((piece < 0) & whole, nodes.value[end], 0.0)
+            for number in np.unique(piece[piece >= 0]).tolist():
+                if number in below:
+                    here = np.flatnonzero(piece == number)
+                    leaf = kernel.walk(below[number], x[here], np.zeros(len(here), int), [UNLIMITED])[0]
+                    total[here] += below[number].value[leaf]
+        yield cell, at, total / trees
+
+
 def predict(table: DataFrame, model: DataFrame, features: Sequence[str] = tuple(SELECTED_FEATURES), key: str = "doc_id") -> DataFrame:
     """``tokenizer, scope, fold, config, key, y, yhat`` of the rows in scope of each stored forest (with a fold: of the rows of that fold).
 
     A slice of the model goes to the tasks that hold the rows; one slice needs no shuffle, several are added up by row.
     """
     spark, features = table.sparkSession, list(features)
-    where = "tokenizer string, scope string, fold int, config string, tree int, piece long"
     cells = ["tokenizer", "scope", "fold", "config"]
     targets = sorted(r[0] for r in model.select("tokenizer").distinct().collect())
-    narrow = _narrow(table, targets, features, key)
+    narrow = narrow_rows(table, targets, features, key)
     parts = []
     for chosen in _slices(model):
-        wanted = {(*c[:5], -1) for c in chosen} | set(chosen)
-        own = {c for c in chosen if c[5] == -1}
-        stored = model.join(F.broadcast(local_table(spark, sorted(wanted), where)), [c.split()[0] for c in where.split(", ")], "left_semi").collect()
-        tops = {tuple(r)[:4] + (r["tree"],): r for r in stored if r["piece"] == -1}
-        pieces: dict[tuple, dict[int, Nodes]] = {}
-        for r in stored:
-            if r["piece"] >= 0:
-                pieces.setdefault((*tuple(r)[:4], r["tree"]), {})[r["piece"]] = _read_nodes(r)
-        forests: dict[tuple, list] = {}
-        for k, r in sorted(tops.items()):
-            forests.setdefault((*k[:4], r["trees"]), []).append((_read_nodes(r), np.array(r["goes"]), pieces.get(k, {}), (*k, -1) in own))
-        shared = spark.sparkContext.broadcast(list(forests.items()))
+        shared = spark.sparkContext.broadcast(_forests(model, chosen))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = Rows(_columns(batch), features)
-                for (tokenizer, scope, fold, config, trees), grown in shared.value:
-                    forest = Forest(tokenizer, scope, fold, 0, trees, 0)
-                    at = np.flatnonzero(rows.inside(forest) if fold == NO_FOLD else rows.held(forest))
-                    if not len(at):
-                        continue
-                    x, total = rows.x[at], np.zeros(len(at))
-                    for nodes, goes, below, whole in grown:
-                        end = kernel.walk(nodes, x, np.zeros(len(at), int), [UNLIMITED])[0]
-                        piece = goes[end]
-                        total += np.where((piece < 0) & whole, nodes.value[end], 0.0)
-                        for number in np.unique(piece[piece >= 0]).tolist():
-                            if number in below:
-                                here = np.flatnonzero(piece == number)
-                                leaf = kernel.walk(below[number], x[here], np.zeros(len(here), int), [UNLIMITED])[0]
-                                total[here] += below[number].value[leaf]
+                rows = Rows(as_columns(batch), features)
+                for (tokenizer, scope, fold, config, _), at, yhat in totals(rows, shared.value):
                     many = len(at)
                     named = [pa.array([v] * many, k) for v, k in ((tokenizer, pa.string()), (scope, pa.string()), (fold, pa.int32()), (config, pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*named, pa.array(rows.columns["__key"][at].astype(np.int64)), pa.array(rows.columns[tokenizer][at]), pa.array(total / trees)], names=[*cells, "key", "y", "yhat"])
+                    yield pa.RecordBatch.from_arrays([*named, pa.array(rows.columns["__key"][at].astype(np.int64)), pa.array(rows.columns[tokenizer][at]), pa.array(yhat)], names=[*cells, "key", "y", "yhat"])
 
         parts.append(narrow.mapInArrow(run, "tokenizer string, scope string, fold int, config string, key long, y double, yhat double"))
     if not parts:

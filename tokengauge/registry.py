@@ -521,5 +521,17 @@ def final_models(spark, sf_dir):
     return final.train_and_score(table, targets, shared_path(spark, "models"), params)
 
 
+@query
+def searched_models(spark, sf_dir):
+    """Forests and networks searched over their whole grids, the winners refitted with the linear models, stored, and scored from disk; one vocabulary."""
+    table, targets = _token_table(spark, sf_dir, SELECTED_FEATURES, one_vocabulary())
+    grid, networks = trees.tree_grid(), mlp.mlp_grid()
+    searches = {
+        model: (trees.summarized(trees.cross_validate(table, targets, grid, rule)), grid) for model, rule in (("rf", trees.BEST), ("et", trees.RANDOM))
+    }
+    searches["mlp"] = trees.summarized(mlp.predict(table, mlp.fit(table, targets, networks))), networks
+    return final.train_and_score(table, targets, shared_path(spark, "models"), final.searched_params(table, searches))
+
+
 def queries() -> dict[str, Query]:
     return dict(_REGISTRY)
