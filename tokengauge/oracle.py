@@ -8,8 +8,9 @@ tested on whole words.
 from __future__ import annotations
 
 from tokengauge.functions import patterns as p
-from tokengauge.functions.text import SELECTED_FEATURES
+from tokengauge.functions.text import REGULARIZED_FEATURES, SELECTED_FEATURES
 from tokengauge.plans import best_params
+from tokengauge.plans.regularized import PENALTIES
 from tokengauge.sources.corpus import LANGUAGES
 
 WS_CLASS = (
@@ -310,6 +311,12 @@ def oracle_sql() -> dict[str, str]:
         "stream_features": f"""
             with texts as (select doc_id, text as content from documents), {STAGED}
             select doc_id, {", ".join(f"{TEXT_SQL[f]} as {f}" for f in SELECTED_FEATURES)} from base""",
+        "penalized_optimality": f"""
+            with scoped as (select {SCOPES} from documents)
+            select model, scope, feature, n, 0.0::double as left_over
+            from (select scope, count(*) as n from scoped group by scope)
+            cross join (select unnest({[p.name for p in PENALTIES]}) as model)
+            cross join (select unnest({list(REGULARIZED_FEATURES)}) as feature)""",
         "stream_fit": f"""
             with texts as (
               select text from documents union all select text from conversations union all select text from benchmark),

@@ -17,7 +17,7 @@ from tokengauge.operators.quantiles import exact_quantiles
 from tokengauge.plans import (
     best_params, boost, final, mlp, regularized, robust, training, trees,
 )
-from tokengauge.session import materialize, shared_path, ship_package, spread
+from tokengauge.session import local_table, materialize, shared_path, ship_package, spread
 from tokengauge.sources import corpus, schemas
 from tokengauge.streaming.featurize import featurize_new_shards
 from tokengauge.streaming.moments import keep_moments, merged_store
@@ -328,6 +328,36 @@ def ridge_two_feature_cv(spark, sf_dir):
     return rounded(regularized.cross_validate(table, ["pretoken"], pair, [regularized.PENALTIES[1]], keep=["doc_id"]))
 
 
+@query
+def penalized_optimality(spark, sf_dir):
+    """Ridge, lasso and elastic net of all twelve features on all rows, with the optimality conditions summed over the rows: what is left of each must vanish."""
+    names = list(REGULARIZED_FEATURES)
+    table = _pretoken_table(spark, sf_dir, names)
+    fits = regularized.fit_grid(moments.collect_fold_parts(table, names, ["pretoken"]), regularized.PENALTIES, held_out=[None])
+    kinds = {p.name: p for p in regularized.PENALTIES}
+    params = [(m, scope, intercept, coefs, kinds[m].kind == "ridge", kinds[m].alpha, kinds[m].l1_ratio) for m, _, scope, _, intercept, coefs in fits]
+    params = local_table(spark, params, "model string, scope string, intercept double, coefs array<double>, ridge boolean, alpha double, l1_ratio double")
+    scoped = training.explode_scopes(training.long_targets(table, ["pretoken"]))
+    scales = moments.scaler_fit(scoped, ["scope"], names).groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "scale")))).alias("z"))
+    rest = F.col("y") - F.col("intercept")
+    for i, c in enumerate(names):
+        rest = rest - F.col("coefs")[i] * F.col(c)
+    z = {c: (F.col(c) - F.col("z")[c]["mean"]) / F.col("z")[c]["scale"] for c in names}
+    rows = scoped.join(params, "scope").join(materialize(scales, "scales"), "scope")
+    keys = ["model", "scope", "coefs", "ridge", "alpha", "l1_ratio", "z"]
+    sums = rows.withColumn("rest", rest).withColumn("z", F.array(*[F.struct(z[c].alias("v"), F.col("z")[c]["scale"].alias("scale")) for c in names]))
+    slopes = [F.avg(F.col("rest") * F.col("z")[i]["v"]).alias(f"s{i}") for i in range(len(names))]
+    scale = [F.max(F.col("z")[i]["scale"]).alias(f"c{i}") for i in range(len(names))]
+    by_fit = sums.groupBy(*keys[:-1]).agg(F.count("*").alias("n"), *slopes, *scale)
+    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"s{i}").alias("slope"), (F.col("coefs")[i] * F.col(f"c{i}")).alias("w")) for i, c in enumerate(names)])
+    flat = by_fit.select("model", "scope", "n", "ridge", "alpha", "l1_ratio", F.explode(entries).alias("e")).select("*", "e.*")
+    l1 = F.col("alpha") * F.col("l1_ratio")
+    pull = F.when(F.col("ridge"), F.col("alpha") / F.col("n")).otherwise(F.col("alpha") * (1 - F.col("l1_ratio"))) * F.col("w")
+    inside = F.abs(F.col("slope") - pull - F.when(F.col("ridge"), 0.0).otherwise(l1 * F.signum("w")))
+    left = F.when(~F.col("ridge") & (F.col("w") == 0), F.greatest(F.abs("slope") - l1, F.lit(0.0))).otherwise(inside)
+    return rounded(flat.select("model", "scope", "feature", "n", left.alias("left_over")))
+
+
 SHARDS = ("documents", "conversations", "benchmark")
 
 
