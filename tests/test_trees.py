@@ -74,6 +74,16 @@ def test_kernel_equals_a_plain_loop(rule, leaf, depth):
         compare(grown, t, plain(x[s], y[s], w[t][s], int(paths[t]), 0, leaf, depth, rule))
 
 
+@pytest.mark.parametrize("rule", [trees.BEST, trees.RANDOM])
+def test_items_are_sorted_once_whatever_the_depth(rule, monkeypatch):
+    rng, n = np.random.default_rng(1), 400
+    x, zero, sorted_items = rng.normal(size=(n, 3)), np.zeros(1, int), []
+    for name in ("argsort", "lexsort"):
+        monkeypatch.setattr(np, name, lambda a, *rest, own=getattr(np, name), **options: sorted_items.append(np.size(a)) or own(a, *rest, **options))
+    grown = kernel.grow(x, x.sum(axis=1), np.ones(n), np.zeros(n, int), np.ones(1, np.uint64), zero, zero + 1, zero + kernel.UNLIMITED, rule)
+    assert grown.level.max() > 6 and sum(sorted_items) <= 3 * n
+
+
 def test_depth_has_no_limit():
     """Values that double: every cut takes one row off, so a tree is far deeper than 31 levels."""
     n = 90
