@@ -184,3 +184,24 @@ def test_grid_search_refits_the_winner(table, rule):
     assert {(r["scope"], r["config"]) for r in model.select("scope", "config").distinct().collect()} == set(first.items())
     scored = metrics.regression_metrics(trees.predict(table, model), ["scope"]).collect()
     assert len(scored) == 2 and all(r["r2"] > 0.5 for r in scored)
+
+
+def test_stored_forests_do_not_store_their_items(spark, table, tmp_path, monkeypatch):
+    stored, own = [], trees.materialize
+    monkeypatch.setattr(trees, "materialize", lambda df, name="table": stored.append(name) or own(df, name))
+    chosen = [("pretoken", "all", trees.TreeConfig(2, 4, 5))]
+    by_passes = trees.fit(table, chosen, trees.RANDOM, block=40)
+    assert by_passes.where("piece >= 0").count() and "tree-items" not in stored
+    assert "tree-rows" in stored
+
+
+def test_ranges_of_open_nodes(spark, table):
+    names = list(SELECTED_FEATURES)
+    narrow = trees.narrow_rows(table, TARGET, names, "doc_id")
+    forests = [trees.Forest("pretoken", s, f, 5, 1, 9) for s in ("all", "english") for f in (0, trees.NO_FOLD)]
+    tops = [trees.Top(i, 0, path=[f.path(trees.RANDOM, 1, 0)]) for i, f in enumerate(forests)]
+    sums, low, high = trees._Passes(narrow, names, forests, tops, trees.RANDOM, 1).stats([(i, 0) for i in range(4)])
+    rows = narrow.toPandas()
+    for i, f in enumerate(forests):
+        own = rows[(rows.is_english | (f.scope == "all")) & (rows.fold != f.fold)]
+        assert sums[i, 0] == len(own) and (low[i] == own[names].min()).all() and (high[i] == own[names].max()).all()
