@@ -5,6 +5,7 @@ from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,27 @@ def test_quantiles_take_three_passes_and_shuffle_counts_only(spark, monkeypatch)
     assert len(plans) == 3 and all(p.count("Exchange") == 1 and "HashAggregate" in p and "Join" not in p for p in plans)
 
 
+@pytest.mark.parametrize("held", [1 << 20, 100])
+def test_a_task_adds_its_counts_up_before_it_sends_them(monkeypatch, held):
+    monkeypatch.setattr(quantiles, "HELD", held)
+    rng = np.random.default_rng(2)
+    counter, sent, data = quantiles._Counter(["v", "w"], 10, 54, None), [], []
+    for _ in range(30):
+        group, v, w = rng.integers(0, 3, 500), rng.integers(1, 40, 500).astype(float), rng.choice([1.0, np.nan], 500)
+        data += zip(group.tolist(), v.tolist(), w.tolist())
+        batch = pa.RecordBatch.from_pydict({"k": group, "__group": [f"g{g}" for g in group], "v": v, "w": pa.array(w, from_pandas=True)})
+        counter.add(batch, ["k", "__group"])
+        if counter.full:
+            sent += counter.results()
+    sent = pa.Table.from_batches([*sent, *counter.results()]).to_pylist()
+    assert len({(r["__group"], r["of"], r["digit"]) for r in sent}) == len(sent) or held == 100
+    for g in range(3):
+        own = [r for r in sent if r["k"] == g and r["__group"] == f"g{g}"]
+        for of, values in ((0, [d[1] for d in data if d[0] == g]), (1, [1.0 for d in data if d[0] == g and d[2] == 1.0])):
+            mine = [r for r in own if r["of"] == of]
+            assert (sum(r["n"] for r in mine), sum(r["s"] for r in mine)) == (len(values), sum(values))
+
+
 def test_quantiles_of_odd_values(spark):
     """Infinite values, NaN (above all others) and groups of one value end the narrowing as well."""
     inf, nan = float("inf"), float("nan")
